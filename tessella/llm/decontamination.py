@@ -35,7 +35,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """k_id, k_text, spans (merged, sorted array of struct(a, b) over word places from 0, b exclusive), items (sorted array).
+    """_tsl_id, _tsl_text, _tsl_spans (merged, sorted array of struct(a, b) over word places from 0, b exclusive), items (sorted array).
 
     One row for each document (see row_key()) that holds a window of the benchmark.
     """
@@ -46,18 +46,18 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
         texts = texts.withColumn("len", F.lit(next(iter(sizes))))
     else:
         texts = texts.select("*", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("len")) if sizes else texts.withColumn("len", F.lit(window)).where(F.lit(False))
-    probes = texts.select("k_id", "k_text", "ws", "len", F.posexplode(_hashes(F.col("ws"), F.col("len"))).alias("at", "hash"))
+    probes = texts.select("_tsl_id", "_tsl_text", "ws", "len", F.posexplode(_hashes(F.col("ws"), F.col("len"))).alias("at", "hash"))
     if sum(sizes.values()) <= max_broadcast:
         table = F.broadcast(table)
     same = (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("b_words"))
-    found = probes.join(table, same).select("k_id", "k_text", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b")).alias("span"), "b_items")
+    found = probes.join(table, same).select("_tsl_id", "_tsl_text", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b")).alias("span"), "b_items")
     merge = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)["b"]),
         F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
     ).otherwise(F.concat(acc, F.array(x)))
     empty = F.array().cast("array<struct<a:int,b:int>>")
-    by = found.groupBy("k_id", "k_text").agg(F.collect_set("span").alias("s"), F.collect_set("b_items").alias("i"))
-    return by.select("k_id", "k_text", F.aggregate(F.sort_array("s"), empty, merge).alias("spans"), F.sort_array(F.array_distinct(F.flatten("i"))).alias("items"))
+    by = found.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("span").alias("s"), F.collect_set("b_items").alias("i"))
+    return by.select("_tsl_id", "_tsl_text", F.aggregate(F.sort_array("s"), empty, merge).alias("_tsl_spans"), F.sort_array(F.array_distinct(F.flatten("i"))).alias("items"))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -67,11 +67,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     their own. Items without words are no windows; a null item_id reads as ''. An empty benchmark hits nothing; an empty
     table gives no rows. Other columns are not read.
     """
-    found = stored(hits(docs, benchmark, window), "benchmark-hits").withColumnsRenamed({"k_id": "h_id", "k_text": "h_text"})
+    found = stored(hits(docs, benchmark, window), "benchmark-hits").withColumnsRenamed({"_tsl_id": "_tsl_hit_id", "_tsl_text": "_tsl_hit_text"})
     all_ = docs.select("doc_id", *row_key(), F.size(tokens(text_of())).cast("long").alias("n_words"))
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0), lambda acc, x: acc + x["b"] - x["a"]), F.lit(0)).cast("long")
+    n_hit = F.coalesce(F.aggregate("_tsl_spans", F.lit(0), lambda acc, x: acc + x["b"] - x["a"]), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
-    return all_.join(found, (F.col("k_id") == F.col("h_id")) & (F.col("k_text") == F.col("h_text")), "left").select(
+    return all_.join(found, (F.col("_tsl_id") == F.col("_tsl_hit_id")) & (F.col("_tsl_text") == F.col("_tsl_hit_text")), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
@@ -81,15 +81,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     """docs without contaminated rows, or (remove="spans") with hit words and what follows them cut from text."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
-    found = stored(hits(docs, benchmark, window).select(F.col("k_id").alias("h_id"), F.col("k_text").alias("h_text"), "spans"), "benchmark-hits")
+    found = stored(hits(docs, benchmark, window).select(F.col("_tsl_id").alias("_tsl_hit_id"), F.col("_tsl_text").alias("_tsl_hit_text"), "_tsl_spans"), "benchmark-hits")
     keyed = docs.select("*", *row_key("doc_id", "text"))
-    same = (F.col("k_id") == F.col("h_id")) & (F.col("k_text") == F.col("h_text"))
+    same = (F.col("_tsl_id") == F.col("_tsl_hit_id")) & (F.col("_tsl_text") == F.col("_tsl_hit_text"))
     if remove == "documents":
         return keyed.join(found, same, "left_anti").select(docs.columns)
     gaps = F.split(F.col("text"), TOKEN_ANY_CASE, -1)
-    outside = lambda i: ~F.exists("spans", lambda s: (s["a"] <= i) & (i < s["b"]))
+    outside = lambda i: ~F.exists("_tsl_spans", lambda s: (s["a"] <= i) & (i < s["b"]))
     kept = let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(F.regexp_extract_all("text", F.lit(TOKEN_ANY_CASE), F.lit(0)), lambda w, i: F.when(outside(i), F.concat(w, F.get(g, i + 1))).otherwise("")), "")))
-    cut = F.when(F.col("spans").isNull(), F.col("text")).otherwise(kept)
+    cut = F.when(F.col("_tsl_spans").isNull(), F.col("text")).otherwise(kept)
     return keyed.join(found, same, "left").select(*(cut.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 

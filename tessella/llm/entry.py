@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, quality_rules, secret_scans, url_filters
+from tessella.llm import decontamination, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 from tessella.llm.shared import table
 
 
@@ -21,12 +21,20 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document with its id: bad if of low quality or toxic."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_decontamination, op5_quality_rules, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_decontamination, op5_quality_rules, op8_simhash, op9_substring_dedup, op10_url_filters)}
 
 ORACLES = {"op3_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}

@@ -71,7 +71,7 @@ def words(text: Column) -> Column:
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two non-null longs naming a document: its id and its text. Repeated rows share a key and so a result."""
-    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_tsl_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tsl_text")]
 
 
 def beta_strength(n: float | None, k: float | None, groups: int | None, n2: float | None, k2n: float | None) -> float:
