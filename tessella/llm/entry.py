@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, quality_rules, secret_scans, simhash, substring_dedup, url_filters
+from tessella.llm import decontamination, line_dedup, lm_scoring, mixing, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 from tessella.llm.shared import table
 
 
@@ -17,10 +17,22 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -35,6 +47,6 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_decontamination, op5_quality_rules, op8_simhash, op9_substring_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters)}
 
 ORACLES = {"op3_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}
