@@ -8,6 +8,7 @@ distinct fingerprints, and a key's members give a spanning forest of their links
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.shared import stored
-from tessella.llm.textkernel import U64, Words, chunks, lower_ascii
+from tessella.llm.shared import drop_stored, row_key, stored
+from tessella.llm.textkernel import U64, Words, chunks, lower_ascii, mix
 
 SHINGLE, BITS, SEED = 3, 2, 42
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 PAIRS, LARGE = 16, 4096
+NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD, LOOSE = 5, 0.8, 20, 20, 7, 16
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -100,6 +102,12 @@ def shingle_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return xxh64(text, start[first], end[last] - start[first]), doc
 
 
+def _votes(h: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """By document and bit: how far the shingles that set it are over half (doubled)."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 - size[:, None].astype(np.int32)
+
+
 def fingerprints_of(w: Words, k: int) -> np.ndarray:
     """64 bits per document: those set in over half of its shingles' hashes; 0 without words."""
     out = np.zeros(len(w.at) - 1, U64)
@@ -107,12 +115,39 @@ def fingerprints_of(w: Words, k: int) -> np.ndarray:
     if len(h):
         first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         size = np.diff(np.append(first, len(h)))
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        over = np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > size[:, None]
-        out[doc[first]] = np.packbits(over, axis=1, bitorder="little").view(U64).ravel()
+        out[doc[first]] = np.packbits(_votes(h, first, size) > 0, axis=1, bitorder="little").view(U64).ravel()
     return out
 
 
+def wide_of(w: Words, k: int, tables: int, width: int, wild: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprints, further bits, keys) per document, of its set of shingles.
+
+    The further bits, tables * width rounded up to 64s, are of the same kind. keys are tables * wild ints: each segment of
+    them with one bit wiped, which is in turn each of the `wild` bits with the closest votes, the ones that an edit flips.
+    """
+    n, more = len(w.at) - 1, -(-tables * width // 64)
+    fp, wide, keys = np.zeros(n, U64), np.zeros((n, more), U64), np.full((n, tables * wild), -1, np.int32)
+    h, doc = shingle_hashes(w, k)
+    if not len(h):
+        return fp, wide, keys
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+    h, doc = h[new], doc[new]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    size, who = np.diff(np.append(first, len(h))), doc[first]
+    fp[who] = np.packbits(_votes(h, first, size) > 0, axis=1, bitorder="little").view(U64).ravel()
+    votes = np.concatenate([_votes(mix(h + U64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)), first, size) for j in range(more)], axis=1)
+    wide[who] = np.packbits(votes > 0, axis=1, bitorder="little").view(U64)
+    votes = votes[:, : tables * width].reshape(len(who), tables, width)
+    value = ((votes > 0) << np.arange(width)).sum(axis=2).astype(np.int64)
+    close = np.argpartition(np.abs(votes), wild - 1, axis=2)[:, :, :wild]
+    # A key names its table and the wiped bit, then the other bits.
+    packed = (np.arange(tables)[None, :, None] << (width + 5)) | (close << width) | (value[:, :, None] & ~(1 << close))
+    keys[who] = packed.reshape(len(who), -1).astype(np.int32)
+    return fp, wide, keys
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
     """The kept columns and fp (the fingerprint as a signed long) of every row."""
 
@@ -217,8 +252,12 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     for n, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         part = f"(shiftrightunsigned(fp, {a}) & {(1 << (b - a)) - 1}L)" if segments > 1 else "fp"
         keys.append(f"transform(sequence(0, {b - a - 1}), j -> xxhash64({n}, j, {part} & ~shiftleft(1L, j)))" if b - a > 32 else f"transform(sequence(0, {b - a - 1}), j -> shiftleft(cast({a} + j AS BIGINT), 32) | ({part} & ~shiftleft(1L, j)))")
-    variants = prints.select("fp", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("key"))
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _joined(prints.select("fp", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("key")), bits)
+
+
+def _joined(variants: DataFrame, bits: int) -> DataFrame:
+    """Links among the fp that share a key, of variants (fp, key)."""
+    parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return variants.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(bits), "a long, b long")
 
 
@@ -238,6 +277,55 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     return prints.join(of, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
 
 
+def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """_tsl_id, _tsl_text of the documents (see row_key()) that another one of their group replaces.
+
+    similarity: of two sets of shingles (Jaccard), by the share of fingerprint bits that differ. At 0.8 it is 15 %, more
+    than segments of one 64-bit fingerprint can hold apart, so keys come from TABLES * WIDTH further bits: each segment is
+    indexed under its WILD most likely flips, wiped one at a time. Pairs that meet and differ in LOOSE of 64 bits or fewer
+    are verified on the further bits, up to one standard error beyond the similarity. The least document of a group stays.
+    """
+    more = -(-TABLES * WIDTH // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offsets in chunks(batch.column("_tsl_words"), 1 << 20):
+                fp, wide, keys = wide_of(Words(lower_ascii(buf), offsets), shingle, TABLES, WIDTH, WILD)
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (wide.view(np.int64), keys)]
+                yield pa.RecordBatch.from_arrays([batch.column("_tsl_id").slice(a, b - a), batch.column("_tsl_text").slice(a, b - a), pa.array(fp.view(np.int64)), *lists], ["_tsl_id", "_tsl_text", "fp", "wide", "keys"])
+
+    slim = docs.select(*row_key(), F.col("text").alias("_tsl_words"))
+    prints = stored(slim.mapInArrow(run, "_tsl_id long, _tsl_text long, fp long, wide array<long>, keys array<int>"), "near-fingerprints")
+    nodes = prints.groupBy("fp").agg(F.first(F.struct("wide", "keys")).alias("x")).select("fp", "x.wide", "x.keys")
+    pairs = stored(_joined(nodes.select("fp", F.explode("keys").alias("key")), LOOSE).distinct(), "near-pairs")
+    angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    most = int(64 * more * angle + math.sqrt(64 * more * angle * (1 - angle)))
+    wide = prints.groupBy("fp").agg(F.first("wide").alias("wide"))
+    both = pairs.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
+    differ = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(more)), F.lit(0))
+    roots = components(both.where(differ <= most).select("a", "b"))
+    whose = stored(prints.select("_tsl_id", "_tsl_text", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("_tsl_id", "_tsl_text", F.coalesce("root", "fp").alias("root")), "near-groups")
+    least = whose.groupBy("root").agg(F.min("_tsl_id").alias("l_id"), F.min(F.struct("_tsl_id", "_tsl_text"))["_tsl_text"].alias("l_text"))
+    least = stored(least, "near-least")
+    out = stored(whose.join(least, "root").where("_tsl_id <> l_id OR _tsl_text <> l_text").select("_tsl_id", "_tsl_text").distinct(), "near-duplicates")
+    drop_stored(prints)
+    return out
+
+
+def keep_one(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs, all columns, with one document of each group of near-duplicates.
+
+    Texts without words are one group. A null doc_id is the least. Of repeated rows (id and text) one stays. An empty
+    table gives no rows.
+    """
+    gone = near_duplicates(docs, shingle, similarity)
+    keyed = docs.select("*", *row_key())
+    kept = keyed.join(gone.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left_anti")
+    if keyed.groupBy("_tsl_id", "_tsl_text").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_tsl_id", "_tsl_text"])
+    return kept.select(docs.columns)
+
+
 def digest(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits), component_id."""
     return cluster(docs, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
