@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, line_dedup, lm_scoring, mixing, quality_rules, secret_scans, simhash, substring_dedup, url_filters
+from tessella.llm import decontamination, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 from tessella.llm.shared import table
 
 
+def _bad() -> Column:
+    """A labelled outcome: bad if of low quality or toxic; null without a label."""
+    return F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's host is its source, its path there its language."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("host"), F.col("lang").alias("path"))
+    return quality_classifier.classify(docs, table(spark, sf_dir, "labels").select("doc_id", _bad().alias("bad")))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scans.scan(table(spark, sf_dir, "documents"))
 
@@ -43,10 +54,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's label is that of the document with its id: bad if of low quality or toxic."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), _bad().alias("bad"))
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters)}
 
 ORACLES = {"op3_decontamination": decontamination.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}
