@@ -14,7 +14,6 @@ bits: with n windows, n * n / 2^(65 + log2 buckets) pairs are expected to collid
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -272,12 +271,6 @@ def repeated(buf: np.ndarray, offsets: np.ndarray, hits: list[bytes | None], win
     return w, np.cumsum(gone[:-1]) > 0
 
 
-def _release(spark) -> None:
-    """Let Spark's cleaner drop the shuffle files of tables that are stored by now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _hits(docs: DataFrame, window: int) -> DataFrame:
     """k_id, k_text, hits: repeated windows (64-bit hashes) of each document that has any."""
     if window < 3:
@@ -286,11 +279,9 @@ def _hits(docs: DataFrame, window: int) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     anchors = _answers(keyed.mapInArrow(_anchors(window, buckets), BUCKET), buckets, wide=False, blocks=True, name="anchor-hits")
-    _release(docs.sparkSession)
     near = keyed.join(anchors.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"])
     out = _answers(near.mapInArrow(_windows(window, buckets, buckets), BUCKET), buckets, wide=True, blocks=False, name="window-hits")
     drop_stored(anchors)
-    _release(docs.sparkSession)
     return out
 
 
