@@ -1,6 +1,6 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
-Document evidence is a logistic regression over binned counts of a text and over words that are significantly more common
+Document evidence is a logistic regression over binned counts of a text and over words, and beginnings of words, significantly more common
 in good or in bad documents; it is fitted to at most SAMPLE labelled documents, those with the least hash of their id.
 Site evidence covers every document: per path (host and section) the bad outcomes, labels where there are any and the
 classifier's probability elsewhere, are summed; the path's rate shrinks to its host's, the host's to the overall rate, by
@@ -19,16 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import stored, strength_of
-from tessella.llm.textkernel import Words, chunks, lower_ascii
+from tessella.llm.textkernel import Words, chunks, lower_ascii, mix
 
-SAMPLE, LEXICON, MIN_Z, MIN_DOCS, BINS, RIDGE = 20_000, 5_000, 4.0, 5, 12, 1.0
+SAMPLE, LEXICON, MIN_Z, MIN_DOCS, BINS, RIDGE = 20_000, 5_000, 5.0, 5, 12, 1.0
 N_COUNTS, N_FEATURES = 9, 11
+STEMS = (4, 5, 6)
 
 
 def counts_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(N_COUNTS numbers per text, hash and text of its distinct words)."""
+    """(N_COUNTS numbers per text, hash and text of its distinct words and beginnings of words)."""
     w = Words(buf, offsets)
-    h = Words(lower_ascii(buf), offsets).hashes()
+    lower_words = Words(lower_ascii(buf), offsets)
+    h = lower_words.hashes()
     n_docs, n = len(offsets) - 1, np.diff(w.at)
     size = np.maximum(np.diff(offsets), 1)
     part = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag)])[offsets]) / size
@@ -47,7 +49,17 @@ def counts_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         np.log1p(n), np.bincount(w.doc, weights=w.ends - w.starts, minlength=n_docs) / some, np.log1p(longest), part(upper), part(digit),
         part(~(upper | lower | digit | space | (buf >= 128))), part(buf == 10), np.bincount(d[first], minlength=n_docs) / some, most / some,
     ], axis=1)
-    return numbers, hs[first], d[first]
+    # Beginnings catch inflected forms, and words with punctuation behind them; their hashes are set apart from words'.
+    all_h, all_d = [hs[first]], [d[first]]
+    for k in STEMS:
+        long = w.ends - w.starts > k
+        all_h.append(mix(lower_words.hashes(k)[long] + np.uint64(k)))
+        all_d.append(w.doc[long])
+    hs, d = np.concatenate(all_h), np.concatenate(all_d)
+    order = np.lexsort((hs, d))
+    hs, d = hs[order], d[order]
+    new = np.append(True, (d[1:] != d[:-1]) | (hs[1:] != hs[:-1])) if len(d) else np.zeros(0, bool)
+    return numbers, hs[new], d[new]
 
 
 @dataclass
@@ -130,7 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return model
     x = sample.mapInArrow(_sample_words, "h long, n long, k long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("n") >= MIN_DOCS)
     bad, good = F.col("k") + 0.5, F.col("n") - F.col("k") + 0.5
-    x = x.withColumn("odds", F.log(bad / (k + 1.0)) - F.log(good / (n - k + 1.0))).withColumn("z", F.col("odds") / F.sqrt(1 / bad + 1 / good))
+    x = x.withColumn("odds", F.log(bad / (k + 1.0)) - F.log(good / (n - k + 1.0)))
+    # Signed root of the likelihood ratio; words of which all documents are bad, or none, count in full.
+    part = lambda count, share: F.when(count == 0, 0.0).otherwise(count * F.log(count / (F.col("n") * share)))
+    ratio = F.greatest(2 * (part(F.col("k"), k / n) + part(F.col("n") - F.col("k"), 1 - k / n)), F.lit(0.0))
+    x = x.withColumn("z", F.signum("odds") * F.sqrt(ratio))
     lexicon = x.where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "h").limit(LEXICON).select("h", "odds").toPandas()
     words = lexicon["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)

@@ -51,12 +51,14 @@ class Words:
         self.at = np.searchsorted(self.starts, offsets)
         self.doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(self.at))
 
-    def hashes(self) -> np.ndarray:
+    def hashes(self, most: int | None = None) -> np.ndarray:
+        """Hash of each word, or of its first `most` bytes."""
+        ends = self.ends if most is None else np.minimum(self.ends, self.starts + most)
         up, down = powers(BYTE_BASE, len(self.buf) + 1)
         sums = np.zeros(len(self.buf) + 1, U64)
         np.cumsum(self.buf * up[: len(self.buf)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * down[self.starts]
-        h += (self.ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93)
+        h = (sums[ends] - sums[self.starts]) * down[self.starts]
+        h += (ends - self.starts).astype(U64) * U64(0xD6E8FEB86659FD93)
         return mix(h)
 
 
