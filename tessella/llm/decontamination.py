@@ -10,28 +10,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import ascii_lower, let, row_key, stored, text_of
+from tessella.llm.shared import ascii_lower, let, pieces, row_key, stored, text_of
 
-TOKEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing, so these part them.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, MAX_BROADCAST = 10, 500_000
 
 
 def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(text), F.lit(TOKEN), F.lit(0))
+    return pieces(ascii_lower(text), BETWEEN)
 
 
-def _hashes(ws: Column, length: Column) -> Column:
+def _window(ws: Column, at: Column, length: int) -> list[Column]:
+    """The words at one place. (slice() would copy the whole array each time.)"""
+    return [F.get(ws, at + k) for k in range(length)]
+
+
+def _hashes(ws: Column, length: int) -> Column:
     """Hash of every window of so many words."""
-    n = F.size(ws) - length + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(ws, i, length)))).otherwise(F.array().cast("array<bigint>"))
+    n = F.size(ws) - length
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*_window(ws, i, length)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """b_hash, b_words (array), b_len, b_items: each distinct window with the ids of its items."""
     items = benchmark.select("item_id", tokens(text_of()).alias("ws")).where(F.size("ws") > 0).withColumn("len", F.least(F.size("ws"), F.lit(window)))
     cut = items.select("item_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("len") + 1), lambda i: F.slice("ws", i, F.col("len")))).alias("b_words"))
-    return cut.groupBy("b_words").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("b_items")).select(F.xxhash64("b_words").alias("b_hash"), "b_words", F.size("b_words").alias("b_len"), "b_items")
+    by = cut.groupBy("b_words").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("b_items"))
+    return by.select(_by_length(F.size("b_words"), range(1, window + 1), lambda n: F.get(_hashes(F.col("b_words"), n), F.lit(0))).alias("b_hash"), "b_words", F.size("b_words").alias("b_len"), "b_items")
+
+
+def _by_length(length: Column, lengths, value) -> Column:
+    out = None
+    for n in lengths:
+        out = F.when(length == n, value(n)) if out is None else out.when(length == n, value(n))
+    return out
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
@@ -41,15 +55,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadc
     """
     table = stored(benchmark_windows(benchmark, window), "benchmark-windows")
     sizes = {r["b_len"]: r["count"] for r in table.groupBy("b_len").count().collect()}
-    texts = docs.select(*row_key(), tokens(text_of()).alias("ws"))
-    if len(sizes) == 1:
-        texts = texts.withColumn("len", F.lit(next(iter(sizes))))
-    else:
-        texts = texts.select("*", F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("len")) if sizes else texts.withColumn("len", F.lit(window)).where(F.lit(False))
-    probes = texts.select("_tsl_id", "_tsl_text", "ws", "len", F.posexplode(_hashes(F.col("ws"), F.col("len"))).alias("at", "hash"))
+    lengths = sorted(sizes) or [window]
+    texts = docs.select(*row_key(), tokens(text_of()).alias("ws")).withColumn("len", F.explode(F.array(*map(F.lit, lengths))) if len(lengths) > 1 else F.lit(lengths[0]))
+    # Hashed below the explode, which is then compiled and does not copy ws into each of its rows.
+    texts = texts.withColumn("hashes", _by_length(F.col("len"), lengths, lambda n: _hashes(F.col("ws"), n)))
+    probes = texts.select("_tsl_id", "_tsl_text", "ws", "len", F.posexplode_outer("hashes").alias("at", "hash"))
     if sum(sizes.values()) <= max_broadcast:
         table = F.broadcast(table)
-    same = (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (F.slice("ws", F.col("at") + 1, F.col("len")) == F.col("b_words"))
+    here = _by_length(F.col("len"), lengths, lambda n: F.array(*_window(F.col("ws"), F.col("at"), n)))
+    # Two orders instead of one equality: the words are then no join key, and are compared only where hashes meet.
+    same = (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (here <= F.col("b_words")) & (here >= F.col("b_words"))
     found = probes.join(table, same).select("_tsl_id", "_tsl_text", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b")).alias("span"), "b_items")
     merge = lambda acc, x: F.when(
         (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)["b"]),

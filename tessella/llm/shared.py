@@ -71,8 +71,18 @@ def ascii_lower(col: Column) -> Column:
     return F.when(F.octet_length(col) == F.length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
 
 
+def pieces(text: Column, separators: str) -> Column:
+    """What stands between runs of separators; splitting takes half the time of matching what is between."""
+
+    def bare(s: Column) -> Column:
+        first, last = (F.get(s, F.lit(0)) == "").cast("int"), (F.element_at(s, -1) == "").cast("int")
+        return F.slice(s, first + 1, F.greatest(F.size(s) - first - last, F.lit(0)))
+
+    return let(F.split(text, separators, -1), bare)
+
+
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    return pieces(text, SPACES)
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
