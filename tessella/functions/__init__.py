@@ -1 +1 @@
-
+"""Column builders that the operators share."""

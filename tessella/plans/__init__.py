@@ -1 +1 @@
-
+"""Compositions: configuration, pipelines, request-shaped functions and the registered queries."""

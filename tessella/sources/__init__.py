@@ -1 +1 @@
-
+"""Readers, writers and the schemas of panels."""

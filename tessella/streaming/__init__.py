@@ -1 +1 @@
-
+"""Panels from streams."""
