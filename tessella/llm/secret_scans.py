@@ -75,7 +75,7 @@ def battery(value: Column, symbols: str) -> Column:
     def of(codes: Column) -> Column:
         n = F.size(codes).cast("double")
         count = lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double")
-        squares = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: count(k) * count(k)), F.lit(0.0), lambda a, x: a + x)
+        squares = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: let(count(k), lambda c: c * c)), F.lit(0.0), lambda a, x: a + x)
         chi, df = squares * float(size) / n - n, float(size - 1)
         p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
         high = F.size(F.filter(codes, lambda c: c >= size // 2)).cast("double")
@@ -85,12 +85,17 @@ def battery(value: Column, symbols: str) -> Column:
         twice = 2 * high * (n - high)
         spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))
         p_runs = F.when(twice == 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - twice / n - 1) / spread))
-        mean = total(F.transform(codes, lambda c: c.cast("double"))) / n
-        var = total(F.transform(codes, lambda c: (c - mean) * (c - mean)))
-        serial = total(pairs(lambda a, b: (a - mean) * (b - mean)))
-        p_serial = F.when(var <= 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(serial / F.greatest(var, F.lit(1e-9))) * F.sqrt(n)))
+
+        def correlation(mean: Column) -> Column:
+            var = total(F.transform(codes, lambda c: (c - mean) * (c - mean)))
+            serial = total(pairs(lambda a, b: (a - mean) * (b - mean)))
+            return F.when(var > 0, serial / F.greatest(var, F.lit(1e-9)))
+
+        # The mean is bound, or each element would compute it anew.
+        r = let(total(F.transform(codes, lambda c: c.cast("double"))) / n, correlation)
+        p_serial = F.coalesce(2 * _upper_tail(F.abs(r) * F.sqrt(n)), F.lit(0.0))
         x = -reduce(lambda a, b: a + b, (F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)))
-        return F.exp(-x) * (1 + x + x * x / 2)
+        return let(x, lambda x: F.exp(-x) * (1 + x + x * x / 2))
 
     chars = F.filter(F.split(F.translate(value, "-_", "+/"), ""), lambda c: F.instr(F.lit(symbols), c) > 0) if size == 64 else F.filter(F.split(F.lower(value) if size == 16 else value, ""), lambda c: F.instr(F.lit(symbols), c) > 0)
     return let(F.transform(chars, lambda c: F.instr(F.lit(symbols), c) - 1), lambda codes: F.when(F.size(codes) < 2, F.lit(0.0)).otherwise(of(codes)))
@@ -154,15 +159,15 @@ def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 def mask(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """docs with every span of find_secrets() in text replaced by a mark; all columns stay."""
     keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    found = find_secrets(keyed.select(F.col("_row").alias("doc_id"), "text"), fdr)
+    found = find_secrets(keyed.select(F.col("_row").alias("doc_id"), "text"), fdr).withColumnRenamed("doc_id", "_row")
     # Overlapping spans (an access key inside an assignment) act as one: text between the furthest end so far and the next start is kept.
     step = lambda acc, x: F.struct(
-        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("doc_id.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("_row.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], x["e"]).alias("at"),
     )
     cut = F.aggregate(F.sort_array(F.concat("base", "found")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    whole = F.concat(cut["out"], F.substring(F.col("doc_id.text"), cut["at"] + 1, F.length("doc_id.text")))
-    return found.select(*(whole.alias(c) if c == "text" else F.col(f"doc_id.{c}").alias(c) for c in docs.columns))
+    whole = F.concat(cut["out"], F.substring(F.col("_row.text"), cut["at"] + 1, F.length("_row.text")))
+    return found.select(*(whole.alias(c) if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns))
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
