@@ -59,7 +59,7 @@ def plus(df: DataFrame, **columns: Column) -> DataFrame:
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in floating columns becomes null, which is what the operators skip."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.nanvl(F.col(c), F.lit(None).cast("double")) for c in floats}) if floats else df
+    return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) for c in floats}) if floats else df
 
 
 def skewness(value: Column, w: WindowSpec) -> Column:

@@ -75,7 +75,7 @@ def solve(x: Moments, low: float, high: float, g: float = 0.0, steps: int = 5000
 
 def best_return(x: Moments, low: float, high: float) -> np.ndarray:
     """argmax mu'w, all of the room to the highest means."""
-    w, left = np.full(len(x.mu), low), 1 - low * len(x.mu)
+    w, left = np.full(len(x.mu), float(low)), 1 - low * len(x.mu)
     for i in np.lexsort((np.arange(len(x.mu)), -x.mu)):
         w[i] += min(left, high - low)
         left -= w[i] - low
