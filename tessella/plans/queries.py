@@ -471,7 +471,7 @@ _past, _future = "UNBOUNDED PRECEDING AND CURRENT ROW", "CURRENT ROW AND UNBOUND
 windowed(
     "interpolate", lambda df: clean.interpolate(df, ["Close"]), {"Close": "coalesce(Close, v0 + (v1 - v0) * ((i - i0) * CAST(1 AS DOUBLE) / nullif(i1 - i0, 0)), v0)"}, gappy,
     GAPS + f", x0 AS (SELECT *, row_number() OVER ({W}) AS i FROM g), x1 AS (SELECT *, CASE WHEN Close IS NOT NULL THEN i END AS ci FROM x0), "
-    f"x AS (SELECT *, {_at('Close', 'last_value', _past)} AS v0, {_at('Close', 'first_value', _future)} AS v1, {_at('ci', 'last_value', _past)} AS i0, {_at('ci', 'first_value', _future)} AS i1 FROM x1)", "x",
+    f"x AS (SELECT *, {_at('Close', 'last_value', _past)} AS v0, {_at('Close', 'first_value', _future)} AS v1, {_at('ci', 'last_value', _past)} AS i0, {_at('ci', 'first_value', _future)} AS i1 FROM x1)", "x", digits=9,
 )
 
 
