@@ -57,6 +57,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     place = F.struct("_tsl_id", "_tsl_text", "a")
     all_ = stored(_chunk_rows(docs), "line-chunks")
     many = all_.groupBy("h", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "n", "first")
+    many = stored(many, "repeated-hashes")  # a join of two tables, so that Spark can split a hot chunk
     here = all_.join(many, ["h", "n"]).select("_tsl_id", "_tsl_text", F.struct("a", "n", "h", (place == F.col("first")).alias("first")).alias("c"))
     by = stored(here.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("c").alias("c")), "repeated-chunks")
     drop_stored(all_)
