@@ -10,6 +10,7 @@ from pathlib import Path
 from typing import Any
 
 SECTIONS = ("data", "preprocessing", "features", "models", "evaluation")
+# The defaults that results depend on.
 DEFAULTS: dict[str, Any] = {
     "data": {"raw_path": "data/raw", "processed_path": "data/processed", "external_path": "data/external", "assets": {"stocks": [], "etfs": [], "crypto": [], "bonds": []}},
     "preprocessing": {"adjust_splits": True, "adjust_dividends": True, "use_log_returns": True, "missing_data_strategy": "forward_fill", "volatility_window": 21, "sharpe_window": 21, "sortino_window": 21},

@@ -300,3 +300,14 @@ def test_stream_bars(spark, tmp_path):
     got = {r.Date.day: r for r in spark.table("bars").collect()}
     assert set(got) == {1, 2} and (got[1].Open, got[1].High, got[1].Close, got[1].Volume) == (101.0, 109.0, 109.0, 3.0)
     assert math.isclose(bars(ticks).where("Date = '2024-01-09'").first().Low, 901.0)
+
+
+def test_vendor_source(spark):
+    from tessella.sources.vendor import download, provider
+
+    def fetch(ticker, start, end):
+        for i in range(3):
+            yield (dt.date.fromisoformat(start) + dt.timedelta(days=i), ticker, 1.0, 2.0, 0.5, 1.5 + i, 10.0)
+
+    df = download(spark, provider(fetch), ["A", "B"], "2020-01-01", "2020-02-01")
+    assert df.count() == 6 and column(df, "Close") == [1.5, 2.5, 3.5]
