@@ -22,7 +22,7 @@ from tessella.llm.textkernel import U64, Words, chunks, lower_ascii, mix
 
 SHINGLE, BITS, SEED = 3, 2, 42
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-PAIRS, LARGE = 16, 4096
+PAIRS, LARGE = 4, 4096
 NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD, LOOSE = 5, 0.8, 20, 20, 7, 16
 
 
@@ -258,7 +258,7 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 def _joined(variants: DataFrame, bits: int) -> DataFrame:
     """Links among the fp that share a key, of variants (fp, key)."""
     parts = int(variants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return variants.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(bits), "a long, b long")
+    return variants.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_linker(bits), "a long, b long")
 
 
 def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
