@@ -48,7 +48,7 @@ def _pack(hashes: np.ndarray, tags: np.ndarray, docs: np.ndarray, block: np.ndar
     many = size > 1
     known = np.repeat(many, size)
     bucket = _bucket(h, buckets) if wide else h >> U64(32)
-    yield int(bucket[0]), 2, d[known].astype(np.uint16).tobytes(), t[known].tobytes()
+    yield -1, 2, d[known].astype(np.uint16).tobytes(), t[known].tobytes()
     ask_doc = np.where(many, NOBODY, d[first]).astype(np.uint16)
     meta = ask_doc | (many.astype(np.uint16) << np.uint16(14)) | (np.logical_or.reduceat(blk, first).astype(np.uint16) << np.uint16(15))
     value = t[first] if wide else h[first].astype(np.uint32)
@@ -90,10 +90,11 @@ class _Batch:
         keys = np.concatenate(self.keys)
         # Named by its documents and hashes, so that a task run again names it alike.
         name = int(np.bitwise_xor.reduce(mix(keys.view(U64).ravel() + np.arange(keys.size, dtype=U64))) ^ U64(len(h))) & (2**63 - 1)
-        out = [(name % self.buckets, 1, keys.tobytes(), b""), *_pack(h, t, doc, block, self.buckets, self.wide)]
+        out = [(-1, 1, keys.tobytes(), b""), *_pack(h, t, doc, block, self.buckets, self.wide)]
+        anywhere = name % self.buckets  # rows that only pass through
         self.clear()
         return pa.RecordBatch.from_arrays(
-            [pa.array([x[0] for x in out], pa.int32()), pa.array([name] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())],
+            [pa.array([x[0] if x[0] >= 0 else anywhere for x in out], pa.int32()), pa.array([name] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary()), pa.array([x[3] for x in out], pa.binary())],
             ["bucket", "batch", "kind", "a", "b"],
         )
 
