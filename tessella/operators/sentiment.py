@@ -36,12 +36,17 @@ def headlines(pages: DataFrame, key: Column, tag: str = "h3", css_class: str | N
 
 def keyword_scores(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """struct(POSITIVE, NEGATIVE, NEUTRAL): shares of the keywords found, each counted once; 0.5, 0.5, 1 without any."""
-    low = F.lower(text)
-    found = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
-    p, n = found(positive), found(negative)
-    some = p + n > 0
-    pos, neg = F.when(some, p / (p + n)).otherwise(0.5), F.when(some, n / (p + n)).otherwise(0.5)
-    return F.struct(pos.alias("POSITIVE"), neg.alias("NEGATIVE"), F.when(some, 1 - F.abs(p / (p + n) - n / (p + n))).otherwise(1.0).alias("NEUTRAL"))
+    found = lambda low, words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+
+    def shares(c: Column) -> Column:
+        p, n = c["p"], c["n"]
+        some = p + n > 0
+        pos, neg = F.when(some, p / (p + n)).otherwise(0.5), F.when(some, n / (p + n)).otherwise(0.5)
+        return F.struct(pos.alias("POSITIVE"), neg.alias("NEGATIVE"), F.when(some, 1 - F.abs(p / (p + n) - n / (p + n))).otherwise(1.0).alias("NEUTRAL"))
+
+    # Bound in one-element arrays, so that the text is lower-cased and searched once a row.
+    counts = F.transform(F.array(F.lower(text)), lambda low: F.struct(found(low, positive).alias("p"), found(low, negative).alias("n")))
+    return F.get(F.transform(counts, shares), F.lit(0))
 
 
 def score_texts(df: DataFrame, text: str = "headline", scorer: Callable[[Column], Column] = keyword_scores) -> DataFrame:
