@@ -22,8 +22,8 @@ from tessella.llm.textkernel import U64, Words, chunks, lower_ascii, mix
 
 SHINGLE, BITS, SEED = 3, 2, 42
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
-PAIRS, LARGE = 4, 4096
-NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD, LOOSE = 5, 0.8, 20, 20, 7, 16
+PAIRS, SMALL, LARGE = 4, 16, 4096
+NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD = 5, 0.8, 20, 20, 7
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:
@@ -119,33 +119,38 @@ def fingerprints_of(w: Words, k: int) -> np.ndarray:
     return out
 
 
-def wide_of(w: Words, k: int, tables: int, width: int, wild: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprints, further bits, keys) per document, of its set of shingles.
+def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, document of each): the distinct shingles of each document, in order."""
+    h, doc = shingle_hashes(w, k)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
+    return h[new], doc[new]
+
+
+def keys_of(w: Words, k: int, tables: int, width: int, wild: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the set, fingerprints, keys) per document, of its set of shingles.
 
-    The further bits, tables * width rounded up to 64s, are of the same kind. keys are tables * wild ints: each segment of
-    them with one bit wiped, which is in turn each of the `wild` bits with the closest votes, the ones that an edit flips.
+    Further bits, tables * width rounded up to 64s, are of the fingerprint's kind. keys are tables * wild ints: each segment
+    of them with one bit wiped, which is in turn each of the `wild` bits with the closest votes, the ones that an edit flips.
     """
     n, more = len(w.at) - 1, -(-tables * width // 64)
-    fp, wide, keys = np.zeros(n, U64), np.zeros((n, more), U64), np.full((n, tables * wild), -1, np.int32)
-    h, doc = shingle_hashes(w, k)
+    name, fp, keys = np.zeros(n, U64), np.zeros(n, U64), np.full((n, tables * wild), -1, np.int32)
+    h, doc = shingle_sets(w, k)
     if not len(h):
-        return fp, wide, keys
-    order = np.lexsort((h, doc))
-    h, doc = h[order], doc[order]
-    new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
-    h, doc = h[new], doc[new]
+        return name, fp, keys
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     size, who = np.diff(np.append(first, len(h))), doc[first]
+    name[who] = mix(np.add.reduceat(mix(h + P3), first) + size.astype(U64))
     fp[who] = np.packbits(_votes(h, first, size) > 0, axis=1, bitorder="little").view(U64).ravel()
     votes = np.concatenate([_votes(mix(h + U64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)), first, size) for j in range(more)], axis=1)
-    wide[who] = np.packbits(votes > 0, axis=1, bitorder="little").view(U64)
     votes = votes[:, : tables * width].reshape(len(who), tables, width)
     value = ((votes > 0) << np.arange(width)).sum(axis=2).astype(np.int64)
     close = np.argpartition(np.abs(votes), wild - 1, axis=2)[:, :, :wild]
     # A key names its table and the wiped bit, then the other bits.
     packed = (np.arange(tables)[None, :, None] << (width + 5)) | (close << width) | (value[:, :, None] & ~(1 << close))
     keys[who] = packed.reshape(len(who), -1).astype(np.int32)
-    return fp, wide, keys
+    return name, fp, keys
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
@@ -195,6 +200,35 @@ def _links(f: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield from _forest(part, bits)
 
 
+def _complete(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The named columns of runs of rows with complete keys (the first name); rows come sorted by key."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        new = [batch.column(c).to_numpy() for c in names]
+        if not len(new[0]):
+            continue
+        if rows >= 200_000 and new[0][-1] != held[0][0][0]:  # the last key may go on in the next batch
+            new = [np.concatenate(x) for x in zip(*held, new, strict=True)]
+            cut = int(np.searchsorted(new[0], new[0][-1]))
+            yield [x[:cut] for x in new]
+            held, rows = [[x[cut:] for x in new]], len(new[0]) - cut
+        else:
+            held.append(new)
+            rows += len(new[0])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _distinct(pairs) -> np.ndarray:
+    """The distinct (a, b) of parts (two arrays each), as signed longs, the lesser first."""
+    pairs = [p for p in pairs if len(p[0])]
+    if not pairs:
+        return np.zeros((0, 2), np.int64)
+    ab = np.stack([np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True)], axis=1)
+    return np.unique(np.sort(ab, axis=1), axis=0)
+
+
 def _linker(bits: int):
     def edges(keys: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Links of complete groups, keys sorted."""
@@ -211,31 +245,99 @@ def _linker(bits: int):
             yield from _links(f[first[a] : first[a] + size[a]], bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs) -> Iterator[pa.RecordBatch]:
-            pairs = [p for p in pairs if len(p[0])]
-            if pairs:
-                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-                ab = np.unique(np.stack([a.view(np.int64), b.view(np.int64)], axis=1), axis=0)
+        for keys, f in _complete(batches, ["key", "fp"]):
+            ab = _distinct(edges(keys, f.view(U64)))
+            if len(ab):
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
-        held_k: list[np.ndarray] = []
-        held_f: list[np.ndarray] = []
-        rows = 0
-        for batch in batches:
-            k, f = batch.column("key").to_numpy(), batch.column("fp").to_numpy().view(U64)
-            if not len(k):
+    return run
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, size) of each run of equal keys."""
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return first, np.diff(np.append(first, len(keys)))
+
+
+def _candidates(tight: int, loose: int):
+    """From (key, fp, name) sorted: a, b to verify first, without key; and name, fp of all that have a loose link, with key.
+
+    A key's two members are a pair. Of more, a forest of tight links comes first; their loose links are left to _across(),
+    which knows what the forest has joined.
+    """
+
+    def some(keys: np.ndarray, f: np.ndarray, names: np.ndarray):
+        first, size = _groups(keys)
+        of = np.repeat(size, size)
+        live, parent = np.zeros(len(keys), bool), np.full(len(keys), -1)
+        pairs = []
+        for d in range(min(SMALL, int(size.max(initial=1))) - 1, 0, -1):
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & (of[d:] <= SMALL))
+            differ = np.bitwise_count(f[i] ^ f[i + d])
+            near = i[differ <= loose]
+            two = of[near] == 2
+            pairs.append((names[near[two]], names[near[two] + 1]))
+            near = near[~two]
+            live[near] = live[near + d] = True
+            close = i[differ <= tight]
+            parent[close + d] = close
+        child = np.flatnonzero((parent >= 0) & (of > 2))
+        pairs.append((names[child], names[parent[child]]))
+        for a in np.flatnonzero(size > SMALL):
+            g, who = f[first[a] : first[a] + size[a]], names[first[a] : first[a] + size[a]]
+            u, at, back, count = np.unique(g, return_index=True, return_inverse=True, return_counts=True)
+            touched = count > 1
+            for x, y in _links(u, loose):
+                touched[np.searchsorted(u, x)] = touched[np.searchsorted(u, y)] = True
+            live[first[a] : first[a] + size[a]] = touched[back]
+            same = np.flatnonzero(g[1:] == g[:-1])
+            pairs.append((who[same], who[same + 1]))
+            for x, y in _links(u[touched], tight):
+                pairs.append((who[at[np.searchsorted(u, x)]], who[at[np.searchsorted(u, y)]]))
+        return _distinct(pairs), np.flatnonzero(live)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, f, names in _complete(batches, ["key", "fp", "name"]):
+            ab, i = some(keys, f.view(U64), names.view(U64))
+            if len(ab):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(len(ab), pa.int32())], ["a", "b", "key"])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(f[i]), pa.array(keys[i])], ["a", "b", "key"])
+
+    return run
+
+
+def _across(loose: int):
+    """From (key, fp, name, root) sorted by key and root: all loose links between members with different roots."""
+
+    def some(keys: np.ndarray, f: np.ndarray, names: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        first, size = _groups(keys)
+        of = np.repeat(size, size)
+        for d in range(1, min(SMALL, int(size.max(initial=1)))):
+            i = np.flatnonzero((keys[d:] == keys[:-d]) & (of[d:] <= SMALL) & (roots[d:] != roots[:-d]))
+            i = i[np.bitwise_count(f[i] ^ f[i + d]) <= loose]
+            yield names[i], names[i + d]
+        for a in np.flatnonzero(size > SMALL):
+            part = slice(first[a], first[a] + size[a])
+            g, who, r = f[part], names[part], roots[part]
+            if r[0] == r[-1]:
                 continue
-            if rows >= 200_000 and k[-1] != held_k[0][0]:  # the last key may go on in the next batch
-                keys, fps = np.concatenate([*held_k, k]), np.concatenate([*held_f, f])
-                cut = int(np.searchsorted(keys, keys[-1]))
-                yield from out(edges(keys[:cut], fps[:cut]))
-                held_k, held_f, rows = [keys[cut:]], [fps[cut:]], len(keys) - cut
-            else:
-                held_k.append(k)
-                held_f.append(f)
-                rows += len(k)
-        if held_k:
-            yield from out(edges(np.concatenate(held_k), np.concatenate(held_f)))
+            start, count = _groups(r)
+            most = start[np.argmax(count)]
+            for s, n in zip(start, count, strict=True):
+                if s == most:
+                    continue
+                # Each of its members with those of later groups, and with the largest, which is not begun from.
+                other = np.concatenate([np.arange(s + n, len(g)), np.arange(most, most + count.max()) if most < s else np.zeros(0, np.int64)])
+                for x in range(s, s + n):
+                    y = other[np.bitwise_count(g[other] ^ g[x]) <= loose]
+                    yield np.full(len(y), who[x]), who[y]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, f, names, roots in _complete(batches, ["key", "fp", "name", "root"]):
+            ab = _distinct(some(keys, f.view(U64), names.view(U64), roots))
+            if len(ab):
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
     return run
 
@@ -277,38 +379,66 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFr
     return prints.join(of, F.col("fp") == F.col("n_fp")).select("doc_id", "fp", "component_id")
 
 
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """name, set (distinct shingle hashes) of nodes (name, _tsl_id, _tsl_text), from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, buf, offsets in chunks(batch.column("_tsl_words"), 1 << 20):
+                h, doc = shingle_sets(Words(lower_ascii(buf), offsets), shingle)
+                at = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("name").slice(a, b - a), pa.ListArray.from_arrays(pa.array(at), pa.array(h.view(np.int64)))], ["name", "set"])
+
+    texts = docs.select(*row_key(), F.col("text").alias("_tsl_words")).join(nodes.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"])
+    return texts.select("name", "_tsl_words").mapInArrow(run, "name long, set array<long>").groupBy("name").agg(F.first("set").alias("set"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets are as similar by exact Jaccard."""
+    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("name").alias("b"), F.col("set").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common) - 1e-9).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """_tsl_id, _tsl_text of the documents (see row_key()) that another one of their group replaces.
 
-    similarity: of two sets of shingles (Jaccard), by the share of fingerprint bits that differ. At 0.8 it is 15 %, more
-    than segments of one 64-bit fingerprint can hold apart, so keys come from TABLES * WIDTH further bits: each segment is
-    indexed under its WILD most likely flips, wiped one at a time. Pairs that meet and differ in LOOSE of 64 bits or fewer
-    are verified on the further bits, up to one standard error beyond the similarity. The least document of a group stays.
+    similarity: of two sets of shingles (exact Jaccard). At 0.8 15 % of SimHash bits differ, more than segments of one 64-bit
+    fingerprint can hold apart, so keys come from TABLES * WIDTH further bits: each segment is indexed under its WILD most
+    likely flips, wiped one at a time. Pairs that meet and differ in at most three standard errors more of 64 bits than is
+    expected are candidates; only the sets decide. Documents with one set are one node. A key's tight forest is verified
+    first; then every candidate pair whose ends are not yet joined by verified links is. The least document of a group stays.
     """
-    more = -(-TABLES * WIDTH // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in chunks(batch.column("_tsl_words"), 1 << 20):
-                fp, wide, keys = wide_of(Words(lower_ascii(buf), offsets), shingle, TABLES, WIDTH, WILD)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (wide.view(np.int64), keys)]
-                yield pa.RecordBatch.from_arrays([batch.column("_tsl_id").slice(a, b - a), batch.column("_tsl_text").slice(a, b - a), pa.array(fp.view(np.int64)), *lists], ["_tsl_id", "_tsl_text", "fp", "wide", "keys"])
+                name, fp, keys = keys_of(Words(lower_ascii(buf), offsets), shingle, TABLES, WIDTH, WILD)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column("_tsl_id").slice(a, b - a), batch.column("_tsl_text").slice(a, b - a), pa.array(name.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["_tsl_id", "_tsl_text", "name", "fp", "keys"])
 
     slim = docs.select(*row_key(), F.col("text").alias("_tsl_words"))
-    prints = stored(slim.mapInArrow(run, "_tsl_id long, _tsl_text long, fp long, wide array<long>, keys array<int>"), "near-fingerprints")
-    nodes = prints.groupBy("fp").agg(F.first(F.struct("wide", "keys")).alias("x")).select("fp", "x.wide", "x.keys")
-    pairs = stored(_joined(nodes.select("fp", F.explode("keys").alias("key")), LOOSE).distinct(), "near-pairs")
+    prints = stored(slim.mapInArrow(run, "_tsl_id long, _tsl_text long, name long, fp long, keys array<int>"), "near-fingerprints")
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    most = int(64 * more * angle + math.sqrt(64 * more * angle * (1 - angle)))
-    wide = prints.groupBy("fp").agg(F.first("wide").alias("wide"))
-    both = pairs.join(wide.select(F.col("fp").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("fp").alias("b"), F.col("wide").alias("wb")), "b")
-    differ = sum((F.bit_count(F.col("wa")[i].bitwiseXOR(F.col("wb")[i])) for i in range(more)), F.lit(0))
-    roots = components(both.where(differ <= most).select("a", "b"))
-    whose = stored(prints.select("_tsl_id", "_tsl_text", "fp").join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("_tsl_id", "_tsl_text", F.coalesce("root", "fp").alias("root")), "near-groups")
+    tight, loose = int(64 * angle), int(64 * angle + 3 * math.sqrt(64 * angle * (1 - angle)))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    variants = prints.groupBy("name").agg(F.first(F.struct("fp", "keys")).alias("x")).select("name", "x.fp", F.explode("x.keys").alias("key"))
+    met = stored(variants.repartition(parts, "key").sortWithinPartitions("key", "fp", "name").mapInArrow(_candidates(tight, loose), "a long, b long, key int"), "near-candidates")
+    pairs = stored(met.where("key IS NULL").select("a", "b").distinct(), "near-pairs")
+    live = met.where("key IS NOT NULL").select("key", F.col("b").alias("fp"), F.col("a").alias("name"))
+    asked = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(live.select("name")).distinct()
+    least = prints.groupBy("name").agg(F.min(F.struct("_tsl_id", "_tsl_text")).alias("l")).join(asked, "name").select("name", "l.*")
+    sets = stored(_sets(docs, stored(least, "near-nodes"), shingle), "near-sets")
+    sure = stored(_verified(pairs, sets, similarity), "near-verified")
+    named = live.join(components(sure).select(F.col("node").alias("name"), "root"), "name", "left").select("key", "fp", "name", F.coalesce("root", "name").alias("root"))
+    rest = stored(named.repartition(parts, "key").sortWithinPartitions("key", "root", "fp", "name").mapInArrow(_across(loose), "a long, b long").distinct(), "near-rest")
+    roots = components(sure.union(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity)))
+    whose = stored(prints.select("_tsl_id", "_tsl_text", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("_tsl_id", "_tsl_text", F.coalesce("root", "name").alias("root")), "near-groups")
     least = whose.groupBy("root").agg(F.min("_tsl_id").alias("l_id"), F.min(F.struct("_tsl_id", "_tsl_text"))["_tsl_text"].alias("l_text"))
     least = stored(least, "near-least")
     out = stored(whose.join(least, "root").where("_tsl_id <> l_id OR _tsl_text <> l_text").select("_tsl_id", "_tsl_text").distinct(), "near-duplicates")
-    drop_stored(prints)
+    for x in (prints, met, sets):
+        drop_stored(x)
     return out
 
 

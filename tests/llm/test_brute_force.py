@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -363,3 +364,67 @@ def test_quality_classifier(spark):
     fresh = got[got.doc_id % 3 == 0]
     assert (fresh.kept != (fresh.doc_id % 5 == 0)).mean() > 0.95  # held-out accuracy
     assert got.host_rate.between(0.15, 0.3).all() and got.p_bad.between(0, 1).all()
+
+
+def _edited(words, rnd, at):
+    out = list(words)
+    for k in at:
+        out[k] = f"x{rnd.randrange(10**9)}"
+    return out
+
+
+def _near_groups(rows, similarity=0.8):
+    """Groups by exact Jaccard of five-word shingle sets, over all pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    ids, up = sorted(sets), {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    by = collections.defaultdict(set)
+    for i in ids:
+        for s in sets[i]:
+            by[s].add(i)
+    for i in ids:
+        common = collections.Counter(j for s in sets[i] for j in by[s] if j > i)
+        for j, n in common.items():
+            if n >= similarity * (len(sets[i]) + len(sets[j]) - n):
+                x, y = sorted((root(i), root(j)))
+                up[y] = x
+    return {i: root(i) for i in ids}
+
+
+def _gone(spark, rows):
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    return {i for i, _ in rows} - {r.doc_id for r in simhash.keep_one(docs).collect()}
+
+
+@pytest.fixture(scope="module")
+def template_family():
+    """400 documents 66 % alike that share a template; 100 of them have a copy 82 % like them."""
+    rnd = random.Random(3)
+    template = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+    rows = [(i, _edited(template, rnd, rnd.sample(range(5, 195, 10), 4))) for i in range(400)]
+    return rows + [(1000 + i, _edited(rows[i][1], rnd, rnd.sample(range(10, 195, 10), 4))) for i in range(100)]
+
+
+def test_near_duplicates_in_a_family(spark, template_family):
+    """True pairs are found among many candidates that are none, whichever document the others hang on."""
+    want = {i for i, r in _near_groups(template_family).items() if r != i}
+    assert len(want) > 100 and len(want - _gone(spark, template_family)) <= 0.05 * len(want)
+
+
+def test_pairs_across_verified_links():
+    """b and c are alike, x is near both by fingerprint only: b-c is asked though x links both, in groups of every size."""
+    rnd = random.Random(1)
+    for size in (3, 5, 16, 40):
+        f = np.array(sorted({sum(1 << rnd.randrange(64) for _ in range(3)) for _ in range(size)}), np.uint64)
+        names, roots = np.arange(len(f)) + 1, np.arange(len(f)) // 2
+        batch = pa.RecordBatch.from_arrays([pa.array(np.full(len(f), 7, np.int32)), pa.array(f.view(np.int64)), pa.array(names)], ["key", "fp", "name"])
+        out = pa.Table.from_batches(list(simhash._candidates(9, 18)([batch]))).to_pandas()
+        assert set(out[out.key.notna()].a) == set(names)
+        batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots)], ["key", "fp", "name", "root"])
+        got = {(r.a, r.b) for r in pa.Table.from_batches(list(simhash._across(18)([batch]))).to_pandas().itertuples()}
+        assert got == {(a, b) for a in names for b in names if a < b and roots[a - 1] != roots[b - 1]}
