@@ -410,6 +410,12 @@ def template_family():
     return rows + [(1000 + i, _edited(rows[i][1], rnd, rnd.sample(range(10, 195, 10), 4))) for i in range(100)]
 
 
+def test_near_duplicates_are_verified(spark, template_family):
+    """In a family that is 66 % alike, only documents with a true link go."""
+    want = _near_groups(template_family)
+    assert _gone(spark, template_family) <= {i for i, r in want.items() if r != i}
+
+
 def test_near_duplicates_in_a_family(spark, template_family):
     """True pairs are found among many candidates that are none, whichever document the others hang on."""
     want = {i for i, r in _near_groups(template_family).items() if r != i}
