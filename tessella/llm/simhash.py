@@ -23,7 +23,7 @@ from tessella.llm.textkernel import U64, Words, chunks, lower_ascii, mix
 SHINGLE, BITS, SEED = 3, 2, 42
 P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
 PAIRS, SMALL, LARGE = 4, 16, 4096
-NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD = 5, 0.8, 20, 20, 7
+NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD = 5, 0.8, 32, 20, 7
 
 
 def _rotl(x: np.ndarray, r: int) -> np.ndarray:

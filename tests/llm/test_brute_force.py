@@ -434,3 +434,11 @@ def test_pairs_across_verified_links():
         batch = pa.RecordBatch.from_arrays([*batch.columns, pa.array(roots)], ["key", "fp", "name", "root"])
         got = {(r.a, r.b) for r in pa.Table.from_batches(list(simhash._across(18)([batch]))).to_pandas().itertuples()}
         assert got == {(a, b) for a in names for b in names if a < b and roots[a - 1] != roots[b - 1]}
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of exactly 0.8."""
+    rnd = random.Random(7)
+    rows = [(i, [f"w{rnd.randrange(5000)}" for _ in range(184)]) for i in range(300)]
+    rows += [(1000 + i, _edited(t, rnd, rnd.sample(range(5, 179, 10), 4))) for i, t in rows]
+    assert len(_gone(spark, rows)) >= 0.97 * 300
