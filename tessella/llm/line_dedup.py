@@ -1,9 +1,11 @@
-"""Line dedup: content-defined chunks of lines that stand elsewhere in the corpus.
-
-A rolling hash over the last two line hashes ends a chunk where it is 0 modulo DIVISOR (two lines at least), so chunks
-realign after an insertion. Chunk hashes are compared over the corpus; of equal chunks the one in the least document and
-place stays, the others go, but only after their bytes were compared with its bytes. Texts move twice: once to cut out
-the chunks to compare, once to drop them; a chunk that very many documents share is summed before it is sent.
+"""Line dedup: runs of two lines or more that stand elsewhere in the corpus.
+
+A rolling hash over two neighbouring lines with words is compared over the corpus at every line, the finest scale of
+content-defined boundaries, so that a repeated run is met from its first line to its last wherever it stands; blank lines
+inside go along. Of equal windows the one in the least document and place stays, the others go, but only after their bytes
+were compared with its bytes. A window that overlaps the one that stays goes from where that ends. Every line that goes so
+has an equal one at a lesser place, down to one that stays. Texts move twice: once to fetch the windows to compare, once to
+drop them; a window that very many documents share is summed before it is sent.
 """
 
 from __future__ import annotations
@@ -13,61 +15,61 @@ from pyspark.sql import functions as F
 
 from tessella.llm.shared import WORD, drop_stored, let, row_key, stored, text_of
 
-DIVISOR, MIN_LINES = 3, 2
-
 
 def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def chunks_of(lines: Column, divisor: int = DIVISOR) -> Column:
-    """Array of struct(a, n): first line and number of lines of each chunk, in order; they cover all lines."""
+def windows_of(lines: Column) -> Column:
+    """Array of struct(a, n, h): first line, number of lines and hash of every two lines with words and what is between."""
 
-    def cut(hashes: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            length = i - acc["a"] + 1
-            rolled = F.pmod(F.xxhash64(F.get(hashes, i - 1), F.get(hashes, i)), F.lit(divisor))
-            ends = (i == F.size(hashes) - 1) | ((length >= MIN_LINES) & (rolled == 0))
-            return F.struct(
-                F.when(ends, F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), length.alias("n"))))).otherwise(acc["out"]).alias("out"),
-                F.when(ends, i + 1).otherwise(acc["a"]).alias("a"),
-            )
+    def pairs(full: Column) -> Column:
+        window = lambda k: F.struct(F.get(full, k).alias("a"), (F.get(full, k + 1) - F.get(full, k) + 1).alias("n"), F.xxhash64(F.get(lines, F.get(full, k)), F.get(lines, F.get(full, k + 1))).alias("h"))
+        return F.when(F.size(full) > 1, F.transform(F.sequence(F.lit(0), F.size(full) - 2), window))
 
-        start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("out"), F.lit(0).alias("a"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(hashes) - 1), start, step)["out"]
+    return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), pairs)
 
-    return let(F.transform(lines, lambda x: F.xxhash64(x)), cut)
 
+def _runs(windows: Column) -> Column:
+    """Array of struct(a, n): the lines of windows (array of struct(a, to)), overlapping and adjoining ones as one."""
+    ended = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), (acc["to"] - acc["a"] + 1).alias("n"))))
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """_tsl_id, _tsl_text, a, n, h of every chunk of two lines with words or more."""
+    def step(acc: Column, w: Column) -> Column:
+        on = w["a"] <= acc["to"] + 1
+        return F.struct(
+            F.when(on, acc["out"]).otherwise(ended(acc)).alias("out"),
+            F.when(on, acc["a"]).otherwise(w["a"]).alias("a"),
+            F.when(on, F.greatest(acc["to"], w["to"])).otherwise(w["to"]).alias("to"),
+        )
 
-    def hashed(ls: Column) -> Column:
-        full = F.filter(chunks_of(ls), lambda c: c["n"] >= MIN_LINES)
-        body = lambda c: F.slice(ls, c["a"] + 1, c["n"])
-        worth = F.filter(full, lambda c: F.size(F.filter(body(c), lambda x: x.rlike(WORD))) >= MIN_LINES)
-        return F.transform(worth, lambda c: F.struct(c["a"].alias("a"), c["n"].alias("n"), F.xxhash64(body(c)).alias("h")))
+    def merged(w: Column) -> Column:
+        start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("out"), F.get(w, F.lit(0))["a"].alias("a"), F.get(w, F.lit(0))["to"].alias("to"))
+        return F.aggregate(w, start, step, ended)
 
-    cut = docs.select(*row_key(), let(lines_of(text_of()), hashed).alias("c"))
-    return cut.select("_tsl_id", "_tsl_text", F.explode("c").alias("c")).select("_tsl_id", "_tsl_text", "c.a", "c.n", "c.h")
+    return let(F.array_sort(windows), merged)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """_tsl_id, _tsl_text, _tsl_gone (array of struct(a, n)): the chunks that each document loses."""
-    place = F.struct("_tsl_id", "_tsl_text", "a")
-    all_ = stored(_chunk_rows(docs), "line-chunks")
-    many = all_.groupBy("h", "n").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "n", "first")
-    many = stored(many, "repeated-hashes")  # a join of two tables, so that Spark can split a hot chunk
-    here = all_.join(many, ["h", "n"]).select("_tsl_id", "_tsl_text", F.struct("a", "n", "h", (place == F.col("first")).alias("first")).alias("c"))
-    by = stored(here.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("c").alias("c")), "repeated-chunks")
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """_tsl_id, _tsl_text, _tsl_gone (array of struct(a, n)): the runs of lines that each document loses."""
+    cut = docs.select(*row_key(), let(lines_of(text_of()), windows_of).alias("c"))
+    all_ = stored(cut.select("_tsl_id", "_tsl_text", F.explode("c").alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "line-windows")
+    place = F.struct("_tsl_id", "_tsl_text", "a", "n")
+    many = all_.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h", "first")
+    many = stored(many, "repeated-hashes")  # a join of two tables, so that Spark can split a hot window
+    mine = (F.col("_tsl_id") == F.col("first._tsl_id")) & (F.col("_tsl_text") == F.col("first._tsl_text"))
+    begin = F.when(mine, F.greatest(F.col("a"), F.col("first.a") + F.col("first.n"))).otherwise(F.col("a"))
+    here = all_.join(many, "h").select("_tsl_id", "_tsl_text", F.struct("a", "n", "h", (place == F.col("first")).alias("first"), begin.alias("begin")).alias("c"))
+    by = stored(here.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("c").alias("c")), "repeated-windows")
     drop_stored(all_)
-    # The bytes of every chunk whose hash repeats.
+    # The bytes of every window whose hash repeats.
     with_text = docs.select(*row_key(), F.col("text").alias("t")).join(by.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"])
-    body = let(lines_of(F.col("t")), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["n"].alias("n"), c["h"].alias("h"), c["first"].alias("first"), F.array_join(F.slice(ls, c["a"] + 1, c["n"]), "\n").alias("body"))))
-    bytes_ = stored(with_text.select("_tsl_id", "_tsl_text", F.explode(body).alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "chunk-bytes")
-    first = bytes_.where("first").groupBy("h", "n").agg(F.first("body").alias("kept"))
-    same = bytes_.where("NOT first").join(first, ["h", "n"]).where("body = kept")
-    out = stored(same.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set(F.struct("a", "n")).alias("_tsl_gone")), "chunks-to-drop")
+    both = lambda ls, c: F.concat_ws("\n", F.get(ls, c["a"]), F.get(ls, c["a"] + c["n"] - 1))
+    body = let(lines_of(F.col("t")), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["n"].alias("n"), c["h"].alias("h"), c["first"].alias("first"), c["begin"].alias("begin"), both(ls, c).alias("body"))))
+    bytes_ = stored(with_text.select("_tsl_id", "_tsl_text", F.explode(body).alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "window-bytes")
+    first = bytes_.where("first").groupBy("h").agg(F.first("body").alias("kept"))
+    same = bytes_.where("NOT first AND begin < a + n").join(first, "h").where("body = kept")
+    gone = same.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set(F.struct(F.col("begin").alias("a"), (F.col("a") + F.col("n") - 1).alias("to"))).alias("w"))
+    out = stored(gone.select("_tsl_id", "_tsl_text", _runs(F.col("w")).alias("_tsl_gone")), "runs-to-drop")
     drop_stored(by)
     drop_stored(bytes_)
     return out
@@ -79,19 +81,19 @@ def _kept(text: Column, gone: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs without repeated chunks of lines in text; all rows and columns stay.
+    """docs without repeated runs of lines in text; all rows and columns stay.
 
     Null and empty texts stay as they are. A null doc_id counts as the least. Repeated rows (id and text) are one document:
     each keeps what it keeps. A text that loses all its lines is ''. An empty table gives no rows.
     """
-    gone = repeated_chunks(docs)
+    gone = repeated_runs(docs)
     keyed = docs.select("*", *row_key()).join(gone.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left")
     return keyed.select(*(_kept(F.col("text"), F.col("_tsl_gone")).alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row of docs (doc_id, text); null text: no lines."""
-    gone = repeated_chunks(docs.select("doc_id", "text"))
+    gone = repeated_runs(docs.select("doc_id", "text"))
     keyed = docs.select("doc_id", "text", *row_key()).join(gone.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left")
     lost = F.coalesce(F.aggregate("_tsl_gone", F.lit(0), lambda acc, g: acc + g["n"]), F.lit(0)).cast("long")
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text")))).cast("long")

@@ -442,3 +442,32 @@ def test_near_duplicates_at_the_threshold(spark):
     rows = [(i, [f"w{rnd.randrange(5000)}" for _ in range(184)]) for i in range(300)]
     rows += [(1000 + i, _edited(t, rnd, rnd.sample(range(5, 179, 10), 4))) for i, t in rows]
     assert len(_gone(spark, rows)) >= 0.97 * 300
+
+
+def _lines_left(docs):
+    """Every window of two lines with words stays at its least place only; lines where it stays at once are its own."""
+    first, left = {}, {}
+    for i, t in sorted(docs):
+        lines, gone = t.split("\n"), set()
+        full = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(full, full[1:], strict=False):
+            at = first.setdefault((lines[a], lines[b]), (i, a, b))
+            if at != (i, a, b):
+                gone |= set(range(max(a, at[2] + 1) if at[0] == i else a, b + 1))
+        left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return left
+
+
+def test_line_dedup_finds_runs_of_any_length(spark):
+    """Runs of 2 to 9 lines inside other documents go whole, and so they do beside a line that repeats itself."""
+    rnd = random.Random(14)
+    line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(6))
+    runs = [[line() for _ in range(2 + k % 8)] for k in range(40)] + [["x y"] * 5]
+    docs = []
+    for i in range(120):
+        own = [line() for _ in range(rnd.randint(1, 8))]
+        k = rnd.randrange(len(own) + 1)
+        docs.append((i, "\n".join(own[:k] + runs[i % 41] + own[k:])))
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == _lines_left(docs)
+    assert all(not set(runs[i % 41]) & set(got[i].split("\n")) for i in range(41, 120))
