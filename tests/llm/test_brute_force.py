@@ -471,3 +471,10 @@ def test_line_dedup_finds_runs_of_any_length(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == _lines_left(docs)
     assert all(not set(runs[i % 41]) & set(got[i].split("\n")) for i in range(41, 120))
+
+
+def test_line_dedup_over_blank_lines(spark):
+    """Paragraphs parted by blank lines are compared, and the blank lines inside a repeated run go along."""
+    docs = [(1, "own a\n\nfirst part\n\nsecond part\n\nown b"), (2, "own c\n\nfirst part\n \nsecond part\n\nown d"), (3, "first part\nsecond part")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: docs[0][1], 2: "own c\n\n\nown d", 3: ""} == _lines_left(docs)
