@@ -18,79 +18,13 @@ from pyspark.sql import functions as F
 
 from tessella.llm.components import components
 from tessella.llm.shared import drop_stored, row_key, stored
-from tessella.llm.textkernel import U64, Words, chunks, lower_ascii, mix
+from tessella.llm.textkernel import P3, U64, Words, chunks, lower_ascii, mix, spaced, xxh64
 
-SHINGLE, BITS, SEED = 3, 2, 42
-P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))  # fixed values of XXH64
+SHINGLE, BITS = 3, 2
 PAIRS, SMALL, LARGE = 4, 16, 4096
 NEAR_SHINGLE, SIMILARITY, TABLES, WIDTH, WILD = 5, 0.8, 32, 20, 7
 
 
-def _rotl(x: np.ndarray, r: int) -> np.ndarray:
-    return (x << U64(r)) | (x >> U64(64 - r))
-
-
-def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """XXH64 of many slices of data at once, shorter ones dropping out as the longer go on."""
-    buf = np.concatenate([data, np.zeros(8, np.uint8)])
-    at8, at4 = np.ndarray((len(buf) - 7,), "<u8", buf.data, strides=(1,)), np.ndarray((len(buf) - 3,), "<u4", buf.data, strides=(1,))
-    order = np.argsort(length, kind="stable")
-    pos, size = start[order].astype(np.int64), length[order].astype(np.int64)
-    end = pos + size
-    wrap = lambda *x: U64(sum(map(int, x)) % 2**64)
-    s = U64(seed)
-    h = np.full(len(pos), wrap(s, P5), U64)
-    lane = lambda x: _rotl(x * P2, 31) * P1
-    big = int(np.searchsorted(size, 32))
-    if big < len(pos):
-        acc = [np.full(len(pos) - big, v, U64) for v in (wrap(s, P1, P2), wrap(s, P2), s, wrap(s, -int(P1)))]
-        p, stripes = pos[big:], size[big:] // 32
-        for k in range(int(stripes[-1])):
-            f = int(np.searchsorted(stripes, k, "right"))
-            for j in range(4):
-                acc[j][f:] = _rotl(acc[j][f:] + at8[p[f:] + 32 * k + 8 * j] * P2, 31) * P1
-        v = _rotl(acc[0], 1) + _rotl(acc[1], 7) + _rotl(acc[2], 12) + _rotl(acc[3], 18)
-        for a in acc:
-            v = (v ^ lane(a)) * P1 + P4
-        h[big:] = v
-        pos[big:] += 32 * stripes
-    h += size.astype(U64)
-    for _ in range(3):
-        i = np.flatnonzero(end - pos >= 8)
-        if not len(i):
-            break
-        h[i] = _rotl(h[i] ^ lane(at8[pos[i]]), 27) * P1 + P4
-        pos[i] += 8
-    i = np.flatnonzero(end - pos >= 4)
-    h[i] = _rotl(h[i] ^ (at4[pos[i]].astype(U64) * P1), 23) * P2 + P3
-    pos[i] += 4
-    for _ in range(3):
-        i = np.flatnonzero(end > pos)
-        if not len(i):
-            break
-        h[i] = _rotl(h[i] ^ (buf[pos[i]].astype(U64) * P5), 11) * P1
-        pos[i] += 1
-    h ^= h >> U64(33)
-    h *= P2
-    h ^= h >> U64(29)
-    h *= P3
-    h ^= h >> U64(32)
-    out = np.empty_like(h)
-    out[order] = h
-    return out
-
-
-def spaced(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words joined by single spaces, with each word's start and end there."""
-    size = w.ends - w.starts
-    start = np.concatenate([[0], np.cumsum(size + 1)[:-1]]).astype(np.int64) if len(size) else np.zeros(0, np.int64)
-    out = np.full(int(size.sum()) + len(size), 32, np.uint8)
-    shift = np.repeat(start - w.starts, size)
-    from_ = np.repeat(w.starts, size) + (np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size))
-    out[from_ + shift] = w.buf[from_]
-    return out, start, start + size
-
-
 def shingle_hashes(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, document of each) of all k-word shingles; a shorter text that has words is one shingle."""
     text, start, end = spaced(w)

@@ -8,8 +8,9 @@ maximal exact repeats of at least W words, whose words are removed.
 Both comparisons run in hash buckets, as packed arrays rather than rows (6 bytes a probe). Within a batch equal hashes are
 sent once, so a passage that a third of all documents share costs one entry a batch, and no task receives a group that
 grows with the copies. Answers go back to the batch that asked, and from it to the documents.
-Anchors may err by a hash (the next step compares again); windows are compared by 64 bits inside a bucket chosen by other
-bits: with n windows, n * n / 2^(65 + log2 buckets) pairs are expected to collide.
+Anchors are compared by short hashes and may err, which only makes more windows be compared. Windows are compared by the
+BLAKE2b digest of their words, 96 bits of it inside a bucket that further bits choose: texts that differ cannot be made to
+agree, and none of n windows does so by chance but with odds of n * n / 2^(97 + log2 buckets).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import drop_stored, row_key, stored
-from tessella.llm.textkernel import U64, Words, chunks, mix, rolling, together
+from tessella.llm.textkernel import U64, Words, chunks, mix, rolling, spaced, together
 
 WINDOW = 35
 BATCH_BYTES, BATCH_DOCS, NOBODY = 16 << 20, 16000, 0x3FFF
@@ -34,8 +35,8 @@ BUCKET, ANSWER = "bucket int, batch long, kind int, a binary, b binary", "batch
 def _pack(hashes: np.ndarray, tags: np.ndarray, docs: np.ndarray, block: np.ndarray, buckets: int, wide: bool) -> Iterator[tuple]:
     """Rows (bucket, kind, a, b) of one batch: kind 0 asks, kind 2 is what the batch knows by itself.
 
-    hashes choose the bucket, tags are compared in it (anchors: both are the short name, bucket above 32 compared bits).
-    Equal pairs are sent once, marked as repeated, with nobody to answer.
+    hashes choose the bucket by their upper half; compared are the lower half and, if wide, the tags (anchors: both are the
+    short name, bucket above 32 compared bits). Equal pairs are sent once, marked as repeated, with nobody to answer.
     """
     order = np.lexsort((tags, hashes)) if wide else np.argsort(hashes)
     h, t, d, blk = hashes[order], tags[order], docs[order], block[order]
@@ -51,11 +52,11 @@ def _pack(hashes: np.ndarray, tags: np.ndarray, docs: np.ndarray, block: np.ndar
     yield -1, 2, d[known].astype(np.uint16).tobytes(), t[known].tobytes()
     ask_doc = np.where(many, NOBODY, d[first]).astype(np.uint16)
     meta = ask_doc | (many.astype(np.uint16) << np.uint16(14)) | (np.logical_or.reduceat(blk, first).astype(np.uint16) << np.uint16(15))
-    value = t[first] if wide else h[first].astype(np.uint32)
+    value, tag = h[first].astype(np.uint32), t[first]
     b = bucket[first]
     cut = np.append(np.flatnonzero(np.append(True, b[1:] != b[:-1])), len(b))
     for i, j in zip(cut[:-1], cut[1:], strict=True):
-        yield int(b[i]), 0, meta[i:j].tobytes(), value[i:j].tobytes()
+        yield int(b[i]), 0, meta[i:j].tobytes(), value[i:j].tobytes() + (tag[i:j].tobytes() if wide else b"")
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -117,7 +118,6 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, li
 
 def _compare(wide: bool, blocks: bool):
     """Answers of each bucket: (batch, docs, hashes) where a hash stands twice or more (and in some text as a block)."""
-    kind = U64 if wide else np.uint32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _runs(batches, "bucket"):
@@ -125,12 +125,13 @@ def _compare(wide: bool, blocks: bool):
             asks = [r for r in rows if not r["kind"].as_py()]
             if asks:
                 metas = [np.frombuffer(r["a"].as_buffer(), np.uint16) for r in asks]
-                values = [np.frombuffer(r["b"].as_buffer(), kind) for r in asks]
-                meta, value = np.concatenate(metas), np.concatenate(values)
+                sent = [r["b"].as_py() for r in asks]
+                meta, value = np.concatenate(metas), np.concatenate([np.frombuffer(x, np.uint32, len(m)) for x, m in zip(sent, metas, strict=True)])
+                tag = np.concatenate([np.frombuffer(x, U64, len(m), 4 * len(m)) for x, m in zip(sent, metas, strict=True)]) if wide else value
                 batch = np.repeat(np.arange(len(asks)), [len(m) for m in metas])
-                order = np.argsort(value, kind="stable")
-                v, m = value[order], meta[order]
-                first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+                order = np.lexsort((value, tag)) if wide else np.argsort(value, kind="stable")
+                v, t, m = value[order], tag[order], meta[order]
+                first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (t[1:] != t[:-1])))
                 size = np.diff(np.append(first, len(v)))
                 hit = (size > 1) | (np.bitwise_or.reduceat(m, first) & np.uint16(1 << 14) > 0)
                 if blocks:
@@ -142,9 +143,8 @@ def _compare(wide: bool, blocks: bool):
                 cut = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner)) if len(owner) else [0]
                 for i, j in zip(cut[:-1], cut[1:], strict=True):
                     pick = chosen[i:j]
-                    h = v[pick]
-                    if not wide:  # the bucket's bits are the upper half, up to the division; the lower half names the rest
-                        h = h.astype(U64) | (U64(bucket) << U64(32))
+                    # Without tags the bucket's bits are the upper half, up to the division; the lower half names the rest.
+                    h = t[pick] if wide else v[pick].astype(U64) | (U64(bucket) << U64(32))
                     out.append((asks[owner[i]]["batch"].as_py(), doc[pick].tobytes(), h.tobytes()))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["batch", "a", "b"])
@@ -211,19 +211,27 @@ def _anchors(window: int, buckets: int):
     return run
 
 
-def _near(w: Words, hits: list[bytes | None], window: int, buckets: int, hashes: np.ndarray) -> np.ndarray:
+def _near(w: Words, hits: list[bytes | None], window: int, buckets: int) -> np.ndarray:
     """Windows (by first word) that hold a hit anchor."""
     size = (window + 1) // 2
     ok = together(w.doc, window)
     if not len(ok):
         return np.zeros(0, np.int64)
-    short = _short(rolling(hashes, size), buckets)
+    short = _short(rolling(w.hashes(), size), buckets)
     hit = _member(short, w.doc[: len(short)], hits) & together(w.doc, size)
     seen = np.concatenate([[0], np.cumsum(hit)])
     i = np.flatnonzero(ok)
     return i[seen[i + window - size + 1] > seen[i]]
 
 
+def _digests(w: Words, at: np.ndarray, window: int) -> np.ndarray:
+    """Two 64-bit numbers per window: BLAKE2b of its words, joined by single spaces, which no word holds."""
+    text, start, end = spaced(w)
+    data = text.tobytes()
+    digest = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True))
+    return np.frombuffer(digest, U64).reshape(-1, 2)
+
+
 def _member(values: np.ndarray, doc: np.ndarray, hits: list[bytes | None]) -> np.ndarray:
     """Whether each value is among its own document's hits."""
     lists = [np.frombuffer(x, U64) if x else np.zeros(0, U64) for x in hits]
@@ -244,14 +252,11 @@ def _windows(window: int, buckets: int, more: int):
             hits = batch.column("_tsl_hits").to_pylist()
             for a, b, buf, offsets in chunks(batch.column("text")):
                 w = Words(buf, offsets)
-                hashes = w.hashes()
-                at = _near(w, hits[a:b], window, buckets, hashes)
-                full = rolling(hashes, window)[at]
-                other = rolling(mix(hashes + U64(1)), window)[at]
-                doc = w.doc[at]
+                at = _near(w, hits[a:b], window, buckets)
+                name, doc = _digests(w, at, window), w.doc[at]
                 for i in range(0, b - a, BATCH_DOCS // 2):
                     pick = (doc >= i) & (doc < i + BATCH_DOCS // 2)
-                    held.add(_keys_of(batch, a + i, min(b, a + i + BATCH_DOCS // 2)), other[pick], full[pick], doc[pick] - i, np.zeros(int(pick.sum()), bool), int(pick.sum()) * 10)
+                    held.add(_keys_of(batch, a + i, min(b, a + i + BATCH_DOCS // 2)), name[pick, 0], name[pick, 1], doc[pick] - i, np.zeros(int(pick.sum()), bool), int(pick.sum()) * 14)
                     if held.full() and (out := held.rows()) is not None:
                         yield out
         if (out := held.rows()) is not None:
@@ -260,35 +265,40 @@ def _windows(window: int, buckets: int, more: int):
     return run
 
 
-def repeated(buf: np.ndarray, offsets: np.ndarray, hits: list[bytes | None], window: int) -> tuple[Words, np.ndarray]:
+def repeated(buf: np.ndarray, offsets: np.ndarray, near: list[bytes | None], hits: list[bytes | None], window: int, buckets: int) -> tuple[Words, np.ndarray]:
     """The words of some texts and which of them a repeated window covers."""
     w = Words(buf, offsets)
     gone = np.zeros(len(w.starts) + 1, np.int64)
     if any(hits):
-        full = rolling(w.hashes(), window)
-        at = np.flatnonzero(_member(full, w.doc[: len(full)], hits) & together(w.doc, window))
+        at = _near(w, near, window, buckets)
+        at = at[_member(_digests(w, at, window)[:, 1], w.doc[at], hits)]
         np.add.at(gone, at, 1)
         np.add.at(gone, at + window, -1)
     return w, np.cumsum(gone[:-1]) > 0
 
 
-def _hits(docs: DataFrame, window: int) -> DataFrame:
-    """k_id, k_text, hits: repeated windows (64-bit hashes) of each document that has any."""
+def _buckets(docs: DataFrame) -> int:
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(MIN_BUCKETS, size // BUCKET_BYTES)
+
+
+def _hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """k_id, k_text, near, hits of each document with repeated windows: its hit anchors, and those windows' 64-bit names."""
     if window < 3:
         raise ValueError("window: 3 words or more")
     keyed = docs.select(*row_key(), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     anchors = _answers(keyed.mapInArrow(_anchors(window, buckets), BUCKET), buckets, wide=False, blocks=True, name="anchor-hits")
-    near = keyed.join(anchors.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"])
-    out = _answers(near.mapInArrow(_windows(window, buckets, buckets), BUCKET), buckets, wide=True, blocks=False, name="window-hits")
+    near = keyed.join(anchors, ["_tsl_id", "_tsl_text"])
+    found = _answers(near.mapInArrow(_windows(window, buckets, buckets), BUCKET), buckets, wide=True, blocks=False, name="window-hits")
+    out = stored(found.join(anchors.withColumnRenamed("_tsl_hits", "_tsl_near"), ["_tsl_id", "_tsl_text"]), "repeated-windows")
     drop_stored(anchors)
+    drop_stored(found)
     return out
 
 
-def _with_hits(docs: DataFrame, window: int) -> DataFrame:
-    """docs, k_id, k_text and hits (null: none)."""
-    return docs.select("*", *row_key()).join(_hits(docs, window).hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left")
+def _with_hits(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+    """docs, k_id, k_text, near and hits (null: none)."""
+    return docs.select("*", *row_key()).join(_hits(docs, window, buckets), ["_tsl_id", "_tsl_text"], "left")
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -301,9 +311,10 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, n, removed, sha = batch.column("_tsl_hits").to_pylist(), [], [], []
+            near, hits = batch.column("_tsl_near").to_pylist(), batch.column("_tsl_hits").to_pylist()
+            n, removed, sha = [], [], []
             for a, b, buf, offsets in chunks(batch.column("text")):
-                w, gone = repeated(buf, offsets, hits[a:b], window)
+                w, gone = repeated(buf, offsets, near[a:b], hits[a:b], window, buckets)
                 count = np.bincount(w.doc[gone], minlength=b - a)
                 data = buf.tobytes()
                 for i in range(b - a):
@@ -316,19 +327,24 @@ def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _with_hits(slim, window).select("doc_id", "text", "_tsl_hits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    buckets = _buckets(slim)
+    return _with_hits(slim, window, buckets).select("doc_id", "text", "_tsl_near", "_tsl_hits").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with the repeated words of text cut out, white space before them included; all columns stay."""
-    names = docs.columns
+    """docs with the repeated words of text cut out, white space before them included; all rows and columns stay.
+
+    Null and empty texts stay as they are; a text that loses all its words keeps what white space ends it. Repeated rows are
+    repeats of each other. Columns of any name go through. An empty table gives no rows.
+    """
+    names, buckets = docs.columns, _buckets(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, texts = batch.column("_tsl_hits").to_pylist(), []
+            near, hits, texts = batch.column("_tsl_near").to_pylist(), batch.column("_tsl_hits").to_pylist(), []
             valid = batch.column("text").is_valid().to_pylist()
             for a, b, buf, offsets in chunks(batch.column("text")):
-                w, gone = repeated(buf, offsets, hits[a:b], window)
+                w, gone = repeated(buf, offsets, near[a:b], hits[a:b], window, buckets)
                 drop = np.zeros(len(buf) + 1, np.int32)
                 which = np.flatnonzero(gone)
                 first = which == w.at[w.doc[which]]
@@ -341,4 +357,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     texts.append(piece[keep[offsets[i] : offsets[i + 1]]].tobytes().decode() if valid[a + i] else None)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return _with_hits(docs, window).select(*names, "_tsl_hits").mapInArrow(run, docs.schema)
+    return _with_hits(docs, window, buckets).select(*names, "_tsl_near", "_tsl_hits").mapInArrow(run, docs.schema)
+
+
+def oracle(window: int = WINDOW) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+g AS (SELECT r, i, array_to_string(ws[i:i + {window - 1}], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - {window - 2})) AS i FROM d WHERE len(ws) >= {window})),
+h AS (SELECT r, i FROM g WHERE g IN (SELECT g FROM g GROUP BY g HAVING count(*) > 1)),
+x AS (SELECT DISTINCT r, unnest(range(i, i + {window})) AS w FROM h),
+w AS (SELECT r, unnest(range(1, len(ws) + 1)) AS w, unnest(ws) AS t FROM d),
+k AS (SELECT w.r AS r, count(x.w) AS gone, string_agg(CASE WHEN x.w IS NULL THEN t END, ' ' ORDER BY w.w) AS kept FROM w LEFT JOIN x ON w.r = x.r AND w.w = x.w GROUP BY w.r)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.r = k.r"""

@@ -337,6 +337,27 @@ def test_substring_dedup_inside_one_text(spark):
     assert got == {1: 80, 2: 100, 3: 0, 4: 0}
 
 
+def thue_morse(n):
+    """Two words of n letters that a polynomial modulo 2^64 cannot tell apart when n is 1,024 or more."""
+    word = "".join("ab"[k.bit_count() % 2] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_are_compared_exactly(spark, n):
+    """34 words alike and one that differs repeat nothing, and a word that was not learned is not known."""
+    a, b = thue_morse(n)
+    same = " ".join(f"w{k}" for k in range(34))
+    docs = spark.createDataFrame([(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{a} {same}"), (4, f"x {a} {same} y")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup.digest(docs).collect()} == {1: 0, 2: 0, 3: 35, 4: 35}
+    held = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    learned = next(i for i in range(10, 99) if zlib.crc32(str(i).encode()) % 7 != 2)
+    docs = spark.createDataFrame([(learned, f"x {a}"), (held, f"x {b}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    assert got[held].n_known == 2 and got[learned].n_known == 3  # the end, x, and a
+    assert got[held].base_score == pytest.approx(2 * math.log10(2 / 7) + math.log10(1 / 7))
+
+
 def test_url_reputation(spark):
     rows = [(i, f"https://{'bad' if i % 2 else 'good'}.example.com/x/{i}") for i in range(80)] + [(900, "https://bad.example.com/de/1"), (901, "https://new.example.com/"), (902, "http://A.example.net/en/?q"), (903, "ftp://x.net"), (904, "http://ynet/")]
     labels = [(i, i % 2) for i in range(60)]
