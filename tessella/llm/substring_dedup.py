@@ -228,8 +228,8 @@ def _digests(w: Words, at: np.ndarray, window: int) -> np.ndarray:
     """Two 64-bit numbers per window: BLAKE2b of its words, joined by single spaces, which no word holds."""
     text, start, end = spaced(w)
     data = text.tobytes()
-    digest = b"".join(hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True))
-    return np.frombuffer(digest, U64).reshape(-1, 2)
+    name = hashlib.blake2b
+    return np.frombuffer(b"".join([name(data[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + window - 1].tolist(), strict=True)]), U64).reshape(-1, 2)
 
 
 def _member(values: np.ndarray, doc: np.ndarray, hits: list[bytes | None]) -> np.ndarray:

@@ -44,7 +44,8 @@ def xxh64(data: np.ndarray, start: np.ndarray, length: np.ndarray, seed: int = S
     """XXH64 of many slices of data at once, shorter ones dropping out as the longer go on."""
     buf = np.concatenate([data, np.zeros(8, np.uint8)])
     at8, at4 = np.ndarray((len(buf) - 7,), "<u8", buf.data, strides=(1,)), np.ndarray((len(buf) - 3,), "<u4", buf.data, strides=(1,))
-    order = np.argsort(length, kind="stable")
+    # 16 bits are sorted by radix.
+    order = np.argsort(length if length.max(initial=0) >> 16 else length.astype(np.uint16), kind="stable")
     pos, size = start[order].astype(np.int64), length[order].astype(np.int64)
     end = pos + size
     wrap = lambda *x: U64(sum(map(int, x)) % 2**64)
