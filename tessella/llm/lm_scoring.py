@@ -1,13 +1,16 @@
 """LM scoring: Brown's class-based bigram model.
 
-P(word | previous) = P(class | previous class) * P(word | class). Classes come from exchange clustering, which moves one
-word at a time to the class that most raises the likelihood of the class bigrams. The CLUSTERED most frequent words move
-alone; the others move in groups of like shape (length, letters, last character), so every word, seen or not, has a
-class. Counts of words and of class bigrams cover all training documents.
-
-Words are named by 64-bit hashes. Counts of the HEAD most frequent words, a fixed number, go with the code; all others
-are looked up by a join. The smoothed emission (c + 1) / (N_class + V_class + 1) has only log10(c + 1) to look up, so one
-sum per document serves this model and the unigram base.
+P(word | previous) = P(class | previous class) * P(word | class). Classes come from exchange clustering in two steps. The
+SEEDS most frequent words are exchanged one at a time, each to the class that most raises the likelihood of the class
+bigrams; what they leave goes along in groups of like shape (length, letters, last character). Then every other word of
+the corpus is exchanged by itself: the classes that stand left and right of it are counted over the whole corpus, and it
+goes to the class that raises the likelihood most, to first order in its counts. Only words that were never seen take the
+class of their shape. Counts of words, of their neighbours and of class bigrams grow with the corpus and cover all of its
+training documents.
+
+Words are compared as words, never by a hash. Those of the HEAD most frequent ones, a fixed number, go with the code; all
+others are looked up by a join. The smoothed emission (c + 1) / (N_class + V_class + 1) has only log10(c + 1) to look up
+besides the class, so one sum per document serves this model and the unigram base.
 """
 
 from __future__ import annotations
@@ -17,18 +20,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import stored
-from tessella.llm.textkernel import U64, Words, chunks, lower_ascii
+from tessella.llm.shared import drop_stored, stored
+from tessella.llm.textkernel import Words, chunks, lower_ascii
 
-CLUSTERED, CLASSES, HEAD, SWEEPS, PRIOR = 512, 48, 65536, 8, 10.0
+SEEDS, CLASSES, HEAD, SWEEPS, PRIOR, SHAPE_WEIGHT = 512, 48, 65536, 8, 10.0, 2.0
 LENGTHS = (3, 5, 7, 9, 12)
 SHAPES = (len(LENGTHS) + 1) * 4
-END = U64(0x454E44)
 HELD_OUT, FOLDS = 2, 7
+FLUSH = 1_000_000
+#: A class to the left (0 to CLASSES - 1) or to the right (CLASSES on) of a word, and how often.
+BESIDE = np.dtype([("beside", "u1"), ("n", "<u4")])
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -36,81 +42,101 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == HELD_OUT
 
 
-def shapes(w: Words) -> np.ndarray:
-    """Group of like words, 0 to SHAPES - 1."""
-    high = np.concatenate([[0], np.cumsum(w.buf >= 128)])
-    last = w.buf[w.ends - 1] if len(w.ends) else np.zeros(0, np.uint8)
+def _parts(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array of large strings."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset : words.offset + len(words) + 1]
+    return at, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """Group of like words, 0 to SHAPES - 1; SHAPES for the end, which is the empty word."""
+    at, data = _parts(words)
+    if not len(words):
+        return np.zeros(0, np.int64)
+    high = np.concatenate([[0], np.cumsum(data >= 128)])
+    size = np.diff(at)
+    last = data[np.maximum(at[1:] - 1, 0)] if len(data) else np.zeros(len(words), np.uint8)
     letter = (last >= 128) | ((last >= 97) & (last <= 122)) | ((last >= 65) & (last <= 90))
-    return (np.searchsorted(LENGTHS, w.ends - w.starts, "left") * 4 + (high[w.ends] > high[w.starts]) * 2 + ~letter).astype(np.int64)
+    group = np.searchsorted(LENGTHS, size, "left") * 4 + (high[at[1:]] > high[at[:-1]]) * 2 + ~letter
+    return np.where(size == 0, SHAPES, group).astype(np.int64)
 
 
 @dataclass
 class Tokens:
-    """Tokens of a run of texts: hash, shape (SHAPES: end), doc; each text's words, then its end."""
+    """Tokens of a run of texts: code (place in words, which are distinct), doc; each text's words, then its end ('')."""
 
-    h: np.ndarray
-    shape: np.ndarray
+    words: pa.Array
+    code: np.ndarray
     doc: np.ndarray
 
     @classmethod
     def of(cls, buf: np.ndarray, offsets: np.ndarray) -> Tokens:
         w = Words(lower_ascii(buf), offsets)
         n = len(w.at) - 1
-        at = np.arange(len(w.starts)) + w.doc
-        ends = w.at[1:] + np.arange(n)
-        h, shape, doc = np.empty(len(at) + n, U64), np.empty(len(at) + n, np.int64), np.empty(len(at) + n, np.int64)
-        h[at], h[ends] = w.hashes(), END
-        shape[at], shape[ends] = shapes(w), SHAPES
-        doc[at], doc[ends] = w.doc, np.arange(n)
-        return cls(h, shape, doc)
+        at = np.concatenate([[0], np.cumsum(w.ends - w.starts)]).astype(np.int64)
+        letters = w.buf[~((w.buf == 32) | ((w.buf - np.uint8(9)) < 5))]
+        told = pa.LargeStringArray.from_buffers(len(w.starts), pa.py_buffer(at), pa.py_buffer(letters)).dictionary_encode()
+        place, ends = np.arange(len(w.starts)) + w.doc, w.at[1:] + np.arange(n)
+        code, doc = np.empty(len(place) + n, np.int64), np.empty(len(place) + n, np.int64)
+        code[place], code[ends] = told.indices.to_numpy(), len(told.dictionary)
+        doc[place], doc[ends] = w.doc, np.arange(n)
+        return cls(pa.concat_arrays([told.dictionary, pa.array([""], pa.large_string())]), code, doc)
 
 
-def _find(h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, found) of each hash in a sorted table."""
-    if not len(table):
-        return np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    i = np.minimum(np.searchsorted(table, h), len(table) - 1)
-    return i, table[i] == h
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
+    for batch in batches:
+        for _, _, buf, offsets in chunks(batch.column("text")):
+            yield Tokens.of(buf, offsets)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def out(parts):
-        h, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        h, i, inverse = np.unique(h, return_index=True, return_inverse=True)
-        n = np.bincount(inverse, weights=n).astype(np.int64)
-        return h, s[i], n
+def _distinct(words: list[pa.Array]) -> tuple[pa.Array, np.ndarray]:
+    """(distinct words of all arrays, place of each in them)."""
+    told = pa.concat_arrays(words).dictionary_encode()
+    return told.dictionary, told.indices.to_numpy().astype(np.int64)
 
-    held, size = [], 0
-    for batch in batches:
-        for _, _, buf, offsets in chunks(batch.column("text")):
-            t = Tokens.of(buf, offsets)
-            held.append(out([(t.h, t.shape, np.ones(len(t.h)))]))
-            size += len(held[-1][0])
-            if size > 2_000_000:
-                h, s, n = out(held)
-                held, size = [], 0
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], ["h", "shape", "n"])
+
+def _place(words: pa.Array, among: pa.Array) -> np.ndarray:
+    """Place of each word among others, -1 for none."""
+    return pc.index_in(words, value_set=among).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def out(held):
+        words, at = _distinct([w for w, _ in held])
+        return words, np.bincount(at, weights=np.concatenate([n for _, n in held]), minlength=len(words)).astype(np.int64)
+
+    def batch(held):
+        words, n = out(held)
+        return pa.RecordBatch.from_arrays([words.cast(pa.string()), pa.array(n)], ["word", "n"])
+
+    held: list = []
+    for t in _texts(batches):
+        held.append((t.words, np.bincount(t.code, minlength=len(t.words))))
+        if sum(len(w) for w, _ in held) > FLUSH:
+            held = [out(held)]
+            if len(held[0][0]) > FLUSH:
+                yield batch(held)
+                held = []
     if held:
-        h, s, n = out(held)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.astype(np.int32)), pa.array(n)], ["h", "shape", "n"])
+        yield batch(held)
 
 
-def _units(t: Tokens, words: np.ndarray) -> np.ndarray:
-    """What moves between classes: a clustered word, a shape's other words, the end. words: sorted hashes."""
-    i, found = _find(t.h, words)
-    return np.where(found & (t.shape < SHAPES), i, len(words) + t.shape)
+def _units(words: pa.Array, seeds: pa.Array) -> np.ndarray:
+    """What moves between classes at first: a seed, a shape's other words, the end."""
+    i = _place(words, seeds)
+    return np.where(i >= 0, i, len(seeds) + shapes(words))
 
 
-def _count_pairs(words: np.ndarray):
-    m = len(words) + SHAPES + 1
+def _count_pairs(seeds: pa.Array):
+    m = len(seeds) + SHAPES + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(m * m, np.int64)
-        for batch in batches:
-            for _, _, buf, offsets in chunks(batch.column("text")):
-                u = _units(Tokens.of(buf, offsets), words)
-                before = np.append(m - 1, u[:-1])  # an end stands before every text
-                counts += np.bincount(before * m + u, minlength=m * m)
+        for t in _texts(batches):
+            u = _units(t.words, seeds)[t.code]
+            before = np.append(m - 1, u[:-1])  # an end stands before every text
+            counts += np.bincount(before * m + u, minlength=m * m)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "n"])
 
@@ -158,85 +184,201 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     return of
 
 
-@dataclass
-class Model:
-    """What scoring needs: fixed-size tables, whatever the corpus."""
+def _count_beside(seeds: pa.Array, of: np.ndarray):
+    """Rows (word, beside): how often which class stands beside each word, as packed BESIDE entries."""
+
+    def summed(held) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(words, keys: word * 2 * CLASSES + beside, counts), keys distinct and sorted."""
+        words, at = _distinct([w for w, _, _ in held])
+        first = np.cumsum([0, *(len(w) for w, _, _ in held)])
+        keys = np.concatenate([at[a + k // (2 * CLASSES)] * (2 * CLASSES) + k % (2 * CLASSES) for a, (_, k, _) in zip(first[:-1], held, strict=True)])
+        keys, back = np.unique(keys, return_inverse=True)
+        return words, keys, np.bincount(back, weights=np.concatenate([n for _, _, n in held]), minlength=len(keys)).astype(np.int64)
 
-    words: np.ndarray  # sorted hashes of clustered words
-    head: np.ndarray  # sorted hashes of words whose counts are here
-    head_n: np.ndarray
-    of: np.ndarray  # class of each unit
-    step: np.ndarray  # log10 P(class | class) - log10(N_class + V_class + 1)
-    total: int
-    distinct: int
+    def batch(held) -> pa.RecordBatch:
+        words, keys, n = summed(held)
+        entries = np.empty(len(keys), BESIDE)
+        entries["beside"], entries["n"] = keys % (2 * CLASSES), n
+        at = np.searchsorted(keys // (2 * CLASSES), np.arange(len(words) + 1)).astype(np.int32) * BESIDE.itemsize
+        packed = pa.BinaryArray.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(entries)])
+        return pa.RecordBatch.from_arrays([words.cast(pa.string()), packed], ["word", "beside"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+        for t in _texts(batches):
+            c = of[_units(t.words, seeds)][t.code]
+            left, right = np.append(of[-1], c[:-1]), np.append(c[1:], of[-1])
+            keys = np.concatenate([t.code * (2 * CLASSES) + left, t.code * (2 * CLASSES) + CLASSES + right])
+            keys, n = np.unique(keys, return_counts=True)
+            held.append((t.words, keys, n))
+            if sum(len(k) for _, k, _ in held) > 2 * FLUSH:
+                held = [summed(held)]
+                if len(held[0][1]) > FLUSH:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
+
+    return run
+
+
+def _exchange_words(seeds: pa.Array, of: np.ndarray, pairs: np.ndarray):
+    """(word, n, cls) of every word, from its (word, beside) rows, sorted by word.
+
+    Moving a word with few neighbours against those of a whole class b changes the likelihood by the sum of
+    log(N(b, c) / N(b)) over the classes c to its right, and alike to its left. SHAPE_WEIGHT mean words of its shape speak
+    along, which decides for rare words.
+    """
+    classes = int(of[-1]) + 1
+    member = np.zeros((len(of), CLASSES))
+    member[np.arange(len(of)), of] = 1
+    n = member.T @ pairs @ member
+    to = np.log((n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * classes))  # of c after b
+    back = np.log((n + 0.5) / (n.sum(axis=0, keepdims=True) + 0.5 * classes))  # of c before b
+    beside = np.concatenate([pairs.T @ member, pairs @ member], axis=1)[len(seeds) :]  # of the shapes and the end
+    beside *= SHAPE_WEIGHT / np.maximum(pairs.sum(axis=0)[len(seeds) :], 1)[:, None]
+
+    def classed(words: pa.Array, packed: pa.Array) -> pa.RecordBatch:
+        told, row = _distinct([words])
+        size = pc.binary_length(packed).to_numpy() // BESIDE.itemsize
+        entries = np.frombuffer(b"".join(packed.to_pylist()), BESIDE)
+        counts = np.bincount(np.repeat(row, size) * (2 * CLASSES) + entries["beside"], weights=entries["n"], minlength=len(told) * 2 * CLASSES).reshape(len(told), 2 * CLASSES)
+        x = counts + beside[shapes(told)]
+        gain = x[:, CLASSES:] @ to.T + x[:, :CLASSES] @ back
+        unit = _units(told, seeds)
+        fixed = (unit < len(seeds)) | (unit == len(of) - 1)
+        cls = np.where(fixed, of[unit], np.argmax(gain[:, : max(1, classes - 1)], axis=1))
+        return pa.RecordBatch.from_arrays([told.cast(pa.string()), pa.array(counts[:, :CLASSES].sum(axis=1).astype(np.int64)), pa.array(cls.astype(np.int32))], ["word", "n", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, packed = pa.array([], pa.large_string()), pa.array([], pa.binary())
+        for batch in batches:
+            words = pa.concat_arrays([words, batch.column("word").cast(pa.large_string())])
+            packed = pa.concat_arrays([packed, batch.column("beside").cast(pa.binary())])
+            if len(words):  # the last word may go on in the next batch
+                cut = pc.index(words, words[-1]).as_py()
+                if cut:
+                    yield classed(words[:cut], packed[:cut])
+                words, packed = words[cut:], packed[cut:]
+        if len(words):
+            yield classed(words, packed)
+
+    return run
 
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model, and all words' counts (h, n), from docs (text)."""
+
+def train(docs: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame]:
+    """(seeds, class of each unit, table of word, n, cls of all words) from docs (text)."""
     texts = docs.select("text")
-    counted = texts.mapInArrow(_count_words, "h long, shape int, n long").groupBy("h", "shape").agg(F.sum("n").alias("n"))
-    vocabulary = stored(counted, "word-counts")
-    by = {r["shape"]: (r["n"], r["v"]) for r in vocabulary.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    top = vocabulary.orderBy(F.desc("n"), "h").limit(HEAD).toPandas()
-    hashes, counts, kinds = top["h"].to_numpy(np.int64).view(U64), top["n"].to_numpy(np.int64), top["shape"].to_numpy(np.int64)
-    first = np.flatnonzero(kinds < SHAPES)[:CLUSTERED]
-    first = first[np.argsort(hashes[first])]
-    words = hashes[first]
-    m = len(words) + SHAPES + 1
+    counted = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
+    top = stored(counted.orderBy(F.desc("n"), "word").limit(SEEDS), "frequent-words")
+    seeds = pa.array(sorted(r.word for r in top.collect()), pa.large_string())
+    drop_stored(top)
+    m = len(seeds) + SHAPES + 1
     pairs = np.zeros(m * m)
-    rows = texts.mapInArrow(_count_pairs(words), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(_count_pairs(seeds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
     pairs[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy()
     pairs = pairs.reshape(m, m)
     of = exchange(pairs)
-    classes = int(of.max()) + 1
-    n, v = np.zeros(classes), np.zeros(classes)
-    np.add.at(n, of[: len(words)], counts[first])
-    np.add.at(v, of[: len(words)], 1)
-    for shape, (its_n, its_v) in by.items():
-        alone = kinds[first] == shape
-        n[of[len(words) + shape]] += its_n - counts[first][alone].sum()
-        v[of[len(words) + shape]] += its_v - alone.sum()
-    member = np.zeros((m, classes))
-    member[np.arange(m), of] = 1
-    seen = member.T @ pairs @ member
-    share = (n + 1) / (n.sum() + classes)
-    step = np.log10((seen + PRIOR * share) / (seen.sum(axis=1, keepdims=True) + PRIOR)) - np.log10(n + v + 1)
-    order = np.argsort(hashes)
-    return Model(words, hashes[order], counts[order], of, step, int(sum(x[0] for x in by.values())), int(sum(x[1] for x in by.values()))), vocabulary.select("h", "n")
+    beside = texts.mapInArrow(_count_beside(seeds, of), "word string, beside binary").repartition("word").sortWithinPartitions("word")
+    vocabulary = stored(beside.mapInArrow(_exchange_words(seeds, of, pairs), "word string, n long, cls int"), "vocabulary")
+    return seeds, of, vocabulary
+
+
+SEQUENCE = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, seq binary, tail array<string>, unseen array<int>"
+
 
+def _sequences(shared):
+    """Each text's classes; those of words to look up are -1, -2, ... by their place in tail. unseen: their shapes' classes."""
 
-def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = shared.value
-        logs = np.log10(model.head_n + 1.0)
-        m = len(model.of)
+        words, counts, classes, shape_of = shared.value
+        head, logs = pa.array(words, pa.large_string()), np.log10(np.append(counts, 0) + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for a, b, buf, offsets in chunks(batch.column("text")):
-                t = Tokens.of(buf, offsets)
-                n = b - a
-                cls = model.of[_units(t, model.words)]
-                before = np.append(model.of[m - 1], cls[:-1])
-                i, found = _find(t.h, model.head)
-                local = np.where(found, logs[i] if len(logs) else 0.0, 0.0)
+                t, n = Tokens.of(buf, offsets), b - a
+                at = _place(t.words, head)
+                unseen = shape_of[shapes(t.words)]
+                known = (at >= 0)[t.code]
+                seq = np.where(at >= 0, np.append(classes, 0)[at], 0)[t.code]
+                # Words to look up, each once a document.
+                rest = np.flatnonzero(~known)
+                rest = rest[np.lexsort((t.code[rest], t.doc[rest]))]
+                d, c = t.doc[rest], t.code[rest]
+                new = np.append(True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]))[: len(rest)]
+                first = np.flatnonzero(new)
+                cut = np.searchsorted(d[first], np.arange(n + 1))
+                seq[rest] = cut[d] - np.cumsum(new)
+                where = np.searchsorted(t.doc, np.arange(n + 1))
+                small = np.diff(cut).max(initial=0) < 2**15
+                parts = seq.astype(np.int16 if small else np.int32)
+                binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), n, [None, pa.py_buffer((where * parts.itemsize).astype(np.int64)), pa.py_buffer(parts)]).cast(pa.binary())
+                tail = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), x)  # noqa: B023, E731
                 per = lambda x: np.bincount(t.doc, weights=x, minlength=n)  # noqa: B023, E731
-                # Words whose counts are elsewhere, each once a document.
-                rest = np.flatnonzero(~found)
-                rest = rest[np.lexsort((t.h[rest], t.doc[rest]))]
-                d, h = t.doc[rest], t.h[rest]
-                new = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (h[1:] != h[:-1]))) if len(rest) else rest
-                size = np.diff(np.append(new, len(rest)))
-                cut = np.searchsorted(d[new], np.arange(n + 1)).astype(np.int32)
-                tail = lambda x: pa.ListArray.from_arrays(pa.array(cut), pa.array(x))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(np.bincount(t.doc, minlength=n)), pa.array(per(found).astype(np.int64)), pa.array(per(local)), pa.array(per(model.step[before, cls])), tail(h[new].view(np.int64)), tail(size.astype(np.int64))],
-                    ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "steps", "tail_h", "tail_n"],
+                    [pa.array(np.arange(row, row + n)), batch.column("doc_id").slice(a, n), batch.column("held_out").slice(a, n), pa.array(np.diff(where)), pa.array(per(known).astype(np.int64)), pa.array(per(logs[at][t.code])), binary, tail(t.words.take(pa.array(c[first])).cast(pa.string())), tail(pa.array(unseen[c[first]].astype(np.int32)))],
+                    ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "seq", "tail", "unseen"],
                 )
                 row += n
 
     return run
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sequences with the looked-up words' classes and counts put in; found: (place in tail, n, cls)."""
+    for batch in batches:
+        tokens, unseen, found = batch.column("n_tokens").to_pylist(), batch.column("unseen"), batch.column("found")
+        known, logs, out = batch.column("n_known").to_numpy().copy(), batch.column("logs").to_numpy().copy(), []
+        for i, raw in enumerate(batch.column("seq").to_pylist()):
+            seq = np.frombuffer(raw, np.int16 if len(raw) == 2 * tokens[i] else np.int32)
+            tail = seq < 0
+            if tail.any():
+                place = -1 - seq[tail].astype(np.int64)
+                cls = unseen[i].values.to_numpy().copy()
+                if found[i].is_valid and len(found[i].values):
+                    at, n, its = (found[i].values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+                    cls[at] = its
+                    often = np.bincount(place, minlength=len(cls))[at]
+                    known[i] += often.sum()
+                    logs[i] += (often * np.log10(n + 1.0)).sum()
+                seq = seq.copy()
+                seq[tail] = cls[place]
+            out.append(seq.astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens")), pa.array(known), pa.array(logs), pa.array(out, pa.binary())], ["doc_id", "held_out", "n_tokens", "n_known", "logs", "seq"])
+
+
+def _count_classes(end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for raw in batch.column("seq").to_pylist():
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
+                counts += np.bincount(np.append(end, c[:-1]) * CLASSES + c, minlength=CLASSES * CLASSES)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["pair", "n"])
+
+    return run
+
+
+def transitions(seen: np.ndarray, n: np.ndarray, v: np.ndarray, classes: int) -> np.ndarray:
+    """log10 of P(class | class before) / (N_class + V_class + 1), from class bigrams and each class's tokens and words."""
+    share = (n + 1) / (n.sum() + classes)
+    return np.log10((seen + PRIOR * share) / (seen.sum(axis=1, keepdims=True) + PRIOR)) - np.log10(n + v + 1)
+
+
+def _steps(step: np.ndarray, end: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = []
+            for raw in batch.column("seq").to_pylist():
+                c = np.frombuffer(raw, np.uint8).astype(np.int64)
+                total.append(float(step[np.append(end, c[:-1]), c].sum()))
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "logs"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(total, pa.float64())], [*names, "steps"])
+
+    return run
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row of docs (doc_id, text).
 
@@ -245,15 +387,26 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out().alias("held_out"))
-    model, vocabulary = train(d.where("NOT held_out"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, steps double, tail_h array<long>, tail_n array<long>"
-    local = stored(d.mapInArrow(_score(spark.sparkContext.broadcast(model)), schema), "scores")
-    tail = local.where(F.size("tail_h") > 0).select("row", F.explode(F.arrays_zip("tail_h", "tail_n")).alias("t")).select("row", F.col("t.tail_h").alias("h"), F.col("t.tail_n").alias("k"))
-    found = tail.join(vocabulary, "h").groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1.0)).alias("more_logs"))
-    logs = F.col("logs") + F.coalesce("more_logs", F.lit(0.0))
-    total = F.col("steps") + logs
-    return local.drop("tail_h", "tail_n").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * float(np.log10(model.total + model.distinct + 1))).alias("base_score"), total.alias("score"),
-        F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
+    seeds, of, vocabulary = train(d.where("NOT held_out"))
+    classes, end = int(of.max()) + 1, int(of[-1])
+    n, v = np.zeros(classes), np.zeros(classes)
+    for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        n[r.cls], v[r.cls] = r.n, r.v
+    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    model = (head["word"].tolist(), head["n"].to_numpy(np.int64), head["cls"].to_numpy(np.int64), of[len(seeds) :])
+    local = stored(d.mapInArrow(_sequences(spark.sparkContext.broadcast(model)), SEQUENCE), "sequences")
+    tail = local.select("row", F.posexplode("tail").alias("place", "word"))
+    found = tail.join(vocabulary, "word").groupBy("row").agg(F.collect_list(F.struct("place", "n", "cls")).alias("found"))
+    both = local.drop("tail").join(found, "row", "left")
+    whole = stored(both.mapInArrow(_resolved, "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, seq binary"), "class-sequences")
+    drop_stored(local)
+    rows = whole.where("NOT held_out").mapInArrow(_count_classes(end), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    seen = np.zeros(CLASSES * CLASSES)
+    seen[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    step = transitions(seen.reshape(CLASSES, CLASSES)[:classes, :classes], n, v, classes)
+    scored = whole.mapInArrow(_steps(step, end), "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, steps double")
+    total, base = F.col("steps") + F.col("logs"), float(np.log10(n.sum() + v.sum() + 1))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n.sum())).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * base).alias("base_score"),
+        total.alias("score"), F.pow(F.lit(10.0), -total / F.col("n_tokens")).alias("perplexity"),
     )

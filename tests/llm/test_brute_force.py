@@ -97,6 +97,12 @@ def test_decontamination(spark, corpus):
     assert words(cut[5000]) == ["x", "y"] and cut[5001] == "zeta" and cut[5000].startswith("x ")
 
 
+def _targets(spark, sizes):
+    rows = [(f"0{k:03}", w) for k, w in enumerate(sizes)]
+    got = mixing.targets(mixing.weighted(spark.createDataFrame(rows, "key string, words long"))).collect()
+    return [r.target for r in sorted(got)]
+
+
 def test_mixing(spark, corpus):
     got = mixing.mix(spark.createDataFrame(corpus, DOCS)).toPandas().set_index("doc_id")
     size = {i: len(t.split()) for i, t, *_ in corpus}
@@ -104,7 +110,7 @@ def test_mixing(spark, corpus):
     for i, _, _, s in corpus:
         by[s] += size[i]
     names = sorted(by)
-    want = dict(zip(names, mixing.targets([by[n] for n in names]), strict=True))
+    want = dict(zip(names, _targets(spark, [by[n] for n in names]), strict=True))
     assert sum(want.values()) == pytest.approx(sum(by.values())) and all(want[n] <= 3 * by[n] + 1e-6 for n in names)
     taken = collections.defaultdict(int)
     for i, _, _, s in corpus:
@@ -119,19 +125,52 @@ def test_mixing(spark, corpus):
 def test_mixing_is_entropy_balanced(spark):
     rows = [(k, s, n) for k in ("0a", "0b") for s, n in ((10, 50), (100, 20), (900, 3))]
     words = {k: sum(s * n for kk, s, n in rows if kk == k) for k in ("0a", "0b")}
-    goal = {"0a": (words["0a"], 0.4 * words["0a"], 73), "0b": (words["0b"], 2.5 * words["0b"], 73)}
-    tilt = mixing.tilts(spark.createDataFrame(rows, "key string, size long, n long"), goal)
-    for k in goal:
-        mean = words[k] / 73
-        got = sum(min(3, math.exp(tilt[k] * s / mean)) * s * n for kk, s, n in rows if kk == k)
-        assert got == pytest.approx(goal[k][1], rel=1e-6)
-
-
-def test_targets_stop_at_three_times():
-    assert mixing.targets([100, 100, 100]) == [50, 100, 150]
-    got = mixing.targets([1000, 10, 10])
+    goal = [("0a", words["0a"], 73, 0.4 * words["0a"]), ("0b", words["0b"], 73, 2.5 * words["0b"]), ("0c", 0, 0, 0.0), ("0d", 5, 1, 15.0)]
+    rows.append(("0d", 5, 1))
+    tilted = mixing.tilts(spark.createDataFrame(rows, "key string, size long, n long"), spark.createDataFrame(goal, "key string, words long, n long, target double"))
+    tilt = {r.key: r.tilt for r in tilted.collect()}
+    for k, all_, n, target in goal[:2]:
+        got = sum(min(3, math.exp(tilt[k] * s / (all_ / n))) * s * c for kk, s, c in rows if kk == k)
+        assert got == pytest.approx(target, rel=1e-6)
+    assert tilt["0c"] == 0 and math.exp(tilt["0d"]) > 3
+
+
+def test_targets_stop_at_three_times(spark):
+    assert _targets(spark, [100, 100, 100]) == [50, 100, 150]
+    got = _targets(spark, [1000, 10, 10])
     assert got[1:] == [30, 30] and got[0] == 960
-    assert mixing.targets([0, 0]) == [0, 0] and mixing.targets([]) == []
+    assert _targets(spark, [0, 0]) == [0, 0] and _targets(spark, []) == []
+    assert _targets(spark, [70] * 9) == [35, 70, 105] * 3
+
+
+def test_mixing_repeated_rows(spark):
+    """Copies of one row are mixed like other rows: within one document of the target, and spread evenly."""
+    rows = [(1, "a " * 100, "en", "s1")] * 50 + [(2, "b " * 300, "en", "s2")] * 50
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).toPandas()
+    assert len(got) == 100
+    for i, size, target in ((1, 100, 20000 / 3), (2, 300, 40000 / 3)):
+        x = got[got.doc_id == i]
+        assert len(x) == 50 and x.target.iloc[0] == pytest.approx(target) and abs(x.taken.sum() - target) <= size
+        assert x.copies.max() - x.copies.min() <= 1
+    counts = collections.Counter(r.doc_id for r in mixing.mixed(docs).collect())
+    assert counts == {i: int(got[got.doc_id == i].copies.sum()) for i in (1, 2)}
+
+
+def test_mixed_rows(spark, corpus, monkeypatch):
+    """Rows as often as they have copies, in blocks of any size; repeated rows draw together."""
+    docs = spark.createDataFrame([*corpus, *corpus[:5], corpus[3]], DOCS)
+    want = collections.Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    monkeypatch.setattr(mixing, "BLOCK", 2)
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert collections.Counter(r.doc_id for r in out.collect()) == +want
+    again = collections.Counter()
+    for r in mixing.mix(docs.repartition(7)).collect():
+        again[r.doc_id] += r.copies
+    assert again == want
 
 
 def test_quality_rules(spark, corpus):
@@ -192,14 +231,68 @@ def test_lm_tail_join_agrees(spark, corpus, monkeypatch):
     """Words looked up by the join score as those that go with the code."""
     docs = spark.createDataFrame(corpus, DOCS)
     whole = lm_scoring.score(docs).toPandas().set_index("doc_id")
-    monkeypatch.setattr(lm_scoring, "HEAD", lm_scoring.CLUSTERED + 1)  # and the end
+    monkeypatch.setattr(lm_scoring, "HEAD", 40)
     few = lm_scoring.score(docs).toPandas().set_index("doc_id")
     assert (whole.n_known == few.n_known.loc[whole.index]).all()
     assert np.allclose(whole.score, few.score.loc[whole.index], rtol=1e-9) and np.allclose(whole.base_score, few.base_score.loc[whole.index], rtol=1e-9)
 
 
-def test_class_model_sums_to_one():
-    """Over each class's words and its unknown one, and over classes, probabilities sum to 1."""
+def _shape(w):
+    b = w.encode()
+    last = b[-1]
+    letter = last >= 128 or chr(last).isalpha()
+    return sum(len(b) > x for x in lm_scoring.LENGTHS) * 4 + any(x >= 128 for x in b) * 2 + (not letter)
+
+
+def test_lm_score_by_hand(spark, corpus):
+    """Class bigrams and emissions counted in Python, given each word's class; over every history they sum to one."""
+    docs = [*corpus, (9000, "ünder x1 x2, Å", "en", "s"), (9001, "", "en", "s"), (9002, None, "en", "s")]
+    lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    tokens = {i: [*(t or "").translate(lower).split(), ""] for i, t, *_ in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
+    learned = spark.createDataFrame([d for d in docs if not held[d[0]]], DOCS)
+    seeds, of, vocabulary = lm_scoring.train(learned)
+    words = {r.word: (r.n, r.cls) for r in vocabulary.collect()}
+    assert {w: n for w, (n, _) in words.items()} == collections.Counter(x for i, w in tokens.items() if not held[i] for x in w)
+    cls = lambda w: words[w][1] if w in words else int(of[len(seeds) + _shape(w)])
+    k, end = int(of.max()) + 1, int(of[-1])
+    seen, n, v = np.zeros((k, k)), np.zeros(k), np.zeros(k)
+    for c, its in words.values():
+        n[its] += c
+        v[its] += 1
+    for i, w in tokens.items():
+        if not held[i]:
+            for x, y in zip(["", *w], w, strict=False):
+                seen[cls(x), cls(y)] += 1
+    assert words[""][1] == end
+    step = lm_scoring.transitions(seen, n, v, k)
+    assert np.allclose((10**step * (n + v + 1)).sum(axis=1), 1)  # each class's words and its unknown one
+    share = (n + 1) / (n.sum() + k)
+    got = {r.doc_id: r.score for r in lm_scoring.score(spark.createDataFrame(docs, DOCS)).collect()}
+    for i, w in tokens.items():
+        want = 0.0
+        for x, y in zip(["", *w], w, strict=False):
+            a, b = cls(x), cls(y)
+            want += math.log10((seen[a, b] + 10 * share[b]) / (seen[a].sum() + 10) * (words.get(y, (0,))[0] + 1) / (n[b] + v[b] + 1))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
+def test_rare_words_find_their_class(spark, monkeypatch):
+    """Names, verbs and things take turns; those too rare to be seeds, all of one shape, join the classes of their kind."""
+    monkeypatch.setattr(lm_scoring, "SEEDS", 30)
+    rnd = random.Random(5)
+    kinds = [[f"w{rnd.randrange(10**6, 10**7)}" for _ in range(100)] for _ in range(3)]
+    pick = lambda k: rnd.choice(kinds[k][:10] if rnd.random() < 0.7 else kinds[k])
+    docs = spark.createDataFrame([(" ".join(pick(k) for _ in range(20) for k in range(3)),) for _ in range(300)], "text string")
+    _, _, vocabulary = lm_scoring.train(docs)
+    cls = {r.word: r.cls for r in vocabulary.collect()}
+    of = [collections.Counter(cls[w] for w in kind if w in cls) for kind in kinds]
+    own = [set(c[:10]) for c in ([cls[w] for w in kind[:10]] for kind in kinds)]
+    assert all(sum(c[x] for x in mine) >= 0.95 * c.total() for c, mine in zip(of, own, strict=True))
+    assert not own[0] & own[1] and not own[1] & own[2] and not own[0] & own[2]
+
+
+def test_exchange_raises_the_likelihood():
     rnd = np.random.default_rng(0)
     pairs = rnd.integers(0, 30, (40, 40)).astype(float)
     of = lm_scoring.exchange(pairs, classes=6)

@@ -74,8 +74,8 @@ def test_digest(spark, name):
         cut = lambda r: [(x[0], x[-1]) for x in r]
         assert sorted(cut(table(again))) == sorted(cut(got))
     elif name == "score":
-        keep = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens"]
-        assert table(again.select(keep)) == table(out.select(keep))
+        sums = lambda df: df.withColumns({c: F.round(c, 6) for c in ("base_score", "score", "perplexity")})
+        assert table(sums(again)) == table(sums(out))
     else:
         assert table(again) == got
     empty = OPS[name](spark, spark.createDataFrame([], DOCS))
