@@ -60,4 +60,4 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters)}
 
-ORACLES = {"op3_decontamination": decontamination.oracle(), "op4_mixing": mixing.oracle(), "op9_substring_dedup": substring_dedup.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}
+ORACLES = {"op3_decontamination": decontamination.oracle(), "op4_mixing": mixing.oracle(), "op6_line_dedup": line_dedup.oracle(), "op9_substring_dedup": substring_dedup.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}

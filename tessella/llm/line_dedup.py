@@ -10,6 +10,12 @@ drop them; a window that very many documents share is summed before it is sent.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,27 +36,8 @@ def windows_of(lines: Column) -> Column:
     return let(F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD)), pairs)
 
 
-def _runs(windows: Column) -> Column:
-    """Array of struct(a, n): the lines of windows (array of struct(a, to)), overlapping and adjoining ones as one."""
-    ended = lambda acc: F.concat(acc["out"], F.array(F.struct(acc["a"].alias("a"), (acc["to"] - acc["a"] + 1).alias("n"))))
-
-    def step(acc: Column, w: Column) -> Column:
-        on = w["a"] <= acc["to"] + 1
-        return F.struct(
-            F.when(on, acc["out"]).otherwise(ended(acc)).alias("out"),
-            F.when(on, acc["a"]).otherwise(w["a"]).alias("a"),
-            F.when(on, F.greatest(acc["to"], w["to"])).otherwise(w["to"]).alias("to"),
-        )
-
-    def merged(w: Column) -> Column:
-        start = F.struct(F.array().cast("array<struct<a:int,n:int>>").alias("out"), F.get(w, F.lit(0))["a"].alias("a"), F.get(w, F.lit(0))["to"].alias("to"))
-        return F.aggregate(w, start, step, ended)
-
-    return let(F.array_sort(windows), merged)
-
-
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """_tsl_id, _tsl_text, _tsl_gone (array of struct(a, n)): the runs of lines that each document loses."""
+    """_tsl_id, _tsl_text, _tsl_gone (array of struct(a, to)): the runs of lines that each document loses; they may overlap."""
     cut = docs.select(*row_key(), let(lines_of(text_of()), windows_of).alias("c"))
     all_ = stored(cut.select("_tsl_id", "_tsl_text", F.explode("c").alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "line-windows")
     place = F.struct("_tsl_id", "_tsl_text", "a", "n")
@@ -62,22 +49,30 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     by = stored(here.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("c").alias("c")), "repeated-windows")
     drop_stored(all_)
     # The bytes of every window whose hash repeats.
-    with_text = docs.select(*row_key(), F.col("text").alias("t")).join(by.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"])
+    with_text = docs.select(*row_key(), F.col("text").alias("t")).join(by, ["_tsl_id", "_tsl_text"])
     both = lambda ls, c: F.concat_ws("\n", F.get(ls, c["a"]), F.get(ls, c["a"] + c["n"] - 1))
     body = let(lines_of(F.col("t")), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["n"].alias("n"), c["h"].alias("h"), c["first"].alias("first"), c["begin"].alias("begin"), both(ls, c).alias("body"))))
     bytes_ = stored(with_text.select("_tsl_id", "_tsl_text", F.explode(body).alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "window-bytes")
     first = bytes_.where("first").groupBy("h").agg(F.first("body").alias("kept"))
     same = bytes_.where("NOT first AND begin < a + n").join(first, "h").where("body = kept")
-    gone = same.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set(F.struct(F.col("begin").alias("a"), (F.col("a") + F.col("n") - 1).alias("to"))).alias("w"))
-    out = stored(gone.select("_tsl_id", "_tsl_text", _runs(F.col("w")).alias("_tsl_gone")), "runs-to-drop")
-    drop_stored(by)
-    drop_stored(bytes_)
+    run = F.struct(F.col("begin").alias("a"), (F.col("a") + F.col("n") - 1).alias("to"))
+    out = stored(same.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set(run).alias("_tsl_gone")), "runs-to-drop")
+    for x in (many, by, bytes_):
+        drop_stored(x)
     return out
 
 
-def _kept(text: Column, gone: Column) -> Column:
-    left = F.filter(lines_of(text), lambda x, i: ~F.exists(gone, lambda g: (g["a"] <= i) & (i < g["a"] + g["n"])))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
+def _left(text: str, gone: pa.Scalar) -> tuple[str, int, int]:
+    """(what is left of a text, its lines, those that went), in time proportional to its lines and runs."""
+    lines = text.split("\n")
+    if not gone.is_valid:
+        return text, len(lines), 0
+    a, to = (gone.values.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+    covered = np.zeros(len(lines) + 1, np.int64)
+    np.add.at(covered, a, 1)
+    np.add.at(covered, to + 1, -1)
+    kept = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    return "\n".join([lines[i] for i in kept.tolist()]), len(lines), len(lines) - len(kept)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -86,15 +81,42 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     Null and empty texts stay as they are. A null doc_id counts as the least. Repeated rows (id and text) are one document:
     each keeps what it keeps. A text that loses all its lines is ''. An empty table gives no rows.
     """
-    gone = repeated_runs(docs)
-    keyed = docs.select("*", *row_key()).join(gone.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left")
-    return keyed.select(*(_kept(F.col("text"), F.col("_tsl_gone")).alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    names = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, gone = batch.column("text"), batch.column("_tsl_gone")
+            some = gone.is_valid()
+            left = [_left(t, g)[0] for t, g in zip(text.filter(some).to_pylist(), gone.filter(some), strict=True)]
+            text = pc.replace_with_mask(text, some, pa.array(left, text.type))
+            yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
+
+    keyed = docs.select("*", *row_key()).join(repeated_runs(docs), ["_tsl_id", "_tsl_text"], "left")
+    return keyed.select(*names, "_tsl_gone").mapInArrow(run, docs.schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row of docs (doc_id, text); null text: no lines."""
-    gone = repeated_runs(docs.select("doc_id", "text"))
-    keyed = docs.select("doc_id", "text", *row_key()).join(gone.hint("shuffle_hash"), ["_tsl_id", "_tsl_text"], "left")
-    lost = F.coalesce(F.aggregate("_tsl_gone", F.lit(0), lambda acc, g: acc + g["n"]), F.lit(0)).cast("long")
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines_of(F.col("text")))).cast("long")
-    return keyed.select("doc_id", n.alias("n_lines"), lost.alias("n_removed"), F.sha2(_kept(text_of(), F.col("_tsl_gone")), 256).alias("kept_sha256"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = [_left(t or "", g) for t, g in zip(batch.column("text").to_pylist(), batch.column("_tsl_gone"), strict=True)]
+            n = [0 if not v.as_py() else x[1] for x, v in zip(left, batch.column("text").is_valid(), strict=True)]
+            sha = [hashlib.sha256(x[0].encode()).hexdigest() for x in left]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x[2] for x in left], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    keyed = slim.select("*", *row_key()).join(repeated_runs(slim), ["_tsl_id", "_tsl_text"], "left")
+    return keyed.select("doc_id", "text", "_tsl_gone").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
+
+
+def oracle() -> str:
+    """Texts of one id are in no order here, so ids must differ."""
+    return """
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, text IS NULL AS none, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS line FROM d),
+f AS (SELECT r, i AS a, line AS x, lead(i) OVER (PARTITION BY r ORDER BY i) AS b, lead(line) OVER (PARTITION BY r ORDER BY i) AS y FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT *, first_value(r) OVER p AS r0, first_value(a) OVER p AS a0, first_value(b) OVER p AS b0 FROM f WHERE b IS NOT NULL WINDOW p AS (PARTITION BY x, y ORDER BY r, a)),
+g AS (SELECT DISTINCT r, unnest(range(CASE WHEN r = r0 THEN greatest(a, b0 + 1) ELSE a END, b + 1)) AS i FROM w WHERE r <> r0 OR a <> a0),
+k AS (SELECT l.r AS r, count(g.i) AS n, string_agg(CASE WHEN g.i IS NULL THEN line END, chr(10) ORDER BY l.i) AS t FROM l LEFT JOIN g ON l.r = g.r AND l.i = g.i GROUP BY l.r)
+SELECT doc_id, CAST(CASE WHEN none THEN 0 ELSE len(ls) END AS BIGINT) AS n_lines, CAST(n AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d JOIN k ON d.r = k.r"""

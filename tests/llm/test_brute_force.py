@@ -592,3 +592,16 @@ def test_line_dedup_over_blank_lines(spark):
     docs = [(1, "own a\n\nfirst part\n\nsecond part\n\nown b"), (2, "own c\n\nfirst part\n \nsecond part\n\nown d"), (3, "first part\nsecond part")]
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1: docs[0][1], 2: "own c\n\n\nown d", 3: ""} == _lines_left(docs)
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """400,000 lines, a third of them in repeated runs: time grows with the lines, not with their square."""
+    rnd = random.Random(15)
+    runs = [[f"run {k} line {j}" for j in range(2 + k % 4)] for k in range(200)]
+    lines = []
+    while len(lines) < 400_000:
+        lines += [f"own {len(lines)} {j}" for j in range(8)] + rnd.choice(runs)
+    docs = [(1, "\n".join(lines)), (2, "\n".join(["head", *runs[0], "tail"]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = _lines_left(docs)
+    assert got == want and len(want[1]) < 0.8 * len(docs[0][1])
