@@ -2,7 +2,8 @@
 
 The benchmark's windows (10 words; a shorter item is one window) form a hash table. Documents are read once: each window
 is hashed, probed, and a hit is verified word by word before it counts. The table is broadcast only when its counted
-size is below MAX_BROADCAST windows; beyond, the same join shuffles.
+size is below MAX_BROADCAST bytes; beyond, hashes alone are shuffled to the table, and the texts of documents that meet it are
+read again to compare words. Which items hold a window is looked up after the hits.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from tessella.llm.shared import ascii_lower, let, pieces, row_key, stored, text_
 #: Words are [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing, so these part them.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 TOKEN_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WINDOW, MAX_BROADCAST = 10, 500_000
+WINDOW, MAX_BROADCAST = 10, 64 << 20
 
 
 def tokens(text: Column) -> Column:
@@ -34,11 +35,12 @@ def _hashes(ws: Column, length: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """b_hash, b_words (array), b_len, b_items: each distinct window with the ids of its items."""
-    items = benchmark.select("item_id", tokens(text_of()).alias("ws")).where(F.size("ws") > 0).withColumn("len", F.least(F.size("ws"), F.lit(window)))
-    cut = items.select("item_id", "len", F.explode(F.transform(F.sequence(F.lit(1), F.size("ws") - F.col("len") + 1), lambda i: F.slice("ws", i, F.col("len")))).alias("b_words"))
-    by = cut.groupBy("b_words").agg(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit(""))).alias("b_items"))
-    return by.select(_by_length(F.size("b_words"), range(1, window + 1), lambda n: F.get(_hashes(F.col("b_words"), n), F.lit(0))).alias("b_hash"), "b_words", F.size("b_words").alias("b_len"), "b_items")
+    """b_hash, b_words (array), b_len, b_name, item: the windows of each item, once an item; b_name is equal for equal words."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), tokens(text_of()).alias("ws")).where(F.size("ws") > 0)
+    items = items.withColumn("len", F.least(F.size("ws"), F.lit(window)))
+    cut = items.select("item", "len", F.explode(F.transform(F.sequence(F.lit(0), F.size("ws") - F.col("len")), lambda i: _by_length(F.col("len"), range(1, window + 1), lambda n: F.array(*_window(F.col("ws"), i, n))))).alias("b_words"))
+    hashed = _by_length(F.col("len"), range(1, window + 1), lambda n: F.get(_hashes(F.col("b_words"), n), F.lit(0)))
+    return cut.select(hashed.alias("b_hash"), "b_words", F.col("len").alias("b_len"), F.md5(F.array_join("b_words", " ")).alias("b_name"), "item").distinct()
 
 
 def _by_length(length: Column, lengths, value) -> Column:
@@ -49,30 +51,43 @@ def _by_length(length: Column, lengths, value) -> Column:
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """_tsl_id, _tsl_text, _tsl_spans (merged, sorted array of struct(a, b) over word places from 0, b exclusive), items (sorted array).
+    """_tsl_id, _tsl_text, _tsl_spans (sorted array of struct(a, b) over word places from 0, b exclusive; they may overlap), items (sorted array).
 
     One row for each document (see row_key()) that holds a window of the benchmark.
     """
-    table = stored(benchmark_windows(benchmark, window), "benchmark-windows")
-    sizes = {r["b_len"]: r["count"] for r in table.groupBy("b_len").count().collect()}
+    all_ = stored(benchmark_windows(benchmark, window), "benchmark-windows")
+    table = all_.select("b_hash", "b_words", "b_len", "b_name").distinct()
+    sizes = {r["b_len"]: r["bytes"] for r in table.groupBy("b_len").agg(F.sum(F.octet_length(F.array_join("b_words", "")) + 24 * F.size("b_words") + 80).alias("bytes")).collect()}
     lengths = sorted(sizes) or [window]
     texts = docs.select(*row_key(), tokens(text_of()).alias("ws")).withColumn("len", F.explode(F.array(*map(F.lit, lengths))) if len(lengths) > 1 else F.lit(lengths[0]))
     # Hashed below the explode, which is then compiled and does not copy ws into each of its rows.
     texts = texts.withColumn("hashes", _by_length(F.col("len"), lengths, lambda n: _hashes(F.col("ws"), n)))
-    probes = texts.select("_tsl_id", "_tsl_text", "ws", "len", F.posexplode_outer("hashes").alias("at", "hash"))
-    if sum(sizes.values()) <= max_broadcast:
-        table = F.broadcast(table)
-    here = _by_length(F.col("len"), lengths, lambda n: F.array(*_window(F.col("ws"), F.col("at"), n)))
+    here = lambda ws, at, length: _by_length(length, lengths, lambda n: F.array(*_window(ws, at, n)))
+    met = (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len"))
     # Two orders instead of one equality: the words are then no join key, and are compared only where hashes meet.
-    same = (F.col("hash") == F.col("b_hash")) & (F.col("len") == F.col("b_len")) & (here <= F.col("b_words")) & (here >= F.col("b_words"))
-    found = probes.join(table, same).select("_tsl_id", "_tsl_text", F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b")).alias("span"), "b_items")
-    merge = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (x["a"] <= F.element_at(acc, -1)["b"]),
-        F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b")))),
-    ).otherwise(F.concat(acc, F.array(x)))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    by = found.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("span").alias("s"), F.collect_set("b_items").alias("i"))
-    return by.select("_tsl_id", "_tsl_text", F.aggregate(F.sort_array("s"), empty, merge).alias("_tsl_spans"), F.sort_array(F.array_distinct(F.flatten("i"))).alias("items"))
+    same = lambda words: met & (words <= F.col("b_words")) & (words >= F.col("b_words"))
+    if sum(sizes.values()) <= max_broadcast:
+        probes = texts.select("_tsl_id", "_tsl_text", "ws", "len", F.posexplode_outer("hashes").alias("at", "hash"))
+        found = probes.join(F.broadcast(table), same(here(F.col("ws"), F.col("at"), F.col("len"))))
+    else:
+        # Outer, or a filter on the hashes would be pushed below the words, and split the text once for each of them.
+        probes = texts.select("_tsl_id", "_tsl_text", "len", F.posexplode_outer("hashes").alias("at", "hash"))
+        near = probes.join(table.select("b_hash", "b_len").distinct(), met, "left_semi")
+        near = stored(near.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set(F.struct("at", "len", "hash")).alias("near")), "benchmark-candidates")
+        again = docs.select(*row_key(), text_of().alias("t")).join(near, ["_tsl_id", "_tsl_text"]).groupBy("_tsl_id", "_tsl_text").agg(F.first("t").alias("t"), F.first("near").alias("near"))
+        cut = let(tokens(F.col("t")), lambda ws: F.transform("near", lambda x: F.struct(x["at"].alias("at"), x["len"].alias("len"), x["hash"].alias("hash"), here(ws, x["at"], x["len"]).alias("words"))))
+        found = again.select("_tsl_id", "_tsl_text", F.explode(cut).alias("x")).select("_tsl_id", "_tsl_text", "x.*").join(table, same(F.col("words")))
+    span = F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b"))
+    by = found.groupBy("_tsl_id", "_tsl_text").agg(F.array_sort(F.collect_set(span)).alias("_tsl_spans"), F.collect_set("b_name").alias("names"))
+    by = stored(by, "benchmark-spans")
+    items = by.select("_tsl_id", "_tsl_text", F.explode("names").alias("b_name")).join(all_.select("b_name", "item"), "b_name").groupBy("_tsl_id", "_tsl_text").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return by.drop("names").join(items, ["_tsl_id", "_tsl_text"])
+
+
+def covered(spans: Column) -> Column:
+    """Places inside sorted spans, in one pass."""
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(F.lit(0), x["b"] - F.greatest(x["a"], acc["to"]))).alias("n"), F.greatest(acc["to"], x["b"]).alias("to"))
+    return F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")), step, lambda acc: acc["n"])
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -84,7 +99,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     """
     found = stored(hits(docs, benchmark, window), "benchmark-hits").withColumnsRenamed({"_tsl_id": "_tsl_hit_id", "_tsl_text": "_tsl_hit_text"})
     all_ = docs.select("doc_id", *row_key(), F.size(tokens(text_of())).cast("long").alias("n_words"))
-    n_hit = F.coalesce(F.aggregate("_tsl_spans", F.lit(0), lambda acc, x: acc + x["b"] - x["a"]), F.lit(0)).cast("long")
+    n_hit = F.coalesce(covered(F.col("_tsl_spans")), F.lit(0)).cast("long")
     items = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return all_.join(found, (F.col("_tsl_id") == F.col("_tsl_hit_id")) & (F.col("_tsl_text") == F.col("_tsl_hit_text")), "left").select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
@@ -93,7 +108,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", window: int = WINDOW) -> DataFrame:
-    """docs without contaminated rows, or (remove="spans") with hit words and what follows them cut from text."""
+    """docs without contaminated rows, or (remove="spans") with hit words and what follows them cut from text; all columns.
+
+    Null and empty texts hold nothing and stay. Repeated rows share their fate. An empty benchmark removes nothing; an empty
+    table gives no rows.
+    """
     if remove not in ("documents", "spans"):
         raise ValueError("remove: documents or spans")
     found = stored(hits(docs, benchmark, window).select(F.col("_tsl_id").alias("_tsl_hit_id"), F.col("_tsl_text").alias("_tsl_hit_text"), "_tsl_spans"), "benchmark-hits")
@@ -101,11 +120,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
     same = (F.col("_tsl_id") == F.col("_tsl_hit_id")) & (F.col("_tsl_text") == F.col("_tsl_hit_text"))
     if remove == "documents":
         return keyed.join(found, same, "left_anti").select(docs.columns)
+    # Words of hit texts and hit places meet by a join: slices of an array would each copy all of it.
+    key = ["_tsl_hit_id", "_tsl_hit_text"]
+    texts = keyed.select(F.col("_tsl_id").alias(key[0]), F.col("_tsl_text").alias(key[1]), "text").join(found.select(key), key, "left_semi").groupBy(key).agg(F.first("text").alias("text"))
     gaps = F.split(F.col("text"), TOKEN_ANY_CASE, -1)
-    outside = lambda i: ~F.exists("_tsl_spans", lambda s: (s["a"] <= i) & (i < s["b"]))
-    kept = let(gaps, lambda g: F.concat(F.get(g, F.lit(0)), F.array_join(F.transform(F.regexp_extract_all("text", F.lit(TOKEN_ANY_CASE), F.lit(0)), lambda w, i: F.when(outside(i), F.concat(w, F.get(g, i + 1))).otherwise("")), "")))
-    cut = F.when(F.col("_tsl_spans").isNull(), F.col("text")).otherwise(kept)
-    return keyed.join(found, same, "left").select(*(cut.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    pieces = let(gaps, lambda g: F.zip_with(F.regexp_extract_all("text", F.lit(TOKEN_ANY_CASE), F.lit(0)), F.slice(g, F.lit(2), F.size(g) - 1), lambda w, x: F.concat(w, x)))
+    places = found.select(*key, F.explode(F.flatten(F.transform("_tsl_spans", lambda x: F.sequence(x["a"], x["b"] - 1)))).alias("at")).distinct()
+    left = texts.select(*key, F.posexplode(pieces).alias("at", "piece")).join(places, [*key, "at"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("left"))
+    joined = F.concat(F.get(F.split(F.col("text"), TOKEN_ANY_CASE, 2), F.lit(0)), F.coalesce(F.array_join(F.transform("left", lambda x: x["piece"]), ""), F.lit("")))
+    cut = F.when(F.col("hit"), joined).otherwise(F.col("text"))
+    which = stored(found.select(*key, F.lit(True).alias("hit")).join(left, key, "left"), "texts-left")
+    return keyed.join(which, same, "left").select(*(cut.alias(c) if c == "text" else F.col(c) for c in docs.columns))
 
 
 def oracle() -> str:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessella.llm import decontamination, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 from tessella.llm.components import components
@@ -605,3 +606,21 @@ def test_line_dedup_of_a_long_text(spark):
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     want = _lines_left(docs)
     assert got == want and len(want[1]) < 0.8 * len(docs[0][1])
+
+
+def test_decontamination_of_a_long_text(spark):
+    """100,000 hits in one text, cut and counted in one pass, by either join."""
+    rnd = random.Random(16)
+    passages = [[f"p{k}x{j}" for j in range(12)] for k in range(50)]
+    words, hit = [], 0
+    while len(words) < 300_000:
+        own = [f"w{rnd.randrange(10**6)}" for _ in range(rnd.randint(1, 8))]
+        words += own + (p := rnd.choice(passages))
+        hit += len(p)
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "clean words")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(p)) for k, p in enumerate(passages)], "item_id long, text string")
+    for limit in (decontamination.MAX_BROADCAST, 0):
+        got = {r._tsl_id: r for r in decontamination.hits(docs, bench, max_broadcast=limit).withColumn("n", decontamination.covered(F.col("_tsl_spans"))).collect()}
+        assert list(got) == [1] and got[1].n == hit and got[1]["items"] == sorted(str(k) for k in range(50))
+    left = {r.doc_id: r.text for r in decontamination.decontaminate(docs, bench, "spans").collect()}
+    assert left[2] == "clean words" and left[1].split() == [w for w in words if not w.startswith("p")]
