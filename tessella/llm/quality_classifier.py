@@ -1,11 +1,12 @@
 """Quality classifier: hierarchical empirical Bayes over documents, paths and hosts.
 
 Document evidence is a logistic regression over binned counts of a text and over words, and beginnings of words, significantly more common
-in good or in bad documents; it is fitted to at most SAMPLE labelled documents, those with the least hash of their id.
+in good or in bad documents; it is fitted to at most SAMPLE labelled documents of the corpus, those with the least hash of
+their id.
 Site evidence covers every document: per path (host and section) the bad outcomes, labels where there are any and the
 classifier's probability elsewhere, are summed; the path's rate shrinks to its host's, the host's to the overall rate, by
-beta priors whose strengths the scatter of the rates gives. A document's odds are its own times the odds ratio of its
-path's rate to the overall rate.
+beta priors whose strengths the scatter of the rates around their parents' gives. A document's odds are its own times the
+odds ratio of its path's rate, by the other documents there, to the overall rate: its own evidence counts once.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import stored, strength_of
+from tessella.llm.shared import stored, strength_around
 from tessella.llm.textkernel import Words, chunks, lower_ascii, mix
 
-SAMPLE, LEXICON, MIN_Z, MIN_DOCS, BINS, RIDGE = 20_000, 5_000, 5.0, 5, 12, 1.0
+SAMPLE, MIN_Z, MIN_DOCS, BINS, RIDGE = 20_000, 5.0, 5, 12, 1.0
 N_COUNTS, N_FEATURES = 9, 11
 STEMS = (4, 5, 6)
 
@@ -64,7 +65,7 @@ def counts_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 @dataclass
 class Model:
-    """Fixed-size: a lexicon of at most LEXICON words and N_FEATURES * BINS weights."""
+    """A lexicon of words that the sample shows to matter, so bounded as it is, and N_FEATURES * BINS weights."""
 
     prior: float = 0.5
     words: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -130,12 +131,14 @@ def _features(model: Model, keep: list[str]):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """docs (doc_id, text), labels (doc_id, bad 0 or 1, one row an id)."""
-    total = labels.agg(F.count("*").alias("n"), F.sum("bad").alias("k")).first()
+    # Labels of documents that are not here teach nothing; of the others, SAMPLE ids are taken.
+    here = stored(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), "labels-here")
+    total = here.agg(F.count("*").alias("n"), F.sum("bad").alias("k")).first()
     model = Model(prior=((total.k or 0) + 0.5) / (total.n + 1))
     # SAMPLE rows of two numbers: of a known size, so they are broadcast and texts stay where they are.
-    chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = docs.join(F.broadcast(chosen), "doc_id").select(F.col("bad").cast("int").alias("bad"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = stored(sample, "labelled-sample")
+    chosen = here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("bad").cast("int").alias("bad"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    sample = stored(sample.select("bad", "text").repartition(8), "labelled-sample")
     sums = sample.agg(F.count("*").alias("n"), F.sum("bad").alias("k")).first()
     n, k = sums.n, sums.k or 0
     if not 0 < k < n:
@@ -147,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     part = lambda count, share: F.when(count == 0, 0.0).otherwise(count * F.log(count / (F.col("n") * share)))
     ratio = F.greatest(2 * (part(F.col("k"), k / n) + part(F.col("n") - F.col("k"), 1 - k / n)), F.lit(0.0))
     x = x.withColumn("z", F.signum("odds") * F.sqrt(ratio))
-    lexicon = x.where(F.abs("z") >= MIN_Z).orderBy(F.desc(F.abs("z")), "h").limit(LEXICON).select("h", "odds").toPandas()
+    lexicon = x.where(F.abs("z") >= MIN_Z).select("h", "odds").toPandas()
     words = lexicon["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(words)
     model.words, model.odds = words[order], np.clip(lexicon["odds"].to_numpy(float)[order], -6, 6)
@@ -161,16 +164,20 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_rates(outcomes: DataFrame) -> tuple[DataFrame, float]:
-    """(host, path, host_rate, path_rate of every path; the overall rate) of outcomes (host, path, bad between 0 and 1)."""
+def site_rates(outcomes: DataFrame) -> tuple[DataFrame, float, float]:
+    """(host, path, n, k, host_rate, path_rate of every path; the strength of a path's prior; the overall rate).
+
+    outcomes: (host, path, bad between 0 and 1).
+    """
     paths = stored(outcomes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("k")), "path-outcomes")
     total = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     overall = ((total.k or 0.0) + 0.5) / ((total.n or 0) + 1)
     hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "host-outcomes")
-    s_host, s_path = strength_of(hosts), strength_of(paths)
+    s_host = strength_around(hosts.withColumn("parent", F.lit(overall)))
     rate = hosts.select(F.col("host").alias("h"), ((F.col("k") + s_host * overall) / (F.col("n") + s_host)).alias("host_rate"))
-    joined = paths.join(rate, F.col("host").eqNullSafe(F.col("h")))
-    return joined.select("host", "path", "host_rate", ((F.col("k") + s_path * F.col("host_rate")) / (F.col("n") + s_path)).alias("path_rate")), overall
+    joined = stored(paths.join(rate, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "path-rates")
+    s_path = strength_around(joined.withColumnRenamed("host_rate", "parent"))
+    return joined.withColumn("path_rate", (F.col("k") + s_path * F.col("host_rate")) / (F.col("n") + s_path)), s_path, overall
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -187,9 +194,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     scored = d.mapInArrow(_features(model, ["doc_id", "host", "path"]), "doc_id long, host string, path string, x array<double>, p double").drop("x")
     scored = stored(scored, "quality-scores")
     labelled = scored.join(known.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
-    sites, overall = site_rates(labelled.select("host", "path", F.coalesce(F.col("bad").cast("double"), F.col("p")).alias("bad")))
+    labelled = stored(labelled.select("doc_id", "host", "path", "p", F.coalesce(F.col("bad").cast("double"), F.col("p")).alias("bad")), "outcomes")
+    sites, strength, overall = site_rates(labelled)
     sites = stored(sites.withColumnsRenamed({"host": "s_host", "path": "s_path"}), "sites")
-    odds = _logit(F.col("p")) + _logit(F.col("path_rate")) - _logit(F.lit(overall))
-    p_bad = 1 / (1 + F.exp(-odds))
-    both = scored.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
+    others = (F.col("k") - F.col("bad") + strength * F.col("host_rate")) / (F.col("n") - 1 + strength)
+    p_bad = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(others) - _logit(F.lit(overall)))))
+    both = labelled.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     return both.select("doc_id", F.col("p").alias("p_doc"), "host_rate", "path_rate", p_bad.alias("p_bad"), (p_bad <= threshold).alias("kept"))

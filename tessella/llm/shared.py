@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -120,3 +122,20 @@ def strength_of(groups: DataFrame) -> float:
         F.sum(F.col("k").cast("double") * F.col("k") / F.col("n")).alias("k2n"),
     ).first()
     return beta_strength(x.n, x.k, x.g, x.n2, x.k2n)
+
+
+def strength_around(groups: DataFrame) -> float:
+    """Strength of the beta priors whose means are the groups' parents' rates: groups has n, k and parent.
+
+    With k of n over-dispersed around p, (k - np)^2 is expected to be np(1-p)(1 + (n - 1) rho), and strength is 1/rho - 1.
+    """
+    n, k, p = F.col("n").cast("double"), F.col("k").cast("double"), F.col("parent")
+    x = groups.where("n > 0").agg(F.sum((k - n * p) * (k - n * p) - n * p * (1 - p)).alias("over"), F.sum(n * (n - 1) * p * (1 - p)).alias("room")).first()
+    rho = x.over / x.room if x.room else 0.01
+    return round(1 / min(0.5, max(0.001, rho)) - 1, 6)
+
+
+def strength_around_sql(rel: str) -> str:
+    """The same in SQL over a relation with columns n, k and parent."""
+    return f"""(SELECT round(1 / least(0.5, greatest(0.001, coalesce(sum(CASE WHEN n > 0 THEN (k - n * parent) * (k - n * parent) - n * parent * (1 - parent) END)
+        / nullif(sum(CASE WHEN n > 0 THEN CAST(n AS DOUBLE) * (n - 1) * parent * (1 - parent) END), 0), 0.01))) - 1, 6) FROM {rel})"""

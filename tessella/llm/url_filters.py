@@ -2,7 +2,7 @@
 
 Labelled page outcomes are counted per host, registered domain and suffix. Every level is a beta-binomial prior for the
 next: the suffix shrinks to the overall rate, the domain to its suffix, the host to its domain, each by a strength that
-the scatter of the level's own rates gives. A page is blocked when the lower bound of its host's posterior bad rate
+the scatter of the level's rates around their parents' gives. A page is blocked when the lower bound of its host's posterior bad rate
 passes a threshold.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import LOWER, UPPER, ascii_lower, beta_strength_sql, stored, strength_of
+from tessella.llm.shared import LOWER, UPPER, ascii_lower, stored, strength_around, strength_around_sql
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 THRESHOLD, Z = 0.5, 1.645
@@ -58,15 +58,15 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
         "hosts",
     )
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    above = F.lit((total.k + 0.5) / (total.n + 1.0) if total.n else 0.5)
-    out = hosts
+    above = (total.k + 0.5) / (total.n + 1.0) if total.n else 0.5
+    out = hosts.withColumn("parent", F.lit(above))
     for level in LEVELS[:-1]:
-        sums = hosts.groupBy(level).agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        strength = strength_of(sums)
-        sums = sums.select(level, F.col("n").alias(f"{level}_n"), F.col("k").alias(f"{level}_k"))
-        out = out.join(sums, level).withColumn(f"{level}_rate", (F.col(f"{level}_k") + strength * above) / (F.col(f"{level}_n") + strength))
-        above = F.col(f"{level}_rate")
-    strength = strength_of(hosts)
+        sums = stored(out.groupBy(level).agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.first("parent").alias("parent")), f"{level}-rates")
+        strength = strength_around(sums)
+        rates = sums.select(level, ((F.col("k") + strength * F.col("parent")) / (F.col("n") + strength)).alias("parent"))
+        out = out.drop("parent").join(rates, level)
+    out = stored(out, "host-rates")
+    strength, above = strength_around(out), F.col("parent")
     return out.select(
         "host", "n", "k", ((F.col("k") + strength * above) / (F.col("n") + strength)).alias("rate"),
         _lower_bound(F.col("k"), F.col("n"), strength, above, z).alias("bound"),
@@ -98,20 +98,19 @@ def oracle() -> str:
         fits = f"((host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{rest}'))"
         cases["rule"].append(f"WHEN {fits} THEN '{name}'")
         cases["verdict"].append(f"WHEN {fits} THEN '{says}'")
-    rate = lambda above, level: f"({level}.k + s.{level}_s * {above}) / ({level}.n + s.{level}_s)"
     return f"""
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
 host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '((?:[^.]*\\.)?[^.]*)$', 1) AS domain
   FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
-suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM host GROUP BY suffix),
-domain AS (SELECT domain, sum(n) AS n, sum(k) AS k FROM host GROUP BY domain),
-s AS (SELECT {beta_strength_sql("suffix")} AS suffix_s, {beta_strength_sql("domain")} AS domain_s, {beta_strength_sql("host")} AS host_s,
-  (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1.0) ELSE 0.5 END FROM host) AS p0),
-r AS (SELECT host.host, host.k + s.host_s * m AS a, host.n - host.k + s.host_s * (1 - m) AS b
-  FROM (SELECT host.host AS h, {rate("(" + rate("s.p0", "suffix") + ")", "domain")} AS m FROM host JOIN suffix USING (suffix) JOIN domain USING (domain), s) x
-  JOIN host ON host.host = x.h, s),
+p0 AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1.0) ELSE 0.5 END AS p0 FROM host),
+suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(p0) AS parent FROM host, p0 GROUP BY suffix),
+suffix_rate AS (SELECT suffix, (k + s * parent) / (n + s) AS rate FROM suffix, (SELECT {strength_around_sql("suffix")} AS s)),
+domain AS (SELECT domain, sum(n) AS n, sum(k) AS k, any_value(rate) AS parent FROM host JOIN suffix_rate USING (suffix) GROUP BY domain),
+domain_rate AS (SELECT domain, (k + s * parent) / (n + s) AS rate FROM domain, (SELECT {strength_around_sql("domain")} AS s)),
+h AS (SELECT host, n, k, rate AS parent FROM host JOIN domain_rate USING (domain)),
+r AS (SELECT host, k + s * parent AS a, n - k + s * (1 - parent) AS b FROM h, (SELECT {strength_around_sql("h")} AS s)),
 v AS (SELECT host AS v_host, a / (a + b) - {Z} * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) > {THRESHOLD} AS bad FROM r)
 SELECT page_id, host, path, CASE {" ".join(cases["rule"])} END AS rule,
   CASE {" ".join(cases["verdict"])} WHEN v.bad THEN 'block' ELSE 'allow' END AS verdict

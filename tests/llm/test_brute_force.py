@@ -481,6 +481,48 @@ def test_quality_classifier(spark):
     assert got.host_rate.between(0.15, 0.3).all() and got.p_bad.between(0, 1).all()
 
 
+def _strength(groups):
+    """groups: (n, k, parent's rate)."""
+    over = sum((k - n * p) ** 2 - n * p * (1 - p) for n, k, p in groups)
+    room = sum(n * (n - 1) * p * (1 - p) for n, k, p in groups)
+    return 1 / min(0.5, max(0.001, over / room if room else 0.01)) - 1
+
+
+def test_quality_sites_by_hand(spark):
+    """Posteriors of hosts and paths, and documents' odds with their own outcome left out, counted in Python."""
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice(["vile" if i % 4 == 0 else "fine", "stone", "river", "la"]) for _ in range(30)), f"h{i % 5}", f"p{i % 3}" if i % 7 else None) for i in range(400)]
+    labels = {i: int(i % 4 == 0) for i in range(0, 400, 3)} | {10_000: 1}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, host string, path string")
+    got = {r.doc_id: r for r in quality_classifier.classify(docs, spark.createDataFrame(list(labels.items()), "doc_id long, bad int")).collect()}
+    out = {i: labels.get(i, got[i].p_doc) for i in got}
+    assert len({round(got[i].p_doc, 6) for i in got}) > 1
+    site = {i: (h, p) for i, _, h, p in rows}
+    hosts, paths = collections.defaultdict(list), collections.defaultdict(list)
+    for i, y in out.items():
+        hosts[site[i][0]].append(y)
+        paths[site[i]].append(y)
+    overall = (sum(out.values()) + 0.5) / (len(out) + 1)
+    s = _strength([(len(y), sum(y), overall) for y in hosts.values()])
+    host_rate = {h: (sum(y) + s * overall) / (len(y) + s) for h, y in hosts.items()}
+    s = _strength([(len(y), sum(y), host_rate[h]) for (h, _), y in paths.items()])
+    logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
+    for i, r in got.items():
+        h, y = site[i][0], paths[site[i]]
+        assert r.host_rate == pytest.approx(host_rate[h], rel=1e-5) and r.path_rate == pytest.approx((sum(y) + s * host_rate[h]) / (len(y) + s), rel=1e-5)
+        others = (sum(y) - out[i] + s * host_rate[h]) / (len(y) - 1 + s)
+        assert r.p_bad == pytest.approx(1 / (1 + math.exp(-(logit(r.p_doc) + logit(others) - logit(overall)))), rel=1e-4)
+
+
+def test_labels_of_other_corpora(spark, monkeypatch):
+    """Labels of documents that are elsewhere do not use up the sample, nor do repeated rows."""
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 200)
+    rows = [(i, f"stone river {'vile' if i % 2 else 'fine'} {i}", "h", "p") for i in range(300)] + [(1, "stone river vile 1", "h", "p")] * 50
+    labels = [(i, i % 2) for i in range(100_000)]
+    got = quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string, host string, path string"), spark.createDataFrame(labels, "doc_id long, bad int")).toPandas()
+    assert ((got.p_doc > 0.5) == (got.doc_id % 2 == 1)).mean() > 0.95
+
+
 def _edited(words, rnd, at):
     out = list(words)
     for k in at:
