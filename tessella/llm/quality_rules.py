@@ -88,12 +88,17 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFr
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
-    """The rows of docs, all columns, that judge() keeps. Texts are measured again rather than shuffled to their verdicts."""
-    m = measure(docs, "source")
+    """The rows of docs, all columns, that judge() keeps.
+
+    Null and empty texts have no words and go. Null source: a host of its own. Repeated rows are judged each. Columns of any
+    name go through. An empty table gives no rows. Texts are measured once, by the two counts that rules need; rows that
+    pass are stored with the outcome of all, so that they need not be measured again when their hosts are known.
+    """
+    failed = let(words(text_of()), lambda w: base_failed(F.size(w), repeated_words(w)))
+    m = docs.select(F.col("source").alias("source"), failed.alias("base_failed"), F.struct(*docs.columns).alias("row"))
+    m = stored(m.withColumn("row", F.when(~F.col("base_failed"), F.col("row"))), "rows-that-pass")
     rejected = stored(host_verdicts(m, threshold=threshold, z=z).where("rejected").select("host_key"), "rejected-hosts")
-    ws = words(text_of())
-    good = docs.where(let(ws, lambda w: ~base_failed(F.size(w), repeated_words(w))))
-    return good.join(rejected, good["source"].eqNullSafe(rejected["host_key"]), "left_anti")
+    return m.where("NOT base_failed").join(rejected, F.col("source").eqNullSafe(F.col("host_key")), "left_anti").select("row.*")
 
 
 def oracle() -> str:
