@@ -59,6 +59,13 @@ def scale_standard(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     return df.withColumns({f"{c}_Scaled": (F.col(c) - F.lit(m[f"m{i}"]).cast("double")) / F.lit(m[f"s{i}"] or 1.0) for i, c in enumerate(columns)})
 
 
+def scale_in_place(df: DataFrame) -> DataFrame:
+    """df with every numeric column scaled as by scale_standard(), under its own name."""
+    columns = numeric_columns(df)
+    scaled = scale_standard(df, [f"`{c}`" for c in columns])
+    return scaled.select(*(F.col(f"`{'`' * 2}{c}{'`' * 2}_Scaled`").alias(c) if c in columns else F.col(f"`{c}`") for c in df.columns))
+
+
 def scale_vector(df: DataFrame, columns: Sequence[str] | None = None, with_mean: bool = False) -> DataFrame:
     """features and scaled_features vectors; nulls are kept as NaN."""
     stages = [VectorAssembler(inputCols=list(columns or numeric_columns(df)), outputCol="features", handleInvalid="keep"), StandardScaler(inputCol="features", outputCol="scaled_features", withMean=with_mean, withStd=True)]

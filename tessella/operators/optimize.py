@@ -157,20 +157,25 @@ def optimize(mu: DataFrame, cov: DataFrame, method: str | None = None, least: fl
     if method not in METHODS:
         raise ValueError(f"method {method!r} is none of {METHODS}")
     spark = mu.sparkSession
+    if method == "max_sharpe":  # in closed form: nothing but three sums comes to the driver
+        w = max_sharpe_weights(mu, least=least, most=most).select(KEY, "weight", "mu")
+        sums = w.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("weight") * F.nanvl("mu", F.lit(0.0))), F.lit(0.0)).alias("ret")).first()
+        i, j = (w.select(F.col(KEY).alias(f"asset_{k}"), F.col("weight").alias(f"w_{k}")) for k in "ij")
+        spread = cov.join(i, "asset_i").join(j, "asset_j").agg(F.coalesce(F.sum(F.nanvl("cov", F.lit(0.0)) * F.col("w_i") * F.col("w_j")), F.lit(0.0)).alias("v")).first().v
+        return w.select(KEY, "weight"), _said(sums.ret, spread, "optimal" if feasible(sums.n, least, most) else "fallback")
     x = collect_moments(mu, cov)
     status = "optimal"
-    if method == "max_sharpe":
-        weights = max_sharpe_weights(mu, least=least, most=most).select(KEY, "weight")
-        by = {r[KEY]: r["weight"] for r in weights.collect()}
-        w = np.array([by[n] for n in x.names])
-        status = "optimal" if feasible(len(w), least, most) else "fallback"
-    elif method in ("min_variance", "min_volatility"):
+    if method in ("min_variance", "min_volatility"):
         w, status = min_variance(x, least, most)
     elif method == "max_return":
         w, status = max_return(x)
     else:
         best = best_of(frontier(spark, x)).first()
         w = np.array([best["weights"][n] for n in x.names])
-    ret, vol = float(w @ x.mu), float(max(w @ x.cov @ w, 0.0) ** 0.5)
     rows = [(n, float(v)) for n, v in zip(x.names, w, strict=True)]
-    return spark.createDataFrame(rows, f"{KEY} string, weight double"), {"expected_return": ret, "volatility": vol, "sharpe_ratio": ret / vol if vol > 0 else 0.0, "optimization_status": status}
+    return spark.createDataFrame(rows, f"{KEY} string, weight double"), _said(float(w @ x.mu), float(w @ x.cov @ w), status)
+
+
+def _said(ret: float, variance: float, status: str) -> dict:
+    vol = max(variance, 0.0) ** 0.5
+    return {"expected_return": ret, "volatility": vol, "sharpe_ratio": ret / vol if vol > 0 else 0.0, "optimization_status": status}

@@ -36,7 +36,7 @@ def covariance(r: DataFrame, method: str = "sample", shrinkage: float = 0.1) ->
     if method == "ledoit_wolf":
         return _ledoit_wolf(r)
     x = r.where(F.col("Return").isNotNull())
-    sample = _pairs(x).groupBy("asset_i", "asset_j").agg(F.covar_samp("a", "b").alias("cov"))
+    sample = _mirrored(_pairs(x).groupBy("asset_i", "asset_j").agg(F.covar_samp("a", "b").alias("cov")))
     if method == "sample":
         return sample
     own = F.col("asset_i") == F.col("asset_j")
@@ -45,9 +45,15 @@ def covariance(r: DataFrame, method: str = "sample", shrinkage: float = 0.1) ->
 
 
 def _pairs(x: DataFrame) -> DataFrame:
-    """asset_i, asset_j, a, b of every day: an equi-join on the date."""
+    """asset_i, asset_j (not before asset_i), a, b of every day: an equi-join on the date."""
     i = x.select(TIME, F.col(KEY).alias("asset_i"), F.col("Return").alias("a"))
-    return i.join(x.select(TIME, F.col(KEY).alias("asset_j"), F.col("Return").alias("b")), TIME)
+    return i.join(x.select(TIME, F.col(KEY).alias("asset_j"), F.col("Return").alias("b")), TIME).where("asset_i <= asset_j")
+
+
+def _mirrored(cov: DataFrame) -> DataFrame:
+    """Both halves of a symmetric matrix, from one."""
+    both = F.array(F.struct("asset_i", "asset_j"), F.struct(F.col("asset_j").alias("asset_i"), F.col("asset_i").alias("asset_j")))
+    return cov.select(F.explode(F.when(F.col("asset_i") == F.col("asset_j"), F.slice(both, 1, 1)).otherwise(both)).alias("x"), "cov").select("x.*", "cov")
 
 
 def _ledoit_wolf(r: DataFrame) -> DataFrame:
@@ -60,7 +66,7 @@ def _ledoit_wolf(r: DataFrame) -> DataFrame:
     x = x.join(means, KEY).select(TIME, KEY, (F.col("Return") - F.col("m")).alias("Return"))
     squares = x.groupBy(TIME).agg(F.sum(F.col("Return") * F.col("Return")).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     n = squares.n
-    s = _pairs(x).groupBy("asset_i", "asset_j").agg((F.sum(F.col("a") * F.col("b")) / F.lit(max(n, 1))).alias("cov"))
+    s = _mirrored(_pairs(x).groupBy("asset_i", "asset_j").agg((F.sum(F.col("a") * F.col("b")) / F.lit(max(n, 1))).alias("cov")))
     own = F.col("asset_i") == F.col("asset_j")
     t = s.agg(F.sum(F.when(own, F.col("cov"))).alias("trace"), F.sum(F.col("cov") * F.col("cov")).alias("norm")).first()
     if not n:
@@ -137,22 +143,21 @@ def drawdowns(series: DataFrame, value: str = "Portfolio_Return") -> DataFrame:
 
 
 def metrics(series: DataFrame, value: str = "Portfolio_Return", risk_free: float = 0.02) -> DataFrame:
-    """One row of nine measures of a daily series."""
-    x = drawdowns(series.where(F.col(value).isNotNull()), value)
+    """One row of nine measures of a daily series, in one run over it."""
+    cut = F.percentile(value, F.lit(0.05)).over(Window.partitionBy(F.lit(0)))
+    x = drawdowns(series.where(F.col(value).isNotNull()), value).withColumn("_cut", cut)
     r = F.col(value)
     one = x.agg(
         F.product(1 + r).alias("growth"), F.count(r).alias("n"), F.avg(r).alias("mean"), F.stddev(r).alias("std"), F.min("Drawdown").alias("low"),
-        F.stddev(F.when(r < 0, r)).alias("down"), F.percentile(value, F.lit(0.05)).alias("var"),
+        F.stddev(F.when(r < 0, r)).alias("down"), F.first("_cut").alias("var"), F.avg(F.when(r <= F.col("_cut"), r)).alias("cvar"),
     )
-    cut = one.select("var").first()["var"]
-    tail = x.where(r <= F.lit(cut).cast("double")).agg(F.avg(r).alias("cvar")).first()["cvar"]
     year = F.lit(float(YEAR))
     vol = F.col("std") * F.sqrt(year)
     sortino = F.coalesce(ratio((F.col("mean") - risk_free / YEAR) * year, F.col("down") * F.sqrt(year)), F.lit(0.0))
     return one.select(
         (F.col("growth") - 1).alias("total_return"), (F.pow("growth", year / F.col("n")) - 1).alias("annualized_return"), vol.alias("volatility"),
         ratio(F.col("mean") * year - risk_free, vol).alias("sharpe_ratio"), F.col("low").alias("max_drawdown"), ratio(F.col("mean") * year, F.abs("low")).alias("calmar_ratio"),
-        sortino.alias("sortino_ratio"), F.col("var").alias("var_95"), F.lit(tail).cast("double").alias("cvar_95"),
+        sortino.alias("sortino_ratio"), F.col("var").alias("var_95"), F.col("cvar").alias("cvar_95"),
     )
 
 

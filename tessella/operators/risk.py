@@ -52,9 +52,16 @@ def max_drawdown(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFrame:
 
 
 def var_cvar(df: DataFrame, levels: Sequence[float] = LEVELS, windows: Sequence[int] = WINDOWS) -> DataFrame:
-    """VaR_a_n: interpolated quantile; CVaR_a_n: mean of the returns at or below it."""
-    r = F.col("Return")
-    out = df.withColumns({f"VaR_{a}_{n}": F.when(F.count(r).over(last_rows(n)) >= n, F.percentile("Return", F.lit(a)).over(last_rows(n))) for a in levels for n in windows} | {f"_r_{n}": F.collect_list("Return").over(last_rows(n)) for n in windows})
+    """VaR_a_n: interpolated quantile; CVaR_a_n: mean of the returns at or below it. One sorted array a window size serves all levels."""
+    out = df.withColumns({f"_r_{n}": F.collect_list("Return").over(last_rows(n)) for n in windows})
+    out = out.withColumns({f"_r_{n}": F.when(F.size(f"_r_{n}") >= n, F.array_sort(f"_r_{n}")) for n in windows})
+
+    def quantile(a: float, n: int):
+        low, part = int(a * (n - 1)), a * (n - 1) % 1
+        x, y = F.get(f"_r_{n}", F.lit(low)), F.get(f"_r_{n}", F.lit(min(low + 1, n - 1)))
+        return x * (1 - part) + y * part
+
+    out = out.withColumns({f"VaR_{a}_{n}": quantile(a, n) for a in levels for n in windows})
 
     def mean_below(a: float, n: int):
         cut = F.col(f"`VaR_{a}_{n}`")

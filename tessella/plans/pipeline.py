@@ -24,10 +24,11 @@ def process_bonds(df: DataFrame, lags: Sequence[int] = (1, 2, 3, 4, 5)) -> DataF
     return returns.lags(out, "Yield_Change", lags)
 
 
-def engineer(df: DataFrame, columns: Sequence[str] = ("Return", "Volume"), news: DataFrame | None = None, benchmark: str | None = None, config: Config | None = None) -> DataFrame:
-    """Indicators, risk, rolling statistics and lags of the named columns, sentiment, interactions.
+def engineer(df: DataFrame, columns: Sequence[str] = ("Return", "Volume"), news: DataFrame | None = None, benchmark: str | None = None, config: Config | None = None, scale: bool = False) -> DataFrame:
+    """Indicators, risk, rolling statistics and lags of the named columns, sentiment, interactions; all of it scaled at last.
 
-    Every layer is windows over (Ticker, Date), so the whole chain keeps one partitioning; scaling goes to new columns.
+    Every layer is windows over (Ticker, Date), so the whole chain keeps one partitioning. scale: every numeric column
+    becomes (x - mean) / deviation in place, which runs the chain once more for the moments; store it first, or leave it out.
     """
     c = config or Config()
     windows = c.get("features.rolling.windows", list(returns.WINDOWS))
@@ -37,7 +38,8 @@ def engineer(df: DataFrame, columns: Sequence[str] = ("Return", "Volume"), news:
     out = features.lag_features(out, columns)
     if news is not None:
         out = sentiment.process(out, news)
-    return features.interactions(out)
+    out = features.interactions(out)
+    return features.scale_in_place(out) if scale else out
 
 
 def baseline(df: DataFrame, config: Config | None = None) -> dict[str, DataFrame]:
@@ -65,6 +67,7 @@ def run(assets: DataFrame, bonds: DataFrame | None = None, bond_tickers: Sequenc
     table = engineer(panel, news=news, config=config)
     if folder:
         table = io.cached(assets.sparkSession, f"{folder}/features", lambda: table)
+    table = features.scale_in_place(table)
     results = baseline(panel, config)
     if folder:
         io.save_results(results, f"{folder}/results")

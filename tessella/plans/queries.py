@@ -7,6 +7,7 @@ QUERIES: name -> (spark, sf_dir) -> DataFrame. ORACLES: name -> SQL over the sam
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,8 +103,12 @@ def scan_parquet(s, d):
 
 def _written(s: SparkSession, d: str, fmt: str) -> tuple[str, T.StructType]:
     df = prices(s, d).select("Date", "Ticker", "Open", "High", "Low", "Close", "Volume")
-    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    path = f"{root.rstrip('/')}/tessella-scan-{fmt}-{s.sparkContext.applicationId}"
+    root = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.gettempdir()
+    path = f"{root.rstrip('/')}/tessella-scan-{fmt}-{uuid.uuid4().hex}"  # a fresh one each time: a result may be read later
     io.save(df, path, fmt)
     return path, io.panel_schema()
 
@@ -338,7 +343,8 @@ _service = f"""mq AS (SELECT *, product(1 + x) OVER (ORDER BY Date) AS wealth FR
 ms AS (SELECT product(1 + x) AS growth, CAST(count(*) AS DOUBLE) AS n, stddev(x) AS std, min((wealth - peak) / peak) AS low FROM md)
 SELECT {rnd('growth - 1', 'total_return')}, {rnd('pow(growth, 252 / n) - 1', 'annualized_return')}, {rnd('std * sqrt(252)', 'volatility')}, {rnd('(pow(growth, 252 / n) - 1) / (std * sqrt(252))', 'sharpe_ratio')}, {rnd('low', 'max_drawdown')} FROM ms"""
 _two = "p AS (SELECT Date, CASE WHEN count(ret) = 2 THEN sum(ret * CASE WHEN Ticker = '1-URGENT' THEN CAST(0.6 AS DOUBLE) ELSE CAST(0.4 AS DOUBLE) END) END AS x FROM r WHERE ret IS NOT NULL AND Ticker IN ('1-URGENT', '2-HIGH') GROUP BY Date)"
-REQUEST = {"tickers": list(TICKERS[:2]), "weights": {TICKERS[0]: 0.6, TICKERS[1]: 0.4}}
+DAYS = {"start_date": "1990-01-01", "end_date": "2010-01-01"}
+REQUEST = DAYS | {"tickers": list(TICKERS[:2]), "weights": {TICKERS[0]: 0.6, TICKERS[1]: 0.4}}
 
 
 @query(f"{SIMPLE}, {_two}, {_service}")
@@ -404,12 +410,12 @@ _excess = "ret - CAST(0.02 AS DOUBLE) / 252"
 _clip = "CASE WHEN ret < 0 THEN ret WHEN ret IS NOT NULL THEN 0 END"
 windowed("sharpe_sortino_21", returns.sharpe_sortino, {"Excess_Return": _excess, "Sharpe_Ratio": f"({roll('avg', _excess, 21)}) / nullif({roll('stddev', 'ret', 21)}, 0)", "Sortino_Ratio": f"({roll('avg', _excess, 21)}) / nullif({_down(21)}, 0)", "Sortino_Ratio_Clipped": f"({roll('avg', _excess, 21)}) / nullif({roll('stddev', _clip, 21)}, 0)"})
 windowed("return_lags", returns.lags, {f"Return_Lag{k}": f"lag(ret, {k}) OVER ({W})" for k in range(1, 6)})
-windowed("basic_features", returns.basic_features, {"Return_Lag1": f"lag(ret, 1) OVER ({W})", "Volatility": roll("stddev", "ret", 21), "Rolling_Mean_Return": roll("avg", "ret", 21), "Rolling_Sharpe": f"({roll('avg', 'ret', 21)}) / nullif({roll('stddev', 'ret', 21)}, 0)", "Cumulative_Return": over("product(1 + ret)") + " - 1"})
-windowed("lag_features", lambda df: features.lag_features(df, ["Close", "Return"]), {f"{c}_Lag_{k}": f"lag({x}, {k}) OVER ({W})" for c, x in (("Close", "Close"), ("Return", "ret")) for k in features.LAGS})
+windowed("basic_features", returns.basic_features, {**{f"Return_Lag{k}": f"lag(ret, {k}) OVER ({W})" for k in range(1, 6)}, "Volatility": roll("stddev", "ret", 21), "Rolling_Mean_Return": roll("avg", "ret", 21), "Rolling_Sharpe": f"({roll('avg', 'ret', 21)}) / nullif({roll('stddev', 'ret', 21)}, 0)", "Cumulative_Return": over("product(1 + ret)") + " - 1"})
+windowed("lag_features", features.lag_features, {f"{c}_Lag_{k}": f"lag({x}, {k}) OVER ({W})" for c, x in (*((c, c) for c in ("Open", "High", "Low", "Close", "Volume")), ("Return", "ret")) for k in features.LAGS})
 _stat = {"Mean": "avg", "Std": "stddev", "Min": "min", "Max": "max", "Skew": "skewness", "Kurtosis": "kurtosis"}
-windowed("rolling_stats", lambda df: features.rolling_stats(df, ["Return"], (10, 21)), {f"Return_Rolling_{k}_{n}": roll(f, "ret", n) for k, f in _stat.items() for n in (10, 21)})
+windowed("rolling_stats", lambda df: features.rolling_stats(df, ["Return", "Volume"]), {f"{c}_Rolling_{k}_{n}": roll(f, x, n) for c, x in (("Return", "ret"), ("Volume", "Volume")) for k, f in _stat.items() for n in returns.WINDOWS})
 windowed("volatility", risk.volatility, {f"Volatility_{n}": f"({roll('stddev', 'ret', n)}) * sqrt(252)" for n in returns.WINDOWS})
-windowed("vol_of_vol", lambda df: risk.volatility(df, [21]), {"Vol_Vol_21": roll("stddev", "vol", 21)}, ctes=RETURNS + f", x AS (SELECT *, ({roll('stddev', 'ret', 21)}) * sqrt(252) AS vol FROM r)", rel="x")
+windowed("vol_of_vol", risk.volatility, {f"Vol_Vol_{n}": roll("stddev", f"vol{n}", n) for n in returns.WINDOWS}, ctes=RETURNS + ", x AS (SELECT *, " + ", ".join(f"({roll('stddev', 'ret', n)}) * sqrt(252) AS vol{n}" for n in returns.WINDOWS) + " FROM r)", rel="x")
 windowed("rolling_std", risk.rolling_std, {f"Return_Std_{n}": roll("stddev", "ret", n) for n in returns.WINDOWS})
 windowed("sharpe_ratio", risk.sharpe, {f"Sharpe_Ratio_{n}": f"({roll('avg', _excess, n)}) / nullif({roll('stddev', 'ret', n)}, 0)" for n in returns.WINDOWS})
 windowed("sortino_ratio", risk.sortino, {f"Sortino_Ratio_{n}": f"({roll('avg', _excess, n)}) / nullif({_down(n)}, 0)" for n in returns.WINDOWS})
@@ -417,28 +423,36 @@ windowed("sortino_ratio_clipped", lambda df: risk.sortino(df, clipped=True), {f"
 _i = RETURNS + f", i AS (SELECT *, row_number() OVER ({W}) AS i FROM r)"
 
 
-@query(f"""{_i}, j AS (SELECT a.Ticker AS Ticker, a.Date AS Date, b.i AS bi, product(1 + b.ret) OVER (PARTITION BY a.Ticker, a.Date ORDER BY b.i) AS c, a.i AS ai FROM i a JOIN i b ON a.Ticker = b.Ticker AND b.i > a.i - 21 AND b.i <= a.i WHERE b.ret IS NOT NULL),
-k AS (SELECT *, max(c) OVER (PARTITION BY Ticker, Date ORDER BY bi) AS peak FROM j), m AS (SELECT Ticker, Date, min((c - peak) / peak) AS lowest FROM k GROUP BY Ticker, Date HAVING count(*) >= 21)
-SELECT i.Ticker AS Ticker, i.Date AS Date, {rnd('lowest', 'Max_Drawdown_21')} FROM i LEFT JOIN m ON i.Ticker = m.Ticker AND i.Date = m.Date""")
+def _fall(n: int) -> str:
+    return f"""j{n} AS (SELECT a.Ticker AS Ticker, a.Date AS Date, b.i AS bi, product(1 + b.ret) OVER (PARTITION BY a.Ticker, a.Date ORDER BY b.i) AS c, a.i AS ai FROM i a JOIN i b ON a.Ticker = b.Ticker AND b.i > a.i - {n} AND b.i <= a.i WHERE b.ret IS NOT NULL),
+k{n} AS (SELECT *, max(c) OVER (PARTITION BY Ticker, Date ORDER BY bi) AS peak FROM j{n}), m{n} AS (SELECT Ticker, Date, min((c - peak) / peak) AS lowest{n} FROM k{n} GROUP BY Ticker, Date HAVING count(*) >= {n})"""
+
+
+@query(f"""{_i}, {', '.join(map(_fall, returns.WINDOWS))} SELECT i.Ticker AS Ticker, i.Date AS Date, {', '.join(rnd(f'lowest{n}', f'Max_Drawdown_{n}') for n in returns.WINDOWS)}
+FROM i {' '.join(f'LEFT JOIN m{n} ON i.Ticker = m{n}.Ticker AND i.Date = m{n}.Date' for n in returns.WINDOWS)}""")
 def max_drawdown(s, d):
-    return keyed(risk.max_drawdown(log_returns(s, d), [21]), "Max_Drawdown_21")
+    return keyed(risk.max_drawdown(log_returns(s, d)), *(f"Max_Drawdown_{n}" for n in returns.WINDOWS))
 
 
 _quantile = lambda a, n: f"CASE WHEN count(ret) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} THEN quantile_cont(ret, {a}) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END"
-windowed("var_historical", lambda df: risk.var_cvar(df, windows=[21]), {f"VaR_{a}_21": _quantile(a, 21) for a in risk.LEVELS})
+windowed("var_historical", risk.var_cvar, {f"VaR_{a}_{n}": _quantile(a, n) for a in risk.LEVELS for n in returns.WINDOWS})
+
+
+_tails = [(a, n) for a in risk.LEVELS for n in returns.WINDOWS]
 
 
-@query(f"""{_i}, q AS (SELECT *, {_quantile(0.05, 21)} AS q5, {_quantile(0.1, 21)} AS q10 FROM i)
-SELECT a.Ticker AS Ticker, a.Date AS Date, {rnd('avg(CASE WHEN b.ret <= a.q5 THEN b.ret END)', 'CVaR_0.05_21')}, {rnd('avg(CASE WHEN b.ret <= a.q10 THEN b.ret END)', 'CVaR_0.1_21')}
-FROM q a JOIN i b ON a.Ticker = b.Ticker AND b.i > a.i - 21 AND b.i <= a.i GROUP BY a.Ticker, a.Date""")
+@query(f"""{_i}, q AS (SELECT *, {', '.join(f'{_quantile(a, n)} AS "q{a}_{n}"' for a, n in _tails)} FROM i)
+SELECT a.Ticker AS Ticker, a.Date AS Date, {', '.join(rnd(f'avg(CASE WHEN b.i > a.i - {n} AND b.ret <= a."q{x}_{n}" + 1e-15 THEN b.ret END)', f'CVaR_{x}_{n}') for x, n in _tails)}
+FROM q a JOIN i b ON a.Ticker = b.Ticker AND b.i > a.i - {max(returns.WINDOWS)} AND b.i <= a.i GROUP BY a.Ticker, a.Date""")
 def cvar_historical(s, d):
-    return keyed(risk.var_cvar(log_returns(s, d), [0.05, 0.1], [21]), "CVaR_0.05_21", "CVaR_0.1_21")
+    return keyed(risk.var_cvar(log_returns(s, d)), *(f"CVaR_{a}_{n}" for a, n in _tails))
 
 
-windowed("var_parametric", lambda df: risk.var_parametric(df, [0.05], [10, 21]), {f"{k}_0.05_{n}": f"({roll('avg', 'ret', n)}) + 1.645 * ({roll('stddev', 'ret', n)})" for k in ("VaR", "CVaR") for n in (10, 21)})
-_frame21 = f"OVER ({W} ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)"
+windowed("var_parametric", risk.var_parametric, {f"{k}_{a}_{n}": f"({roll('avg', 'ret', n)}) + 1.645 * ({roll('stddev', 'ret', n)})" for k in ("VaR", "CVaR") for a in risk.LEVELS for n in returns.WINDOWS})
+_frame = lambda n: f"OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 windowed(
-    "beta", lambda df: risk.beta(risk.with_benchmark(df, BENCHMARK), windows=[21]), {"Beta_21": f"CASE WHEN count(ret) {_frame21} >= 21 AND count(bb) {_frame21} >= 2 THEN covar_samp(ret, bb) {_frame21} / nullif(var_pop(bb) {_frame21}, 0) END"},
+    "beta", lambda df: risk.beta(risk.with_benchmark(df, BENCHMARK)),
+    {f"Beta_{n}": f"CASE WHEN count(ret) {_frame(n)} >= {n} AND count(bb) {_frame(n)} >= 2 THEN covar_samp(ret, bb) {_frame(n)} / nullif(var_pop(bb) {_frame(n)}, 0) END" for n in returns.WINDOWS},
     ctes=RETURNS + f", b AS (SELECT Date AS bd, ret AS b0 FROM r WHERE Ticker = '{BENCHMARK}'), x AS (SELECT r.*, CASE WHEN ret IS NOT NULL THEN b0 END AS bb FROM r LEFT JOIN b ON Date = bd)", rel="x",
 )
 _change = RETURNS + ", x0 AS (SELECT *, CASE WHEN Close > prev THEN Close - prev ELSE 0 END AS gain, CASE WHEN Close < prev THEN prev - Close ELSE 0 END AS loss FROM r), " + f"x AS (SELECT *, {roll('avg', 'gain', 14)} AS up, {roll('avg', 'loss', 14)} AS down FROM x0)"
@@ -484,9 +498,9 @@ _ready = f"""{PANEL}, r AS (SELECT *, Close / nullif(lag(Close) OVER ({W}), 0) -
 {over('product(1 + ret)')} - 1 AS cum, {', '.join(f'lag(ret, {k}) OVER ({W}) AS l{k}' for k in range(1, 6))} FROM r)"""
 
 
-@query(f"{_ready} SELECT Ticker, Date, {rnd('ret', 'Return')}, {rnd('sd', 'Volatility')}, {rnd('mean', 'Rolling_Mean_Return')}, {rnd('mean / nullif(sd, 0)', 'Rolling_Sharpe')}, {rnd('cum', 'Cumulative_Return')}, {rnd('l1', 'Return_Lag1')}, {rnd('l5', 'Return_Lag5')} FROM x WHERE ret IS NOT NULL AND sd IS NOT NULL AND mean / nullif(sd, 0) IS NOT NULL AND l5 IS NOT NULL")
+@query(f"{_ready} SELECT Ticker, Date, {rnd('ret', 'Return')}, {rnd('sd', 'Volatility')}, {rnd('mean', 'Rolling_Mean_Return')}, {rnd('mean / nullif(sd, 0)', 'Rolling_Sharpe')}, {rnd('cum', 'Cumulative_Return')}, {', '.join(rnd(f'l{k}', f'Return_Lag{k}') for k in range(1, 6))} FROM x WHERE ret IS NOT NULL AND sd IS NOT NULL AND mean / nullif(sd, 0) IS NOT NULL AND l5 IS NOT NULL")
 def ml_ready_assets(s, d):
-    return keyed(returns.ml_ready(prices(s, d)), "Return", "Volatility", "Rolling_Mean_Return", "Rolling_Sharpe", "Cumulative_Return", "Return_Lag1", "Return_Lag5")
+    return keyed(returns.ml_ready(prices(s, d)), "Return", "Volatility", "Rolling_Mean_Return", "Rolling_Sharpe", "Cumulative_Return", *(f"Return_Lag{k}" for k in range(1, 6)))
 
 
 @query()
@@ -619,7 +633,7 @@ def baseline_model(s, d):
 
 @query(f"{SIMPLE}, m AS (SELECT Ticker, 252 * avg(ret) AS mu FROM r GROUP BY Ticker) SELECT Ticker, {rnd(_alloc('mu').replace('0.49', '0.29'), 'weight')} FROM m")
 def api_optimize(s, d):
-    return rounded(api.optimise(prices(s, d), {"tickers": list(TICKERS), "max_position": 0.3})[0])
+    return rounded(api.optimise(prices(s, d), DAYS | {"tickers": list(TICKERS)})[0])
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS ticker" for k, ts in api.SUGGESTIONS.items() for t in ts))
@@ -627,7 +641,7 @@ def api_suggestions(s, d):
     return api.suggestions(s)
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS method, '{v}' AS description" for k, v in api.METHODS.items()))
+@query(" UNION ALL ".join(f"SELECT '{k}' AS method, '{v[0]}' AS name, '{v[1]}' AS description, '{v[2]}' AS best_for" for k, v in api.METHODS.items()))
 def api_methods(s, d):
     return api.methods(s)
 

@@ -311,3 +311,27 @@ def test_vendor_source(spark):
 
     df = download(spark, provider(fetch), ["A", "B"], "2020-01-01", "2020-02-01")
     assert df.count() == 6 and column(df, "Close") == [1.5, 2.5, 3.5]
+
+
+def test_scaling_in_place(spark):
+    """Every numeric column, names with dots too, has mean 0 and deviation 1; one without spread is 0; nulls stay."""
+    df = spark.createDataFrame([("a", 1.0, 5.0, 2), ("a", 3.0, 5.0, None), ("b", 8.0, 5.0, 6)], "Ticker string, `VaR_0.05_5` double, Flat double, N int")
+    got = features.scale_in_place(df)
+    assert got.columns == df.columns
+    x = got.toPandas()
+    assert abs(x["VaR_0.05_5"].mean()) < 1e-12 and abs(x["VaR_0.05_5"].std(ddof=0) - 1) < 1e-12
+    assert (x["Flat"] == 0).all() and sorted(x["N"].dropna()) == [-1.0, 1.0]
+
+
+def test_request_defaults(spark):
+    """What a request leaves out, dates included, comes from the service's defaults; the summary says so."""
+    from tessella.plans import api
+
+    days = [f"20{y}-0{m}-15" for y in (19, 20, 21, 22, 23, 24) for m in range(1, 10)]
+    rows = [(t, d, 100.0 + (7 * i + 13 * k) % 11) for k, t in enumerate("abcde") for i, d in enumerate(days)]
+    panel = spark.createDataFrame(rows, "Ticker string, d string, Close double").selectExpr("Ticker", "to_date(d) AS Date", "Close")
+    weights, _, said = api.optimise(panel, {"tickers": list("abcde"), "max_position": None})
+    top = max(r.weight for r in weights.collect())
+    assert abs(top - 0.3) < 1e-9
+    assert said["data_summary"]["date_range"] == "2020-01-01 to 2024-01-01" and said["data_summary"]["data_points"] == 35
+    assert said["data_summary"]["lookback_period"] == 252 and said["data_summary"]["tickers"] == list("abcde")
