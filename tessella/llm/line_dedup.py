@@ -5,7 +5,8 @@ content-defined boundaries, so that a repeated run is met from its first line to
 inside go along. Of equal windows the one in the least document and place stays, the others go, but only after their bytes
 were compared with its bytes. A window that overlaps the one that stays goes from where that ends. Every line that goes so
 has an equal one at a lesser place, down to one that stays. Texts move twice: once to fetch the windows to compare, once to
-drop them; a window that very many documents share is summed before it is sent.
+drop them; a window that very many documents share is summed before it is sent. Both joins sort and may spill, at every
+size alike.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     by = stored(here.groupBy("_tsl_id", "_tsl_text").agg(F.collect_set("c").alias("c")), "repeated-windows")
     drop_stored(all_)
     # The bytes of every window whose hash repeats.
-    with_text = docs.select(*row_key(), F.col("text").alias("t")).join(by, ["_tsl_id", "_tsl_text"])
+    with_text = docs.select(*row_key(), F.col("text").alias("t")).join(by.hint("merge"), ["_tsl_id", "_tsl_text"])
     both = lambda ls, c: F.concat_ws("\n", F.get(ls, c["a"]), F.get(ls, c["a"] + c["n"] - 1))
     body = let(lines_of(F.col("t")), lambda ls: F.transform("c", lambda c: F.struct(c["a"].alias("a"), c["n"].alias("n"), c["h"].alias("h"), c["first"].alias("first"), c["begin"].alias("begin"), both(ls, c).alias("body"))))
     bytes_ = stored(with_text.select("_tsl_id", "_tsl_text", F.explode(body).alias("c")).select("_tsl_id", "_tsl_text", "c.*"), "window-bytes")
@@ -91,7 +92,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             text = pc.replace_with_mask(text, some, pa.array(left, text.type))
             yield pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names)
 
-    keyed = docs.select("*", *row_key()).join(repeated_runs(docs), ["_tsl_id", "_tsl_text"], "left")
+    keyed = docs.select("*", *row_key()).join(repeated_runs(docs).hint("merge"), ["_tsl_id", "_tsl_text"], "left")
     return keyed.select(*names, "_tsl_gone").mapInArrow(run, docs.schema)
 
 
@@ -106,7 +107,7 @@ def digest(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([x[2] for x in left], pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = slim.select("*", *row_key()).join(repeated_runs(slim), ["_tsl_id", "_tsl_text"], "left")
+    keyed = slim.select("*", *row_key()).join(repeated_runs(slim).hint("merge"), ["_tsl_id", "_tsl_text"], "left")
     return keyed.select("doc_id", "text", "_tsl_gone").mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string")
 
 
