@@ -2,18 +2,22 @@
 
 A candidate is a long run of letters, digits and +/_=- that touches no pattern span. Its encoding (hexadecimal, base 32,
 base 64) is inferred from its characters; over that alphabet it gets a chi-squared test of uniformity, a runs test about
-the middle of the alphabet and a lag-1 serial correlation. Fisher's rule joins the three p-values. Random strings give
-uniform p-values, words and identifiers give values near 0, so within each encoding and length class the share of random
-strings above a threshold is estimated from the upper half of the p-values (Storey), and the lowest threshold is taken
-whose estimated false-discovery rate stays below FDR. Length classes keep short strings, where the tests are weak, from
-borrowing the evidence of long ones.
+the middle of the alphabet and a lag-1 serial correlation. Fisher's rule joins the three p-values, and strings that Spark
+draws at random, of the same encoding and about the same length, tell how the joint value is distributed for random
+strings: the tests are neither independent nor exact on short strings. So calibrated, random strings spread evenly over
+BINS bins, while words and identifiers fall into the lowest. Within each encoding and length class the number of random
+strings is estimated from the upper half of the bins (Storey); the lowest threshold is taken whose estimated
+false-discovery rate, with one false discovery more than was estimated, stays below FDR. Length classes keep short strings,
+where the tests are weak, from borrowing the evidence of long ones; only classes too small for an estimate of their own
+share one within their encoding. Values that the patterns found are tested alike and count in the estimates, and equal
+strings count once, so that copies of a document are no evidence.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.shared import LOWER, UPPER, let, stored, text_of
@@ -29,6 +33,10 @@ DIGITS = "0123456789"
 ENCODINGS = (("hex", "^[0-9a-fA-F]+$", DIGITS + "abcdef"), ("base32", "^[A-Z2-7]+=*$", UPPER + "234567"), ("base64", "^.*$", UPPER + LOWER + DIGITS + "+/"))
 LENGTHS = (28, 40, 64)
 FDR, BINS = 0.05, 20
+#: Shorter values are not tested; random strings are drawn at these lengths, DRAWN of each, and stand for lengths up to the next.
+POINTS, DRAWN = (16, 20, 24, 28, 32, 40, 48, 64, 96, 128), 2000
+#: A class of fewer strings takes the threshold of its whole encoding.
+LEAST_CLASS = 40
 
 
 def _prefix(lengths: Column, block: int = 256) -> Column:
@@ -68,68 +76,136 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def joint(codes: Column, size: int) -> Column:
+    """Fisher's joint p-value of the three tests that codes are drawn evenly from 0 to size - 1; 0 for fewer than two codes."""
+    return let(codes, lambda c: F.when(F.size(c) < 2, F.lit(0.0)).otherwise(_joint(c, size)))
+
+
+def _joint(codes: Column, size: int) -> Column:
+    n = F.size(codes).cast("double")
+    count = lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double")
+    squares = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: let(count(k), lambda c: c * c)), F.lit(0.0), lambda a, x: a + x)
+    chi, df = squares * float(size) / n - n, float(size - 1)
+    p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+    high = F.size(F.filter(codes, lambda c: c >= size // 2)).cast("double")
+    pairs = lambda f: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), f)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    runs = 1 + total(pairs(lambda a, b: F.when((a >= size // 2) != (b >= size // 2), 1.0).otherwise(0.0)))
+    twice = 2 * high * (n - high)
+    spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))
+    p_runs = F.when(twice == 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - twice / n - 1) / spread))
+
+    def correlation(mean: Column) -> Column:
+        var = total(F.transform(codes, lambda c: (c - mean) * (c - mean)))
+        serial = total(pairs(lambda a, b: (a - mean) * (b - mean)))
+        return F.when(var > 0, serial / F.greatest(var, F.lit(1e-9)))
+
+    # The mean is bound, or each element would compute it anew.
+    r = let(total(F.transform(codes, lambda c: c.cast("double"))) / n, correlation)
+    p_serial = F.coalesce(2 * _upper_tail(F.abs(r) * F.sqrt(n)), F.lit(0.0))
+    x = -reduce(lambda a, b: a + b, (F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)))
+    return let(x, lambda x: F.exp(-x) * (1 + x + x * x / 2))
+
+
 def battery(value: Column, symbols: str) -> Column:
-    """Joint p-value of the three tests that value, over these symbols, is random."""
-    size = len(symbols)
-
-    def of(codes: Column) -> Column:
-        n = F.size(codes).cast("double")
-        count = lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double")
-        squares = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: let(count(k), lambda c: c * c)), F.lit(0.0), lambda a, x: a + x)
-        chi, df = squares * float(size) / n - n, float(size - 1)
-        p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
-        high = F.size(F.filter(codes, lambda c: c >= size // 2)).cast("double")
-        pairs = lambda f: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), f)
-        total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-        runs = 1 + total(pairs(lambda a, b: F.when((a >= size // 2) != (b >= size // 2), 1.0).otherwise(0.0)))
-        twice = 2 * high * (n - high)
-        spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))
-        p_runs = F.when(twice == 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - twice / n - 1) / spread))
-
-        def correlation(mean: Column) -> Column:
-            var = total(F.transform(codes, lambda c: (c - mean) * (c - mean)))
-            serial = total(pairs(lambda a, b: (a - mean) * (b - mean)))
-            return F.when(var > 0, serial / F.greatest(var, F.lit(1e-9)))
-
-        # The mean is bound, or each element would compute it anew.
-        r = let(total(F.transform(codes, lambda c: c.cast("double"))) / n, correlation)
-        p_serial = F.coalesce(2 * _upper_tail(F.abs(r) * F.sqrt(n)), F.lit(0.0))
-        x = -reduce(lambda a, b: a + b, (F.ln(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12))) for p in (p_chi, p_runs, p_serial)))
-        return let(x, lambda x: F.exp(-x) * (1 + x + x * x / 2))
-
-    chars = F.filter(F.split(F.translate(value, "-_", "+/"), ""), lambda c: F.instr(F.lit(symbols), c) > 0) if size == 64 else F.filter(F.split(F.lower(value) if size == 16 else value, ""), lambda c: F.instr(F.lit(symbols), c) > 0)
-    return let(F.transform(chars, lambda c: F.instr(F.lit(symbols), c) - 1), lambda codes: F.when(F.size(codes) < 2, F.lit(0.0)).otherwise(of(codes)))
-
-
-def _candidates(text: Column, base: Column) -> Column:
-    """Array of struct(s, e, cls, p) of runs that touch no base span; cls: encoding and length class."""
+    """joint() of value over these symbols; other characters are left out."""
+    plain = F.translate(value, "-_", "+/") if len(symbols) == 64 else F.lower(value) if len(symbols) == 16 else value
+    chars = F.filter(F.split(plain, ""), lambda c: F.instr(F.lit(symbols), c) > 0)
+    return joint(F.transform(chars, lambda c: F.instr(F.lit(symbols), c) - 1), len(symbols))
 
-    def judged(m: Column) -> Column:
-        enc = p = None
-        for i, (_, pattern, symbols) in enumerate(ENCODINGS):
-            fits = m["v"].rlike(pattern)
-            enc = F.when(fits, i) if enc is None else enc.when(fits, i)
-            p = F.when(fits, battery(m["v"], symbols)) if p is None else p.when(fits, battery(m["v"], symbols))
-        length = reduce(lambda a, b: a + b, ((F.length(m["v"]) >= x).cast("int") for x in LENGTHS))
-        return F.struct(m["s"].alias("s"), m["e"].alias("e"), (enc * 10 + length).alias("cls"), p.alias("p"))
 
-    free = F.filter(matches(text, CANDIDATE, 3), lambda m: ~F.exists(base, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    return F.transform(free, judged)
+@cache
+def calibration(spark: SparkSession) -> tuple[tuple[float, ...], ...]:
+    """Cuts of joint() into BINS equal shares of random strings, by encoding and then by point of length.
 
+    The draws are hashes of their numbers, so reruns agree.
+    """
+    out = []
+    points = F.array(*map(F.lit, POINTS))
+    for _, _, symbols in ENCODINGS:
+        size = len(symbols)
+        drawn = spark.range(DRAWN * len(POINTS), numPartitions=8).select("id", F.get(points, (F.col("id") % len(POINTS)).cast("int")).alias("n"))
+        codes = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.pmod(F.xxhash64(F.col("id"), k), F.lit(size)).cast("int"))
+        p = drawn.select("n", joint(codes, size).alias("p"))
+        rows = p.groupBy("n").agg(F.percentile("p", F.array(*[F.lit(i / BINS) for i in range(1, BINS)])).alias("cuts")).collect()
+        out += [tuple(r["cuts"]) for r in sorted(rows)]
+    return tuple(out)
+
+
+def _ranks(values: Column, marks: Column, also_equal: bool) -> Column:
+    """For each of the ascending values, how many marks are less (or also equal): one sort and one sum instead of a loop in a loop."""
+    first, last = (0, 1) if also_equal else (1, 0)
+    tagged = F.concat(
+        F.transform(marks, lambda x: F.struct(x.alias("at"), F.lit(first).alias("order"), F.lit(1).alias("one"))),
+        F.transform(values, lambda x: F.struct(x.alias("at"), F.lit(last).alias("order"), F.lit(0).alias("one"))),
+    )
+    counted = let(F.sort_array(tagged), lambda t: F.zip_with(t, _prefix(F.transform(t, lambda x: x["one"])), lambda x, n: F.struct(x["one"].alias("one"), n.alias("n"))))
+    return F.transform(F.filter(counted, lambda x: x["one"] == 0), lambda x: x["n"])
+
+
+def _free(runs: Column, base: Column) -> Column:
+    """Runs that touch no base span: as many spans begin before a run's end as end at its start or before."""
+
+    def untouched(both: Column) -> Column:
+        m, b = both["m"], both["b"]
+        begun = _ranks(F.transform(m, lambda x: x["e"]), F.transform(b, lambda x: x["s"]), also_equal=False)
+        ended = _ranks(F.transform(m, lambda x: x["s"]), F.transform(b, lambda x: x["e"]), also_equal=True)
+        flagged = F.arrays_zip(m.alias("m"), begun.alias("begun"), ended.alias("ended"))
+        return F.transform(F.filter(flagged, lambda x: x["begun"] == x["ended"]), lambda x: x["m"])
+
+    return let(F.struct(runs.alias("m"), base.alias("b")), lambda both: F.when((F.size(both["m"]) == 0) | (F.size(both["b"]) == 0), both["m"]).otherwise(untouched(both)))
+
+
+def _tested(spans: Column, cuts: tuple[tuple[float, ...], ...]) -> Column:
+    """Array of struct(s, kind, e, cls, bin, v): cls is encoding and length class, bin the calibrated battery; -1 where not tested."""
+    tables = F.array(*[F.array(*map(F.lit, c)) for c in cuts])
 
-def thresholds(candidates: DataFrame, fdr: float = FDR) -> dict[int, float]:
-    """Lowest p-value to report per class. At most len(ENCODINGS) * (len(LENGTHS) + 1) * BINS counts reach the driver."""
-    rows = candidates.select(F.explode("cand").alias("c")).groupBy(F.col("c")["cls"].alias("cls"), F.least(F.floor(F.col("c")["p"] * BINS), F.lit(BINS - 1)).cast("int").alias("bin")).count().collect()
+    def judged(m: Column) -> Column:
+        value = F.when(m["kind"] == 1, F.substring(m["v"], 5, 2**30)).otherwise(m["v"])
+
+        def result(v: Column) -> Column:
+            enc = p = None
+            for i, (_, pattern, symbols) in enumerate(ENCODINGS):
+                fits = v.rlike(pattern)
+                enc = F.when(fits, i) if enc is None else enc.when(fits, i)
+                p = F.when(fits, battery(v, symbols)) if p is None else p.when(fits, battery(v, symbols))
+            over = lambda marks: reduce(lambda a, b: a + b, ((F.length(v) >= x).cast("int") for x in marks))
+            table = F.get(tables, enc * len(POINTS) + over(POINTS) - 1)
+            bin_ = let(F.struct(p.alias("p"), table.alias("t")), lambda x: F.size(F.filter(x["t"], lambda q: q < x["p"])))
+            long_enough = F.length(v) >= POINTS[0]
+            return F.struct(
+                m["s"].alias("s"), m["kind"].alias("kind"), m["e"].alias("e"), F.when(long_enough, enc * 10 + over(LENGTHS)).otherwise(-1).alias("cls"),
+                F.when(long_enough, bin_).otherwise(-1).alias("bin"), F.xxhash64(v).alias("v"),
+            )
+
+        return let(value, result)
+
+    return F.transform(spans, judged)
+
+
+def lowest(bins: list[int], fdr: float = FDR) -> int | None:
+    """The lowest bin to report, or None: counts by bin are of strings of which the random ones are spread evenly."""
+    random = min(2 * sum(bins[BINS // 2 :]), sum(bins))
+    for t in range(1, BINS // 2 + 1):
+        n = sum(bins[t:])
+        if n and (n - random * (1 - t / BINS) + 1) / n <= fdr:
+            return t
+    return None
+
+
+def thresholds(spans: DataFrame, fdr: float = FDR) -> dict[int, int]:
+    """The lowest bin to report by class. At most len(ENCODINGS) * (len(LENGTHS) + 1) * BINS counts reach the driver."""
+    each = spans.select(F.explode("spans").alias("x")).select("x.cls", "x.bin", "x.v").where("cls >= 0").distinct()
     by: dict[int, list[int]] = {}
-    for r in rows:
+    for r in each.groupBy("cls", "bin").count().collect():
         by.setdefault(r["cls"], [0] * BINS)[r["bin"]] = r["count"]
     out = {}
     for cls, bins in by.items():
-        random = 2 * sum(bins[BINS // 2 :])
-        for t in range(1, BINS // 2 + 1):
-            if (n := sum(bins[t:])) and 1 - random * (1 - t / BINS) / n <= fdr:
-                out[cls] = t / BINS
-                break
+        if sum(bins) < LEAST_CLASS:
+            bins = [sum(column) for column in zip(*(b for c, b in by.items() if c // 10 == cls // 10), strict=True)]
+        low = lowest(bins, fdr)
+        if low is not None:
+            out[cls] = low
     return out
 
 
@@ -139,35 +215,42 @@ def _joined(spans: Column) -> Column:
 
 
 def find_secrets(docs: DataFrame, fdr: float = FDR) -> DataFrame:
-    """doc_id, base array, found array (struct(s, kind, e) each) of every row of docs (doc_id, text).
+    """doc_id, base array, found array (struct(s, kind, e) each), n_tested, n_random of every row of docs (doc_id, text).
 
-    Null and empty texts: no spans. Null doc_id stays null, repeated rows are scanned each, other columns are not read, an
-    empty table gives no rows. Spans are in code points, end exclusive; base: pattern spans, found: what the battery adds.
-    Texts are read once; only spans are kept between the two steps, and the thresholds are a few numbers.
+    base: pattern spans; found: what the battery adds; n_tested: base values long enough to be tested, n_random: those of
+    them that the battery holds random. Null and empty texts: no spans. Null doc_id stays null, repeated rows are scanned
+    each, other columns are not read, an empty table gives no rows. Spans are in code points, end exclusive. Texts are read
+    once; only spans are kept between the two steps, and the thresholds are a few numbers.
     """
-    bare = lambda xs: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
     text = text_of()
     base = F.concat(matches(text, ASSIGN, 0, group=2, least=MIN_VALUE), matches(text, ACCESS, 1), matches(text, HEX, 2))
-    both = let(base, lambda b: F.struct(bare(b).alias("base"), _candidates(text, b).alias("cand")))
-    seen = stored(docs.select("doc_id", both.alias("b")).select("doc_id", "b.base", "b.cand"), "secret-spans")
+    cuts = calibration(docs.sparkSession)
+    seen = stored(docs.select("doc_id", let(base, lambda b: _tested(F.concat(b, _free(matches(text, CANDIDATE, 3), b)), cuts)).alias("spans")), "secret-spans")
     lows = thresholds(seen, fdr)
-    passes = lambda c: reduce(lambda a, b: a | b, ((c["cls"] == k) & (c["p"] >= t) for k, t in sorted(lows.items())), F.lit(False))
-    found = F.transform(F.filter("cand", passes), lambda c: F.struct(c["s"].alias("s"), F.lit(3).alias("kind"), c["e"].alias("e")))
-    return seen.select("doc_id", "base", found.alias("found"))
+    passes = lambda x: reduce(lambda a, b: a | b, ((x["cls"] == k) & (x["bin"] >= t) for k, t in sorted(lows.items())), F.lit(False))
+    bare = lambda keep: F.transform(F.filter("spans", keep), lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
+    count = lambda keep: F.size(F.filter("spans", keep)).cast("long")
+    return seen.select(
+        "doc_id", bare(lambda x: x["kind"] < 3).alias("base"), bare(lambda x: (x["kind"] == 3) & passes(x)).alias("found"),
+        count(lambda x: (x["kind"] < 3) & (x["cls"] >= 0)).alias("n_tested"), count(lambda x: (x["kind"] < 3) & passes(x)).alias("n_random"),
+    )
 
 
 def mask(docs: DataFrame, mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
-    """docs with every span of find_secrets() in text replaced by a mark; all columns stay."""
-    keyed = docs.withColumn("_row", F.struct(*docs.columns))
-    found = find_secrets(keyed.select(F.col("_row").alias("doc_id"), "text"), fdr).withColumnRenamed("doc_id", "_row")
+    """docs with every span of find_secrets() in text replaced by a mark; all columns stay.
+
+    Null and empty texts stay as they are. Repeated rows are masked each, an empty table gives no rows.
+    """
+    keyed = docs.withColumn("_tsl_row", F.struct(*docs.columns))
+    found = find_secrets(keyed.select(F.col("_tsl_row").alias("doc_id"), "text"), fdr).withColumnRenamed("doc_id", "_tsl_row")
     # Overlapping spans (an access key inside an assignment) act as one: text between the furthest end so far and the next start is kept.
     step = lambda acc, x: F.struct(
-        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("_row.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
+        F.when(x["s"] >= acc["at"], F.concat(acc["out"], F.substring(F.col("_tsl_row.text"), acc["at"] + 1, x["s"] - acc["at"]), F.lit(mark))).otherwise(acc["out"]).alias("out"),
         F.greatest(acc["at"], x["e"]).alias("at"),
     )
     cut = F.aggregate(F.sort_array(F.concat("base", "found")), F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step)
-    whole = F.concat(cut["out"], F.substring(F.col("_row.text"), cut["at"] + 1, F.length("_row.text")))
-    return found.select(*(whole.alias(c) if c == "text" else F.col(f"_row.{c}").alias(c) for c in docs.columns))
+    whole = F.concat(cut["out"], F.substring(F.col("_tsl_row.text"), cut["at"] + 1, F.length("_tsl_row.text")))
+    return found.select(*(whole.alias(c) if c == "text" else F.col(f"_tsl_row.{c}").alias(c) for c in docs.columns))
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -175,5 +258,5 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
     return find_secrets(docs, fdr).select(
         "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"),
-        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"),
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", "found")).alias("spans"), "n_tested", "n_random",
     )

@@ -68,6 +68,94 @@ def test_secrets(spark):
     assert sum("random" in got[i].spans for i in range(64, 124)) == 0  # words left
 
 
+def _battery(codes, size):
+    """The three tests and their joint p-value in plain Python, from the textbook."""
+    n = len(codes)
+    tail = lambda z: 1 / (1 + math.exp(1.5976 * (z := max(-8.0, min(8.0, z))) + 0.07056 * z**3))
+    chi, df = sum(v * v for v in collections.Counter(codes).values()) * size / n - n, size - 1
+    p_chi = tail(((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    side = [c >= size // 2 for c in codes]
+    up = sum(side)
+    if 0 < up < n:
+        two = 2 * up * (n - up)
+        spread = math.sqrt(max(two * (two - n) / (n * n * (n - 1)), 1e-9))
+        p_runs = 2 * tail(abs(1 + sum(a != b for a, b in zip(side, side[1:])) - two / n - 1) / spread)  # noqa: B905
+    else:
+        p_runs = 0.0
+    mean = sum(codes) / n
+    var = sum((c - mean) ** 2 for c in codes)
+    p_serial = 2 * tail(abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:])) / var) * math.sqrt(n)) if var else 0.0  # noqa: B905
+    x = -sum(math.log(max(min(p, 1.0), 1e-12)) for p in (p_chi, p_runs, p_serial))
+    return math.exp(-x) * (1 + x + x * x / 2)
+
+
+def test_battery(spark):
+    rnd = random.Random(8)
+    for _, _, symbols in secret_scans.ENCODINGS:
+        values = ["".join(rnd.choice(symbols[:k]) for _ in range(n)) for n in (2, 16, 25, 48, 130) for k in (1, 5, len(symbols))] + [symbols[0], "=" * 20]
+        got = [r.p for r in spark.createDataFrame([(v,) for v in values], "v string").select(secret_scans.battery(F.col("v"), symbols).alias("p")).collect()]
+        codes = [[symbols.index(c) for c in v if c in symbols] for v in values]
+        assert got == pytest.approx([_battery(c, len(symbols)) if len(c) > 1 else 0.0 for c in codes], rel=1e-6, abs=1e-12)
+
+
+def test_calibrated_battery_is_even_on_random_strings(spark):
+    rnd = random.Random(9)
+    for k, n in ((0, 24), (1, 32), (2, 20), (2, 64)):
+        symbols = secret_scans.ENCODINGS[k][2]
+        rows = [(0, 3, n, "".join(rnd.choice(symbols) for _ in range(n))) for _ in range(1500)]
+        spans = spark.createDataFrame([(rows,)], "x array<struct<s:int,kind:int,e:int,v:string>>").select(F.explode(secret_scans._tested(F.col("x"), secret_scans.calibration(spark))).alias("x"))
+        bins = collections.Counter(r.b for r in spans.where(F.col("x.cls") >= 10 * k).select(F.col("x.bin").alias("b")).collect())
+        total = sum(bins.values())
+        assert total >= 1400
+        assert abs(sum(bins[b] for b in range(10)) / total - 0.5) < 0.06 and abs(bins[0] / total - 0.05) < 0.03
+
+
+def test_false_discoveries_of_secrets(spark):
+    """200 corpora of 60 keys among 60 names of the kind found in code and links: the mean share of names reported."""
+    rnd = random.Random(10)
+    symbols = secret_scans.ENCODINGS[2][2]
+    parts = ["get", "User", "Account", "from", "Index", "build", "Path", "v2", "error", "Handler", "2024", "Table", "of", "Contents", "_", "-", "/", "main", "Stream"]
+
+    def name():
+        out = ""
+        while len(out) < 40:
+            out += rnd.choice(parts)
+        return out
+
+    rows = [(seed, kind, "".join(rnd.choice(symbols) for _ in range(40)) if kind else name()) for seed in range(200) for kind in (0, 1) for _ in range(60)]
+    spans = F.array(F.struct(F.lit(0).alias("s"), F.lit(3).alias("kind"), F.lit(40).alias("e"), F.col("v").alias("v")))
+    got = spark.createDataFrame(rows, "seed int, kind int, v string").repartition(4).select("seed", "kind", F.get(secret_scans._tested(spans, secret_scans.calibration(spark)), F.lit(0)).alias("x"))
+    counts = collections.defaultdict(lambda: [[0] * secret_scans.BINS for _ in range(2)])
+    for r in got.groupBy("seed", "kind", F.col("x.bin").alias("b")).count().collect():
+        counts[r.seed][r.kind][r.b] = r["count"]
+    false, found = [], 0
+    for names, keys in counts.values():
+        low = secret_scans.lowest([a + b for a, b in zip(names, keys, strict=True)])
+        wrong, right = (sum(x[low:]) if low is not None else 0 for x in (names, keys))
+        false.append(wrong / max(wrong + right, 1))
+        found += right
+    assert sum(false) / len(false) <= 0.05
+    assert found >= 0.6 * 200 * 60
+
+
+def test_few_candidates_and_copies_report_nothing(spark):
+    rnd = random.Random(12)
+    keys = ["".join(rnd.choice(secret_scans.ENCODINGS[2][2]) for _ in range(48)) for _ in range(3)]
+    docs = spark.createDataFrame([(i, f"see {keys[i % 3]} there") for i in range(300)], "doc_id long, text string")
+    assert secret_scans.scan(docs).where("spans <> ''").count() == 0
+
+
+def test_candidates_that_touch_no_pattern(spark):
+    rnd = random.Random(13)
+    texts = [" ".join(rnd.choice(["token=abcdefgh", "x" * 24, "AKIA" + "B" * 18, "a" * 30, "Q" * 22 + "/token=abcdef", "é"]) for _ in range(rnd.randint(0, 40))) for _ in range(60)]
+    t = F.col("text")
+    base = F.concat(secret_scans.matches(t, secret_scans.ASSIGN, 0, group=2, least=6), secret_scans.matches(t, secret_scans.ACCESS, 1), secret_scans.matches(t, secret_scans.HEX, 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", base.alias("base"), secret_scans.matches(t, secret_scans.CANDIDATE, 3).alias("runs"))
+    for r in df.select("i", "base", "runs", secret_scans._free(F.col("runs"), F.col("base")).alias("free")).collect():
+        want = [m for m in r.runs if not any(b.s < m.e and m.s < b.e for b in r.base)]
+        assert r.free == want
+
+
 def test_decontamination(spark, corpus):
     bench = [(i, " ".join(corpus[i][1].split()[10:40])) for i in (2, 9, 40)] + [(50, "Zeta! eta"), (51, None), (52, "...")]
     docs = [*corpus, (5000, "x zeta, ETA y zeta eta", "en", "s1"), (5001, "zeta", "en", "s1")]
