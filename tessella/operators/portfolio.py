@@ -188,11 +188,12 @@ def backtest(r: DataFrame, frequency: str = "monthly", least: float = 0.01, most
     names = x.select(KEY).distinct()
     n = names.count()
     last = x.agg(F.max("i")).first()[0] or 0
+    first = (LEAST // k + 1) * k
     ahead = F.sequence((F.floor(F.col("i") / k) * k + k).cast("int"), (F.floor((F.col("i") + LOOKBACK) / k) * k).cast("int"), F.lit(k)) if k <= LOOKBACK else F.array().cast("array<int>")
     seen = x.select(KEY, "Return", F.explode(ahead).alias("k")).where((F.col("k") > LEAST) & (F.col("k") <= last))
     mu = seen.groupBy("k", KEY).agg(F.avg("Return").alias("mu"))
-    # Assets that did not trade in a window stand last in it.
-    at = mu.select("k").distinct().withColumn("t", F.array(*[F.lit(t[0]) for t in names.collect()])).select("k", F.explode("t").alias(KEY)) if n else mu.select("k", KEY)
+    # Assets that did not trade in a window stand last in it: each has a row for every rebalance.
+    at = names.select(KEY, F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(k)) if first <= last and k <= LOOKBACK else F.array().cast("array<int>")).alias("k")).select("k", KEY)
     weights = max_sharpe_weights(at.join(mu, ["k", KEY], "left"), by=["k"], least=least, most=most).select("k", KEY, "weight")
     now = x.withColumn("k", (F.floor(F.col("i") / k) * k).cast("int")).join(weights, ["k", KEY], "left")
     out = now.groupBy(TIME, "i").agg(F.sum(F.col("Return") * F.coalesce("weight", F.lit(1.0 / max(n, 1)))).alias("Portfolio_Return"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,19 +22,35 @@ NEGATIVE = (
 NEUTRAL = {"Sentiment_Positive": 0.5, "Sentiment_Negative": 0.5, "Sentiment_Neutral": 1.0, "Sentiment_Score": 0.0}
 
 
-def headlines(pages: DataFrame, key: Column, tag: str = "h3", css_class: str | None = None, longer_than: int = 10, limit: int = 10) -> DataFrame:
-    """Ticker, headline: the texts of a tag, stripped, `limit` per key in page order, of pages (page_id, html).
+# Tag and class of a headline by site.
+SITES = {"yahoo": ("h3", "Mb(5px)"), "reuters": ("h3", "search-result-title"), "bloomberg": ("a", "headline")}
+
+
+def _tagged(tag: str, css_class: str | None) -> str:
+    attributes = r"(?:\s[^>]*)?" if css_class is None else rf"""\s[^>]*class=["'](?:[^"']*\s)?{re.escape(css_class)}(?:\s[^"']*)?["'][^>]*"""
+    return rf"(?s)<{tag}{attributes}>(.*?)</{tag}>"
+
+
+def site_headlines(pages: DataFrame, key: Column, site: Column, sites: Mapping[str, tuple[str, str | None]] = SITES, longer_than: int = 10, limit: int = 10) -> DataFrame:
+    """Ticker, headline of pages (page_id, html): texts of each site's own tag, stripped, `limit` per key and site in page order.
 
-    The limit is a group limit, which Spark applies before it shuffles.
+    Pages of other sites have no headlines. All sites are read in one scan, and the limit is a group limit, which Spark
+    applies before it shuffles.
     """
-    attributes = r"[^>]*" if css_class is None else rf"""[^>]*class=["'][^"']*{css_class}[^>]*"""
-    found = F.regexp_extract_all("html", F.lit(rf"(?s)<{tag}(?:\s{attributes})?>(.*?)</{tag}>"), F.lit(1))
-    rows = pages.select(key.alias(KEY), "page_id", F.posexplode(found).alias("at", "raw"))
+    found = F.array().cast("array<string>")
+    for name, (tag, css_class) in sites.items():
+        found = F.when(F.col("site") == name, F.regexp_extract_all("html", F.lit(_tagged(tag, css_class)), F.lit(1))).otherwise(found)
+    rows = pages.select(key.alias(KEY), site.alias("site"), "page_id", "html").select(KEY, "site", "page_id", F.posexplode(found).alias("at", "raw"))
     rows = rows.withColumn("headline", F.trim(F.regexp_replace("raw", "<[^>]+>", ""))).where(F.length("headline") > longer_than)
-    rank = F.row_number().over(Window.partitionBy(KEY).orderBy("page_id", "at"))
+    rank = F.row_number().over(Window.partitionBy(KEY, "site").orderBy("page_id", "at"))
     return rows.withColumn("n", rank).where(F.col("n") <= limit).select(KEY, "headline")
 
 
+def headlines(pages: DataFrame, key: Column, tag: str = "h3", css_class: str | None = None, longer_than: int = 10, limit: int = 10) -> DataFrame:
+    """site_headlines() of pages that are all from one site."""
+    return site_headlines(pages, key, F.lit(""), {"": (tag, css_class)}, longer_than, limit)
+
+
 def keyword_scores(text: Column, positive: Sequence[str] = POSITIVE, negative: Sequence[str] = NEGATIVE) -> Column:
     """struct(POSITIVE, NEGATIVE, NEUTRAL): shares of the keywords found, each counted once; 0.5, 0.5, 1 without any."""
     found = lambda low, words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
@@ -84,3 +101,8 @@ def add_market(df: DataFrame) -> DataFrame:
 def process(df: DataFrame, news: DataFrame, scorer: Callable[[Column], Column] = keyword_scores) -> DataFrame:
     """Sentiment features of a panel from news (Ticker, headline)."""
     return add_market(add_sentiment(df, ticker_scores(score_texts(news, scorer=scorer), df)))
+
+
+def process_pages(df: DataFrame, pages: DataFrame, key: Column, site: Column, sites: Mapping[str, tuple[str, str | None]] = SITES, scorer: Callable[[Column], Column] = keyword_scores) -> DataFrame:
+    """Sentiment features of a panel straight from news pages (page_id, html) of several sites."""
+    return process(df, site_headlines(pages, key, site, sites), scorer)

@@ -255,6 +255,25 @@ def market_sentiment(s, d):
     return keyed(x, *(f"Market_Sentiment_{k}" for k in ("Mean", "Std", "Min", "Max", "Positive", "Negative")), "Relative_Sentiment")
 
 
+PAGE_SITES = {"0": ("a", None), "1": ("h1", None), "2": ("li", None)}
+_by_site = " ".join(f"WHEN page_id % 3 = {k} THEN regexp_extract_all(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)" for k, (tag, _) in PAGE_SITES.items())
+PAGE_NEWS = f"""WITH h0 AS (SELECT page_id, [{', '.join(f"'{t}'" for t in TICKERS)}][CAST(page_id % 4 AS INT) + 1] AS Ticker, page_id % 3 AS site, CASE {_by_site} END AS raws FROM pages),
+h1 AS (SELECT Ticker, site, page_id, unnest(raws) AS raw, unnest(range(0, len(raws))) AS nr FROM h0),
+h2 AS (SELECT *, trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS text FROM h1),
+h3 AS (SELECT Ticker, text FROM (SELECT *, row_number() OVER (PARTITION BY Ticker, site ORDER BY page_id, nr) AS n FROM h2 WHERE length(text) > 10) WHERE n <= 10),
+n0 AS (SELECT Ticker, CAST({_found(LEXICON[0])} AS DOUBLE) AS p, CAST({_found(LEXICON[1])} AS DOUBLE) AS n FROM h3),
+n1 AS (SELECT Ticker, CASE WHEN p + n > 0 THEN p / (p + n) ELSE 0.5 END AS pos, CASE WHEN p + n > 0 THEN n / (p + n) ELSE 0.5 END AS neg,
+  CASE WHEN p + n > 0 THEN 1 - abs(p / (p + n) - n / (p + n)) ELSE 1 END AS neu FROM n0)"""
+
+
+@query(f"""{SCORES.replace(NEWS, PAGE_NEWS)} SELECT Ticker, Date, {rnd('sp_pos', 'Sentiment_Positive')}, {rnd('sp_neg', 'Sentiment_Negative')}, {rnd('sp_neu', 'Sentiment_Neutral')}, {rnd('score', 'Sentiment_Score')},
+{rnd(f'avg(score) {_by_day}', 'Market_Sentiment_Mean')}, {rnd(f'score - avg(score) {_by_day}', 'Relative_Sentiment')} FROM sp""")
+def page_sentiment(s, d):
+    ticker = F.get(F.array(*map(F.lit, TICKERS)), (F.col("page_id") % 4).cast("int"))
+    x = sentiment.process_pages(prices(s, d), read(s, d, "pages"), ticker, (F.col("page_id") % 3).cast("string"), PAGE_SITES, scorer)
+    return keyed(x, *sentiment.NEUTRAL, "Market_Sentiment_Mean", "Relative_Sentiment")
+
+
 @query(RETURNS + " SELECT Date, " + ", ".join(rnd(f"max(CASE WHEN Ticker = '{t}' THEN ret END)", t) for t in TICKERS) + " FROM r GROUP BY Date HAVING count(ret) > 0")
 def returns_matrix(s, d):
     return rounded(portfolio.returns_matrix(log_returns(s, d), TICKERS))

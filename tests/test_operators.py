@@ -235,6 +235,23 @@ def test_sentiment(spark):
     assert again.columns == out.columns and column(again, "Sentiment_Score", "C") == [0.0]
 
 
+def test_headlines_of_sites(spark):
+    page = "".join(f"<h3 class='x Mb(5px)'>Strong growth here {j}</h3><h3 class='Mb(5px)x'>of another class</h3><h3 class='search-result-title'>A loss reported {j}</h3>" for j in range(12))
+    pages = spark.createDataFrame([(0, "yahoo", page), (1, "reuters", page), (2, "other", page), (3, "bloomberg", None)], "page_id long, site string, html string")
+    got = [r.headline for r in sentiment.site_headlines(pages, F.lit("A"), F.col("site")).collect()]
+    assert sorted(got) == sorted([f"Strong growth here {j}" for j in range(10)] + [f"A loss reported {j}" for j in range(10)])
+    out = sentiment.process_pages(make(spark, {"A": [1.0], "C": [2.0]}), pages, F.lit("A"), F.col("site"))
+    assert column(out, "Sentiment_Positive", "A") == [0.5] and column(out, "Sentiment_Neutral", "C") == [1.0]
+
+
+def test_backtest_plan_holds_no_tickers(spark):
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), t, 0.001 * ((i * k) % 7 - 3)) for i in range(80) for k, t in ((1, "UNIQ_A"), (2, "UNIQ_B"), (5, "UNIQ_C")) if t != "UNIQ_C" or i < 3]
+    x = portfolio.backtest(spark.createDataFrame(rows, "Date date, Ticker string, Return double"), "weekly")
+    assert x.count() == 80
+    plan = x._jdf.queryExecution().optimizedPlan().toString()
+    assert "UNIQ" not in plan
+
+
 def test_sources_and_sinks(spark, tmp_path):
     df = make(spark, {"A": [1.0, 2.0]}).select("Date", "Ticker", "Open", "High", "Low", "Close", "Volume")
     for fmt in io.FORMATS:
