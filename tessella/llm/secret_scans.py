@@ -72,8 +72,8 @@ def matches(text: Column, pattern: str, kind: int, group: int = 0, least: int =
 
 def _upper_tail(z: Column) -> Column:
     """1 - Phi(z), by the logistic form, to about 2e-4."""
-    z = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
-    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+    bounded = F.greatest(F.lit(-8.0), F.least(F.lit(8.0), z))
+    return let(bounded, lambda z: 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z)))
 
 
 def joint(codes: Column, size: int) -> Column:
@@ -83,17 +83,21 @@ def joint(codes: Column, size: int) -> Column:
 
 def _joint(codes: Column, size: int) -> Column:
     n = F.size(codes).cast("double")
-    count = lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double")
-    squares = F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: let(count(k), lambda c: c * c)), F.lit(0.0), lambda a, x: a + x)
+    # In order, the r-th of equal codes adds 2 r - 1 to the sum of squared counts.
+    step = lambda acc, c: F.struct(c.alias("last"), F.when(c == acc["last"], acc["r"] + 1).otherwise(F.lit(1)).alias("r"), (acc["sum"] + F.when(c == acc["last"], 2 * acc["r"] + 1).otherwise(F.lit(1))).alias("sum"))
+    squares = F.aggregate(F.sort_array(codes), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("r"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"].cast("double"))
     chi, df = squares * float(size) / n - n, float(size - 1)
     p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
     high = F.size(F.filter(codes, lambda c: c >= size // 2)).cast("double")
     pairs = lambda f: F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), f)
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     runs = 1 + total(pairs(lambda a, b: F.when((a >= size // 2) != (b >= size // 2), 1.0).otherwise(0.0)))
-    twice = 2 * high * (n - high)
-    spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))
-    p_runs = F.when(twice == 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - twice / n - 1) / spread))
+
+    def runs_test(twice: Column) -> Column:
+        spread = F.sqrt(F.greatest(twice * (twice - n) / (n * n * (n - 1)), F.lit(1e-9)))
+        return F.when(twice == 0, F.lit(0.0)).otherwise(2 * _upper_tail(F.abs(runs - twice / n - 1) / spread))
+
+    p_runs = let(let(high, lambda h: 2 * h * (n - h)), runs_test)
 
     def correlation(mean: Column) -> Column:
         var = total(F.transform(codes, lambda c: (c - mean) * (c - mean)))
