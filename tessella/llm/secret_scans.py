@@ -84,8 +84,9 @@ def joint(codes: Column, size: int) -> Column:
 def _joint(codes: Column, size: int) -> Column:
     n = F.size(codes).cast("double")
     # In order, the r-th of equal codes adds 2 r - 1 to the sum of squared counts.
-    step = lambda acc, c: F.struct(c.alias("last"), F.when(c == acc["last"], acc["r"] + 1).otherwise(F.lit(1)).alias("r"), (acc["sum"] + F.when(c == acc["last"], 2 * acc["r"] + 1).otherwise(F.lit(1))).alias("sum"))
-    squares = F.aggregate(F.sort_array(codes), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("r"), F.lit(0).alias("sum")), step, lambda acc: acc["sum"].cast("double"))
+    one = F.lit(1).cast("long")
+    step = lambda acc, c: F.struct(c.alias("last"), F.when(c == acc["last"], acc["r"] + one).otherwise(one).alias("r"), (acc["sum"] + F.when(c == acc["last"], 2 * acc["r"] + one).otherwise(one)).alias("sum"))
+    squares = F.aggregate(F.sort_array(codes), F.struct(F.lit(-1).alias("last"), F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("sum")), step, lambda acc: acc["sum"].cast("double"))
     chi, df = squares * float(size) / n - n, float(size - 1)
     p_chi = _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
     high = F.size(F.filter(codes, lambda c: c >= size // 2)).cast("double")
