@@ -62,29 +62,30 @@ def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return h[new], doc[new]
 
 
-def keys_of(w: Words, k: int, tables: int, width: int, wild: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name of the set, fingerprints, keys) per document, of its set of shingles.
+def keys_of(w: Words, k: int, tables: int, width: int, wild: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(name of the set, fingerprints, keys, wide) per document, of its set of shingles.
 
-    Further bits, tables * width rounded up to 64s, are of the fingerprint's kind. keys are tables * wild ints: each segment
+    wide: further bits of the fingerprint's kind, tables * width rounded up to 64s, as words of 64. keys are tables * wild ints: each segment
     of them with one bit wiped, which is in turn each of the `wild` bits with the closest votes, the ones that an edit flips.
     """
     n, more = len(w.at) - 1, -(-tables * width // 64)
-    name, fp, keys = np.zeros(n, U64), np.zeros(n, U64), np.full((n, tables * wild), -1, np.int32)
+    name, fp, keys, wide = np.zeros(n, U64), np.zeros(n, U64), np.full((n, tables * wild), -1, np.int32), np.zeros((n, more), U64)
     h, doc = shingle_sets(w, k)
     if not len(h):
-        return name, fp, keys
+        return name, fp, keys, wide
     first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
     size, who = np.diff(np.append(first, len(h))), doc[first]
     name[who] = mix(np.add.reduceat(mix(h + P3), first) + size.astype(U64))
     fp[who] = np.packbits(_votes(h, first, size) > 0, axis=1, bitorder="little").view(U64).ravel()
     votes = np.concatenate([_votes(mix(h + U64((j + 1) * 0x9E3779B97F4A7C15 % 2**64)), first, size) for j in range(more)], axis=1)
+    wide[who] = np.packbits(votes > 0, axis=1, bitorder="little").view(U64)
     votes = votes[:, : tables * width].reshape(len(who), tables, width)
     value = ((votes > 0) << np.arange(width)).sum(axis=2).astype(np.int64)
     close = np.argpartition(np.abs(votes), wild - 1, axis=2)[:, :, :wild]
     # A key names its table and the wiped bit, then the other bits.
     packed = (np.arange(tables)[None, :, None] << (width + 5)) | (close << width) | (value[:, :, None] & ~(1 << close))
     keys[who] = packed.reshape(len(who), -1).astype(np.int32)
-    return name, fp, keys
+    return name, fp, keys, wide
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *keep: str) -> DataFrame:
@@ -139,7 +140,7 @@ def _complete(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[l
     held: list[list[np.ndarray]] = []
     rows = 0
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in names]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
         if not len(new[0]):
             continue
         if rows >= 200_000 and new[0][-1] != held[0][0][0]:  # the last key may go on in the next batch
@@ -241,19 +242,28 @@ def _candidates(tight: int, loose: int):
     return run
 
 
-def _across(loose: int):
-    """From (key, fp, name, root) sorted by key and root: all loose links between members with different roots."""
+def _across(loose: int, far: int | None = None):
+    """From (key, fp, name, root) sorted by key and root: all loose links between members with different roots.
 
-    def some(keys: np.ndarray, f: np.ndarray, names: np.ndarray, roots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    far: of the wide bits, which then come as well (a column wide), at most so many differ.
+    """
+
+    def near(f: np.ndarray, wide: np.ndarray | None, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.bitwise_count(f[i] ^ f[j]) <= loose
+        if wide is not None and ok.any():
+            i, j = np.broadcast_arrays(i, j)
+            ok[ok] = np.bitwise_count(wide[i[ok]] ^ wide[j[ok]]).sum(axis=1, dtype=np.int64) <= far
+        return ok
+
+    def some(keys: np.ndarray, f: np.ndarray, names: np.ndarray, roots: np.ndarray, wide: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         first, size = _groups(keys)
         of = np.repeat(size, size)
         for d in range(1, min(SMALL, int(size.max(initial=1)))):
             i = np.flatnonzero((keys[d:] == keys[:-d]) & (of[d:] <= SMALL) & (roots[d:] != roots[:-d]))
-            i = i[np.bitwise_count(f[i] ^ f[i + d]) <= loose]
+            i = i[near(f, wide, i, i + d)]
             yield names[i], names[i + d]
         for a in np.flatnonzero(size > SMALL):
-            part = slice(first[a], first[a] + size[a])
-            g, who, r = f[part], names[part], roots[part]
+            r = roots[first[a] : first[a] + size[a]]
             if r[0] == r[-1]:
                 continue
             start, count = _groups(r)
@@ -262,14 +272,15 @@ def _across(loose: int):
                 if s == most:
                     continue
                 # Each of its members with those of later groups, and with the largest, which is not begun from.
-                other = np.concatenate([np.arange(s + n, len(g)), np.arange(most, most + count.max()) if most < s else np.zeros(0, np.int64)])
-                for x in range(s, s + n):
-                    y = other[np.bitwise_count(g[other] ^ g[x]) <= loose]
-                    yield np.full(len(y), who[x]), who[y]
+                other = first[a] + np.concatenate([np.arange(s + n, len(r)), np.arange(most, most + count.max()) if most < s else np.zeros(0, np.int64)])
+                for x in range(first[a] + s, first[a] + s + n):
+                    y = other[near(f, wide, np.array([x]), other)]
+                    yield np.full(len(y), names[x]), names[y]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, f, names, roots in _complete(batches, ["key", "fp", "name", "root"]):
-            ab = _distinct(some(keys, f.view(U64), names.view(U64), roots))
+        for keys, f, names, roots, *wide in _complete(batches, ["key", "fp", "name", "root", *([] if far is None else ["wide"])]):
+            bits = np.frombuffer(b"".join(wide[0]), U64).reshape(len(keys), -1) if wide else None
+            ab = _distinct(some(keys, f.view(U64), names.view(U64), roots, bits))
             if len(ab):
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
 
@@ -340,32 +351,35 @@ def near_duplicates(docs: DataFrame, shingle: int = NEAR_SHINGLE, similarity: fl
     similarity: of two sets of shingles (exact Jaccard). At 0.8 15 % of SimHash bits differ, more than segments of one 64-bit
     fingerprint can hold apart, so keys come from TABLES * WIDTH further bits: each segment is indexed under its WILD most
     likely flips, wiped one at a time. Pairs that meet and differ in at most three standard errors more of 64 bits than is
-    expected are candidates; only the sets decide. Documents with one set are one node. A key's tight forest is verified
-    first; then every candidate pair whose ends are not yet joined by verified links is. The least document of a group stays.
+    expected, and in the further bits likewise, are candidates; only the sets decide. Documents with one set are one node.
+    A key's tight forest is verified first; then every candidate pair whose ends are not yet joined by verified links is.
+    The least document of a group stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, buf, offsets in chunks(batch.column("_tsl_words"), 1 << 20):
-                name, fp, keys = keys_of(Words(lower_ascii(buf), offsets), shingle, TABLES, WIDTH, WILD)
+                name, fp, keys, wide = keys_of(Words(lower_ascii(buf), offsets), shingle, TABLES, WIDTH, WILD)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("_tsl_id").slice(a, b - a), batch.column("_tsl_text").slice(a, b - a), pa.array(name.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["_tsl_id", "_tsl_text", "name", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("_tsl_id").slice(a, b - a), batch.column("_tsl_text").slice(a, b - a), pa.array(name.view(np.int64)), pa.array(fp.view(np.int64)), lists, pa.array([x.tobytes() for x in wide], pa.binary())], ["_tsl_id", "_tsl_text", "name", "fp", "keys", "wide"])
 
     slim = docs.select(*row_key(), F.col("text").alias("_tsl_words"))
-    prints = stored(slim.mapInArrow(run, "_tsl_id long, _tsl_text long, name long, fp long, keys array<int>"), "near-fingerprints")
+    prints = stored(slim.mapInArrow(run, "_tsl_id long, _tsl_text long, name long, fp long, keys array<int>, wide binary"), "near-fingerprints")
     angle = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    tight, loose = int(64 * angle), int(64 * angle + 3 * math.sqrt(64 * angle * (1 - angle)))
+    within = lambda bits: int(bits * angle + 3 * math.sqrt(bits * angle * (1 - angle)))
+    tight, loose, far = int(64 * angle), within(64), within(-(-TABLES * WIDTH // 64) * 64)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     variants = prints.groupBy("name").agg(F.first(F.struct("fp", "keys")).alias("x")).select("name", "x.fp", F.explode("x.keys").alias("key"))
     met = stored(variants.repartition(parts, "key").sortWithinPartitions("key", "fp", "name").mapInArrow(_candidates(tight, loose), "a long, b long, key int"), "near-candidates")
     pairs = stored(met.where("key IS NULL").select("a", "b").distinct(), "near-pairs")
     live = met.where("key IS NOT NULL").select("key", F.col("b").alias("fp"), F.col("a").alias("name"))
     asked = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(live.select("name")).distinct()
-    least = prints.groupBy("name").agg(F.min(F.struct("_tsl_id", "_tsl_text")).alias("l")).join(asked, "name").select("name", "l.*")
-    sets = stored(_sets(docs, stored(least, "near-nodes"), shingle), "near-sets")
+    least = prints.groupBy("name").agg(F.min(F.struct("_tsl_id", "_tsl_text")).alias("l"), F.first("wide").alias("wide"))
+    nodes = stored(least.join(asked, "name").select("name", "l.*", "wide"), "near-nodes")
+    sets = stored(_sets(docs, nodes.drop("wide"), shingle), "near-sets")
     sure = stored(_verified(pairs, sets, similarity), "near-verified")
-    named = live.join(components(sure).select(F.col("node").alias("name"), "root"), "name", "left").select("key", "fp", "name", F.coalesce("root", "name").alias("root"))
-    rest = stored(named.repartition(parts, "key").sortWithinPartitions("key", "root", "fp", "name").mapInArrow(_across(loose), "a long, b long").distinct(), "near-rest")
+    named = live.join(nodes.select("name", "wide"), "name").join(components(sure).select(F.col("node").alias("name"), "root"), "name", "left").select("key", "fp", "name", F.coalesce("root", "name").alias("root"), "wide")
+    rest = stored(named.repartition(parts, "key").sortWithinPartitions("key", "root", "fp", "name").mapInArrow(_across(loose, far), "a long, b long").distinct(), "near-rest")
     roots = components(sure.union(_verified(rest.join(pairs, ["a", "b"], "left_anti"), sets, similarity)))
     whose = stored(prints.select("_tsl_id", "_tsl_text", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("_tsl_id", "_tsl_text", F.coalesce("root", "name").alias("root")), "near-groups")
     least = whose.groupBy("root").agg(F.min("_tsl_id").alias("l_id"), F.min(F.struct("_tsl_id", "_tsl_text"))["_tsl_text"].alias("l_text"))
