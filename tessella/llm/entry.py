@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, line_dedup, lm_scoring, mixing, quality_classifier, quality_rules, secret_scans, simhash, substring_dedup, url_filters
+from tessella.llm import collocations, decontamination, html_extraction, line_dedup, lm_scoring, mixing, periodic_runs, quality_classifier, quality_rules, secret_scans, simhash, substring_dedup, url_filters
 from tessella.llm.shared import table
 
 
@@ -58,6 +58,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(table(spark, sf_dir, "pages"), labels)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters)}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
 
-ORACLES = {"op3_decontamination": decontamination.oracle(), "op4_mixing": mixing.oracle(), "op6_line_dedup": line_dedup.oracle(), "op9_substring_dedup": substring_dedup.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle()}
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_secret_scans, op3_decontamination, op4_mixing, op5_quality_rules, op6_line_dedup, op7_lm_scoring, op8_simhash, op9_substring_dedup, op10_url_filters, op11_html_extraction, op12_collocations, op13_periodic_runs)}
+
+ORACLES = {"op3_decontamination": decontamination.oracle(), "op4_mixing": mixing.oracle(), "op6_line_dedup": line_dedup.oracle(), "op9_substring_dedup": substring_dedup.oracle(), "op5_quality_rules": quality_rules.oracle(), "op10_url_filters": url_filters.oracle(), "op12_collocations": collocations.oracle()}
