@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.shared import stored, strength_around
+from tessella.llm.shared import drop_stored, stored, strength_around
 from tessella.llm.textkernel import Words, chunks, lower_ascii, mix
 
 SAMPLE, MIN_Z, MIN_DOCS, BINS, RIDGE = 20_000, 5.0, 5, 12, 1.0
@@ -164,20 +164,34 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def site_rates(outcomes: DataFrame) -> tuple[DataFrame, float, float]:
-    """(host, path, n, k, host_rate, path_rate of every path; the strength of a path's prior; the overall rate).
+def site_rates(outcomes: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(host, path, n, k, host_n, host_k, host_rate, path_rate of every path; strengths, number and sum of all).
 
-    outcomes: (host, path, bad between 0 and 1).
+    outcomes: (host, path, bad between 0 and 1). Sites of one document say nothing of how sites scatter.
     """
     paths = stored(outcomes.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("bad").alias("k")), "path-outcomes")
     total = paths.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    overall = ((total.k or 0.0) + 0.5) / ((total.n or 0) + 1)
-    hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "host-outcomes")
-    s_host = strength_around(hosts.withColumn("parent", F.lit(overall)))
-    rate = hosts.select(F.col("host").alias("h"), ((F.col("k") + s_host * overall) / (F.col("n") + s_host)).alias("host_rate"))
+    n, k = total.n or 0, total.k or 0.0
+    overall = (k + 0.5) / (n + 1)
+    hosts = stored(paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("k").alias("host_k")), "host-outcomes")
+    s_host = strength_around(hosts.where("host_n > 1").select(F.col("host_n").alias("n"), F.col("host_k").alias("k"), F.lit(overall).alias("parent")))
+    rate = hosts.select(F.col("host").alias("h"), "host_n", "host_k", ((F.col("host_k") + s_host * overall) / (F.col("host_n") + s_host)).alias("host_rate"))
     joined = stored(paths.join(rate, F.col("host").eqNullSafe(F.col("h"))).drop("h"), "path-rates")
-    s_path = strength_around(joined.withColumnRenamed("host_rate", "parent"))
-    return joined.withColumn("path_rate", (F.col("k") + s_path * F.col("host_rate")) / (F.col("n") + s_path)), s_path, overall
+    s_path = strength_around(joined.where("n > 1").withColumnRenamed("host_rate", "parent"))
+    for x in (paths, hosts):
+        drop_stored(x)
+    return joined.withColumn("path_rate", (F.col("k") + s_path * F.col("host_rate")) / (F.col("n") + s_path)), {"host": s_host, "path": s_path, "n": n, "k": k}
+
+
+def rate_of_others(all_: dict[str, float]) -> tuple[Column, Column]:
+    """(a document's site's rate, the rate of all) by the other documents alone: its own outcome is in no sum of either.
+
+    The strengths are those of all sites' scatter.
+    """
+    bad = F.col("bad")
+    overall = (all_["k"] - bad + 0.5) / F.lit(max(all_["n"] - 1, 0) + 1.0)
+    host = (F.col("host_k") - bad + all_["host"] * overall) / (F.col("host_n") - 1 + all_["host"])
+    return (F.col("k") - bad + all_["path"] * host) / (F.col("n") - 1 + all_["path"]), overall
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -195,9 +209,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     scored = stored(scored, "quality-scores")
     labelled = scored.join(known.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
     labelled = stored(labelled.select("doc_id", "host", "path", "p", F.coalesce(F.col("bad").cast("double"), F.col("p")).alias("bad")), "outcomes")
-    sites, strength, overall = site_rates(labelled)
+    sites, all_ = site_rates(labelled)
     sites = stored(sites.withColumnsRenamed({"host": "s_host", "path": "s_path"}), "sites")
-    others = (F.col("k") - F.col("bad") + strength * F.col("host_rate")) / (F.col("n") - 1 + strength)
-    p_bad = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(others) - _logit(F.lit(overall)))))
+    others, overall = rate_of_others(all_)
+    p_bad = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(others) - _logit(overall))))
     both = labelled.join(sites, F.col("host").eqNullSafe(F.col("s_host")) & F.col("path").eqNullSafe(F.col("s_path")))
     return both.select("doc_id", F.col("p").alias("p_doc"), "host_rate", "path_rate", p_bad.alias("p_bad"), (p_bad <= threshold).alias("kept"))
