@@ -8,8 +8,8 @@ goes to the class that raises the likelihood most, to first order in its counts.
 class of their shape. Counts of words, of their neighbours and of class bigrams grow with the corpus and cover all of its
 training documents.
 
-Words are compared as words, never by a hash. Those of the HEAD most frequent ones, a fixed number, go with the code; all
-others are looked up by a join. The smoothed emission (c + 1) / (N_class + V_class + 1) has only log10(c + 1) to look up
+Words are compared as words, never by a hash. The HEAD most frequent ones of WORD_BYTES bytes or less, 4 MB at most, go with
+the code; all others are looked up by a join. Seeds are words of that length, too. The smoothed emission (c + 1) / (N_class + V_class + 1) has only log10(c + 1) to look up
 besides the class, so one sum per document serves this model and the unigram base.
 """
 
@@ -29,6 +29,7 @@ from tessella.llm.shared import drop_stored, stored
 from tessella.llm.textkernel import Words, chunks, lower_ascii
 
 SEEDS, CLASSES, HEAD, SWEEPS, PRIOR, SHAPE_WEIGHT = 512, 48, 65536, 8, 10.0, 2.0
+WORD_BYTES = 64
 LENGTHS = (3, 5, 7, 9, 12)
 SHAPES = (len(LENGTHS) + 1) * 4
 HELD_OUT, FOLDS = 2, 7
@@ -270,7 +271,7 @@ def train(docs: DataFrame) -> tuple[pa.Array, np.ndarray, DataFrame]:
     """(seeds, class of each unit, table of word, n, cls of all words) from docs (text)."""
     texts = docs.select("text")
     counted = texts.mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("word <> ''")
-    top = stored(counted.orderBy(F.desc("n"), "word").limit(SEEDS), "frequent-words")
+    top = stored(counted.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(SEEDS), "frequent-words")
     seeds = pa.array(sorted(r.word for r in top.collect()), pa.large_string())
     drop_stored(top)
     m = len(seeds) + SHAPES + 1
@@ -392,7 +393,7 @@ def score(docs: DataFrame) -> DataFrame:
     n, v = np.zeros(classes), np.zeros(classes)
     for r in vocabulary.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
         n[r.cls], v[r.cls] = r.n, r.v
-    head = vocabulary.orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
+    head = vocabulary.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).toPandas()
     model = (head["word"].tolist(), head["n"].to_numpy(np.int64), head["cls"].to_numpy(np.int64), of[len(seeds) :])
     local = stored(d.mapInArrow(_sequences(spark.sparkContext.broadcast(model)), SEQUENCE), "sequences")
     tail = local.select("row", F.posexplode("tail").alias("place", "word"))
