@@ -46,15 +46,24 @@ def _lower_bound(k: Column, n: Column, strength: float, parent: Column, z: float
     return mean - z * F.sqrt(mean * (1 - mean) / (all_ + 1))
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def levels_of(host: Column, suffixes: Sequence[str] = ()) -> tuple[Column, Column]:
+    """(suffix, registered domain) of a host, without its port: the last label, or a suffix of several that is listed, and one label more."""
+    bare = F.regexp_replace(host, ":[0-9]*$", "")
+    listed = "|".join([*(s.replace(".", r"\.") for s in sorted(suffixes, key=len, reverse=True)), "[^.]*"])
+    return F.regexp_extract(bare, rf"(?:^|\.)({listed})$", 1), F.regexp_extract(bare, rf"((?:[^.]*\.)?(?:{listed}))$", 1)
+
+
+def host_reputation(outcomes: DataFrame, z: float = Z, suffixes: Sequence[str] = ()) -> DataFrame:
     """host, n, k, rate, bound of (host, bad) rows, bad being 0, 1 or null (not labelled).
 
+    suffixes: public ones of several labels (co.uk), which no rule tells.
+
     The levels come from one aggregation by host; coarser ones aggregate that table, so that a host with a third of all
     pages is summed before it is sent. Strengths are four numbers on the driver, whatever the size.
     """
     hosts = stored(
         outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
-        .withColumn("suffix", F.regexp_extract("host", r"([^.]*)$", 1)).withColumn("domain", F.regexp_extract("host", r"((?:[^.]*\.)?[^.]*)$", 1)),
+        .withColumns(dict(zip(("suffix", "domain"), levels_of(F.col("host"), suffixes), strict=True))),
         "hosts",
     )
     total = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -73,7 +82,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, threshold: float = THRESHOLD, z: float = Z, suffixes: Sequence[str] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url); labels: (page_id, bad).
 
     Null url, or one without ://: host and path empty, judged as the host ''. A null page_id has no label. Repeated rows
@@ -84,7 +93,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     p = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     known = labels.select(F.col("page_id").alias("l_id"), F.col("bad").cast("int").alias("bad")).where("bad IS NOT NULL").groupBy("l_id").agg(F.max("bad").alias("bad"))
     seen = p.select("page_id", "host").join(known, F.col("page_id") == F.col("l_id"), "left").select("host", "bad")
-    verdicts = stored(host_reputation(seen, z).select(F.col("host").alias("r_host"), (F.col("bound") > threshold).alias("r_bad")), "reputation")
+    verdicts = stored(host_reputation(seen, z, suffixes).select(F.col("host").alias("r_host"), (F.col("bound") > threshold).alias("r_bad")), "reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return p.join(verdicts, F.col("host") == F.col("r_host"), "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.coalesce(F.col("r_bad"), F.lit(False)), "block").otherwise("allow")).alias("verdict")
@@ -102,7 +111,7 @@ def oracle() -> str:
 WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 l AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE quality IS NOT NULL OR toxic IS NOT NULL GROUP BY doc_id),
-host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_extract(host, '([^.]*)$', 1) AS suffix, regexp_extract(host, '((?:[^.]*\\.)?[^.]*)$', 1) AS domain
+host AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '([^.]*)$', 1) AS suffix, regexp_extract(regexp_replace(host, ':[0-9]*$', ''), '((?:[^.]*\\.)?[^.]*)$', 1) AS domain
   FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
 p0 AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(k) + 0.5) / (sum(n) + 1.0) ELSE 0.5 END AS p0 FROM host),
 suffix AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(p0) AS parent FROM host, p0 GROUP BY suffix),
