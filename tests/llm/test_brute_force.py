@@ -279,6 +279,14 @@ def test_quality_rules(spark, corpus):
     assert all(got[i].kept for i, t, *_ in corpus if not got[i].base_failed)
 
 
+def test_url_levels(spark):
+    hosts = ["a.b.example.org", "example.org", "org", "", "a0.co.uk", "x.y.co.uk", "co.uk", "b.net:80", "shop.b.net:8080", "foco.uk"]
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    plain, listed = (df.select(*(c.alias(n) for c, n in zip(url_filters.levels_of(F.col("host"), s), "sd", strict=True))).collect() for s in ((), ("co.uk", "uk")))
+    assert [tuple(r) for r in plain] == [("org", "example.org"), ("org", "example.org"), ("org", "org"), ("", ""), ("uk", "co.uk"), ("uk", "co.uk"), ("uk", "co.uk"), ("net", "b.net"), ("net", "b.net"), ("uk", "foco.uk")]
+    assert [tuple(r) for r in listed][4:] == [("co.uk", "a0.co.uk"), ("co.uk", "y.co.uk"), ("co.uk", "co.uk"), ("net", "b.net"), ("net", "b.net"), ("uk", "foco.uk")]
+
+
 def test_line_dedup(spark):
     rnd = random.Random(4)
     line = lambda: " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(8))
@@ -591,15 +599,33 @@ def test_quality_sites_by_hand(spark):
         hosts[site[i][0]].append(y)
         paths[site[i]].append(y)
     overall = (sum(out.values()) + 0.5) / (len(out) + 1)
-    s = _strength([(len(y), sum(y), overall) for y in hosts.values()])
-    host_rate = {h: (sum(y) + s * overall) / (len(y) + s) for h, y in hosts.items()}
-    s = _strength([(len(y), sum(y), host_rate[h]) for (h, _), y in paths.items()])
+    s_host = _strength([(len(y), sum(y), overall) for y in hosts.values()])
+    host_rate = {h: (sum(y) + s_host * overall) / (len(y) + s_host) for h, y in hosts.items()}
+    s = _strength([(len(y), sum(y), host_rate[h]) for (h, _), y in paths.items() if len(y) > 1])
     logit = lambda p: math.log(min(max(p, 1e-4), 1 - 1e-4) / (1 - min(max(p, 1e-4), 1 - 1e-4)))
     for i, r in got.items():
         h, y = site[i][0], paths[site[i]]
         assert r.host_rate == pytest.approx(host_rate[h], rel=1e-5) and r.path_rate == pytest.approx((sum(y) + s * host_rate[h]) / (len(y) + s), rel=1e-5)
-        others = (sum(y) - out[i] + s * host_rate[h]) / (len(y) - 1 + s)
-        assert r.p_bad == pytest.approx(1 / (1 + math.exp(-(logit(r.p_doc) + logit(others) - logit(overall)))), rel=1e-4)
+        # The same from the other documents only: this one is in no sum.
+        rest = [out[j] for j in got if j != i]
+        there = [out[j] for j in got if j != i and site[j][0] == h]
+        beside = [out[j] for j in got if j != i and site[j] == site[i]]
+        over = (sum(rest) + 0.5) / (len(rest) + 1)
+        host = (sum(there) + s_host * over) / (len(there) + s_host)
+        others = (sum(beside) + s * host) / (len(beside) + s)
+        assert r.p_bad == pytest.approx(1 / (1 + math.exp(-(logit(r.p_doc) + logit(others) - logit(over)))), rel=1e-4)
+
+
+def test_own_label_does_not_count_twice(spark):
+    """The only document of a host is judged by others alone, whatever its label says."""
+    rates = []
+    for label in (0, 1):
+        rows = [(float(h % 2), f"h{h}", "p") for h in range(40) for _ in range(10)] + [(float(label), "lone", "p")]
+        sites, all_ = quality_classifier.site_rates(spark.createDataFrame(rows, "bad double, host string, path string"))
+        others, overall = quality_classifier.rate_of_others(all_)
+        rates.append(sites.where("host = 'lone'").withColumn("bad", F.lit(float(label))).select(others.alias("o"), overall.alias("a")).first())
+    assert rates[0].o == pytest.approx(rates[1].o, abs=1e-12) and rates[0].a == pytest.approx(rates[1].a, abs=1e-12)
+    assert rates[0].o == pytest.approx(0.5, abs=0.01)
 
 
 def test_labels_of_other_corpora(spark, monkeypatch):
@@ -718,6 +744,40 @@ def test_line_dedup_finds_runs_of_any_length(spark):
     assert all(not set(runs[i % 41]) & set(got[i].split("\n")) for i in range(41, 120))
 
 
+def test_line_chunks_move_with_their_lines(spark):
+    """Lines put in or taken out change the chunks around them and no others; long runs of one line are cut."""
+    rnd = random.Random(21)
+    lines = [f"line {rnd.randrange(10**9)}" for _ in range(300)]
+    texts = {1: lines, 2: ["new head", "", *lines], 3: lines[:150] + ["put in"] + lines[150:], 4: lines[40:], 5: ["same"] * 500, 6: ["a", "b"], 7: []}
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    rows = docs.select("doc_id", F.explode(line_dedup.chunks_of(line_dedup.lines_of(F.col("text")))).alias("c")).collect()
+    chunk = {i: [r.c for r in rows if r.doc_id == i] for i in texts}
+    hashes = {i: [c.h for c in cs] for i, cs in chunk.items()}
+    assert len(hashes[1]) > 30 and not hashes[6] and not hashes[7]
+    for i, cut in ((2, 0), (3, 0), (4, 40)):
+        assert sum(c.a >= cut and c.h not in hashes[i] for c in chunk[1]) <= 2
+    assert {c.a - 2 for c in chunk[2]} >= {c.a for c in chunk[1]} - {0, *[c.a for c in chunk[1][:2]]}
+    assert all(3 <= c.m <= line_dedup.LONGEST and c.n == c.m for c in chunk[5]) and sum(c.m for c in chunk[5]) > 400
+
+
+def test_line_dedup_at_both_scales(spark):
+    """Long and short repeats, whole documents among them, against the comparison of every two lines."""
+    rnd = random.Random(22)
+    line = lambda: f"l {rnd.randrange(10**9)}"
+    long = [[line() for _ in range(rnd.randrange(20, 60))] for _ in range(6)]
+    docs = []
+    for i in range(160):
+        t = [line() for _ in range(rnd.randrange(0, 6))]
+        for _ in range(rnd.randrange(0, 3)):
+            p = rnd.choice(long)
+            a = rnd.randrange(len(p))
+            t += p[a : a + rnd.randrange(1, 40)] + [line() for _ in range(rnd.randrange(0, 3))] + [""] * rnd.randrange(2)
+        docs.append((i, "\n".join(t)))
+    docs += [(200 + i, docs[i][1]) for i in range(30)] + [(300, "\n".join(long[0] * 5)), (301, "\n".join(["r"] * 90))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect()}
+    assert got == _lines_left(docs)
+
+
 def test_line_dedup_over_blank_lines(spark):
     """Paragraphs parted by blank lines are compared, and the blank lines inside a repeated run go along."""
     docs = [(1, "own a\n\nfirst part\n\nsecond part\n\nown b"), (2, "own c\n\nfirst part\n \nsecond part\n\nown d"), (3, "first part\nsecond part")]
