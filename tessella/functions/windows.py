@@ -6,7 +6,9 @@ chain of them. Rolling values are null until `least` (default: n) values are the
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -14,16 +16,32 @@ from pyspark.sql import types as T
 
 KEY, TIME = "Ticker", "Date"
 YEAR = 252
+_parts: ContextVar[tuple[str, ...]] = ContextVar("parts", default=(KEY,))
+
+
+@contextmanager
+def partitioned_by(*columns: str) -> Iterator[None]:
+    """Windows made inside are partitioned by these columns instead of the ticker."""
+    before = _parts.set(columns)
+    try:
+        yield
+    finally:
+        _parts.reset(before)
 
 
 def ordered() -> WindowSpec:
-    return Window.partitionBy(KEY).orderBy(TIME)
+    return Window.partitionBy(*_parts.get()).orderBy(TIME)
 
 
 def last_rows(n: int) -> WindowSpec:
     return ordered().rowsBetween(-(n - 1), 0)
 
 
+def last_days(n: int) -> WindowSpec:
+    """The rows of the last n days by the calendar, this one included, however many they are."""
+    return Window.partitionBy(*_parts.get()).orderBy(F.unix_date(TIME)).rangeBetween(-(n - 1), 0)
+
+
 def so_far() -> WindowSpec:
     return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
@@ -51,11 +69,6 @@ def numeric_columns(df: DataFrame, besides: Iterable[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
 
 
-def plus(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns added or replaced, in one projection."""
-    return df.withColumns(columns)
-
-
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN in floating columns becomes null, which is what the operators skip."""
     floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]

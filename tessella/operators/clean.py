@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions import blocks
 from tessella.functions.windows import KEY, TIME, from_here, numeric_columns, ordered, so_far
 
 PRICES = ("Open", "High", "Low", "Close", "Open_Adj", "High_Adj", "Low_Adj", "Close_Adj")
@@ -121,5 +122,4 @@ def union_panels(*panels: DataFrame) -> DataFrame:
 
 def every_kth_date(df: DataFrame, k: int) -> DataFrame:
     """Date, i (from 0) of each k-th distinct date."""
-    dates = df.select(TIME).distinct().withColumn("i", F.row_number().over(Window.orderBy(TIME)) - 1)
-    return dates.where(F.col("i") % k == 0)
+    return blocks.numbered_all(df.select(TIME).distinct()).where(F.col("i") % k == 0)

@@ -2,32 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions import blocks
 from tessella.functions.windows import lagged, last_rows, ratio, rolling, so_far
 from tessella.operators.returns import price_of
 
 
-def ema(column: str, span: int, reach: int | None = None) -> Column:
-    """Weighted mean of all values up to here, weights (1 - 2 / (span + 1))^age.
+def ema(df: DataFrame, means: Mapping[str, tuple[str, int]], seeded: int | None = None, index: str = "_i") -> DataFrame:
+    """df (with row numbers in `index`) with a column for each of means (column, span): the exponential mean up to here.
 
-    Computed over the last `reach` rows, beyond which weights are below 1e-17; an aggregate over the frame's array keeps
-    it in the JVM.
+    Plain: all values so far, weighted by (1 - 2 / (span + 1))^age. seeded: the mean of the span values up to the one of
+    number `seeded` (from 1; the longest span by default) starts it, before which it is null; then each value moves it by
+    2 / (span + 1) of its distance. Null values are skipped: they have no age and move nothing. Both are scans, so nothing
+    is cut off and a ticker's history is many tasks' work.
+    """
+    if seeded is None:
+        maps = {}
+        for name, (c, span) in means.items():
+            keep, there = F.lit(1 - 2 / (span + 1)), F.col(c).isNotNull()
+            maps |= {f"_n_{name}": (F.when(there, keep).otherwise(1.0), F.coalesce(c, F.lit(0.0))), f"_d_{name}": (F.when(there, keep).otherwise(1.0), there.cast("double"))}
+        out = blocks.scan(df, maps, index)
+        return out.withColumns({name: ratio(F.col(f"_n_{name}"), F.col(f"_d_{name}")) for name in means}).drop(*maps)
+    columns = sorted({c for c, _ in means.values()})
+    x = blocks.running(df, {f"_c_{c}": F.col(c).isNotNull().cast("long") for c in columns})
+    maps = {}
+    for name, (c, span) in means.items():
+        at, step, there = F.col(f"_c_{c}"), 2 / (span + 1), F.col(c).isNotNull()
+        share = F.when(there & (at > seeded - span) & (at <= seeded), F.col(c) / span).otherwise(0.0)
+        a = F.when(~there, 1.0).when(at <= seeded - span, 0.0).when(at <= seeded, 1.0).otherwise(1 - step)
+        maps[name] = (a, F.when(there & (at > seeded), F.col(c) * step).otherwise(share))
+    out = blocks.scan(x, maps, index)
+    return out.withColumns({name: F.when(F.col(f"_c_{c}") >= seeded, F.col(name)) for name, (c, _) in means.items()}).drop(*(f"_c_{c}" for c in columns))
+
+
+def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, seeded: bool = False) -> DataFrame:
+    """MACD, MACD_Signal, MACD_Histogram from exponential means of the price.
+
+    seeded: both means start from simple ones that end at the first row where the slow one is full, the signal likewise
+    from the first `signal` differences; all three are null before the signal is there, and on rows without a price.
     """
-    keep = 1 - 2 / (span + 1)
-    rows = reach or 20 * (span + 1)
-    step = lambda acc, x: F.struct((acc["n"] * keep + x).alias("n"), (acc["d"] * keep + 1.0).alias("d"))
-    return F.aggregate(F.collect_list(column).over(last_rows(rows)), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("d")), step, lambda acc: F.try_divide(acc["n"], acc["d"]))
-
-
-def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
     p = price_of(df)
-    out = df.withColumn("MACD", ema(p, fast) - ema(p, slow))
-    out = out.withColumn("MACD_Signal", ema("MACD", signal))
-    return out.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
+    x = blocks.numbered(df)
+    x = ema(x, {"_fast": (p, fast), "_slow": (p, slow)}, max(fast, slow) if seeded else None).withColumn("MACD", F.col("_fast") - F.col("_slow"))
+    if seeded:
+        x = x.withColumn("MACD", F.when(F.col(p).isNotNull(), F.col("MACD")))
+    x = ema(x, {"MACD_Signal": ("MACD", signal)}, signal if seeded else None)
+    if seeded:
+        there = F.col("MACD").isNotNull() & F.col("MACD_Signal").isNotNull()
+        x = x.withColumns({c: F.when(there, F.col(c)) for c in ("MACD", "MACD_Signal")})
+    return x.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal")).drop("_i", "_fast", "_slow")
 
 
 def macd_sma(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -38,9 +65,22 @@ def macd_sma(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) ->
     return out.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal"))
 
 
-def rsi(df: DataFrame, n: int = 14) -> DataFrame:
-    """By simple means of gains and losses; the first row counts as no change. 100 without losses, null without either."""
+def rsi(df: DataFrame, n: int = 14, wilder: bool = False) -> DataFrame:
+    """By simple means of gains and losses; the first row counts as no change. 100 without losses, null without either.
+
+    wilder: the means of the first n changes start it, and each further change moves them by a n-th of its distance; 0
+    without gains and losses. A row without a price, or after one, changes nothing.
+    """
     p = price_of(df)
+    if wilder:
+        x = blocks.with_halo(df, 1, lambda d: d.withColumn("_change", F.col(p) - lagged(p)), number="_i")
+        x = blocks.running(x, {"_at": F.col("_change").isNotNull().cast("long")})
+        part = lambda v: (
+            F.when(F.col("_change").isNull() | (F.col("_at") <= n), 1.0).otherwise(1 - 1 / n), F.coalesce(v, F.lit(0.0)) / n,
+        )
+        x = blocks.scan(x, {"_up": part(F.greatest("_change", F.lit(0.0))), "_down": part(F.greatest(-F.col("_change"), F.lit(0.0)))})
+        value = F.coalesce(100 * ratio(F.col("_up"), F.col("_up") + F.col("_down")), F.lit(0.0))
+        return x.withColumn("RSI", F.when(F.col("_at") >= n, value)).drop("_i", "_at", "_change", "_up", "_down")
     change = df.withColumn("_change", F.col(p) - lagged(p))
     gain = F.when(F.col("_change") > 0, F.col("_change")).otherwise(0.0)
     loss = F.when(F.col("_change") < 0, -F.col("_change")).otherwise(0.0)
@@ -48,9 +88,10 @@ def rsi(df: DataFrame, n: int = 14) -> DataFrame:
     return change.withColumn("RSI", F.when((down == 0) & (up > 0), 100.0).otherwise(100 - ratio(F.lit(100.0), 1 + ratio(up, down)))).drop("_change")
 
 
-def bollinger(df: DataFrame, n: int = 20, k: float = 2.0) -> DataFrame:
+def bollinger(df: DataFrame, n: int = 20, k: float = 2.0, population: bool = False) -> DataFrame:
+    """Mean of n prices, k deviations above and below, and where between these the price is; deviations of the sample, or of the population."""
     p = F.col(price_of(df))
-    mid, std = rolling(F.avg, p, n), rolling(F.stddev, p, n)
+    mid, std = rolling(F.avg, p, n), rolling(F.stddev_pop if population else F.stddev, p, n)
     out = df.withColumns({"BB_Middle": mid, "BB_Upper": mid + std * k, "BB_Lower": mid - std * k})
     return out.withColumn("BB_Position", ratio(p - F.col("BB_Lower"), F.col("BB_Upper") - F.col("BB_Lower")))
 
@@ -72,7 +113,3 @@ def volume(df: DataFrame, periods: Sequence[int] = (10, 20, 50)) -> DataFrame:
     if "Return" in df.columns:
         out |= {"PVT": F.sum(F.col("Return") * v).over(so_far()), "OBV": F.sum(v * F.signum("Return")).over(so_far())}
     return df.withColumns(out)
-
-
-def all_indicators(df: DataFrame) -> DataFrame:
-    return df.transform(macd).transform(rsi).transform(bollinger).transform(moving_averages).transform(volume)
