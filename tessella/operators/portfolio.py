@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import blocks
 from tessella.functions.windows import KEY, TIME, YEAR, ratio
+from tessella.operators.asof import asof_join
 
 EVERY = {"daily": 1, "weekly": 5, "monthly": 21, "quarterly": 63}
 LOOKBACK, LEAST = 252, 50
+#: Assets of a block and days of a span of the matrices that are multiplied in one task.
+ASSETS, DAYS = 256, 512
 MOMENTS, COVARIANCES = ("mean", "capm", "black_litterman"), ("sample", "shrunk", "ledoit_wolf")
 
 
@@ -20,13 +26,9 @@ def returns_matrix(r: DataFrame, tickers: Sequence[str]) -> DataFrame:
 
 
 def bond_columns(assets: DataFrame, bonds: DataFrame, tickers: Sequence[str], carry: bool = False) -> DataFrame:
-    """assets with {ticker}_Yield by exact date; carry: the last known yield on later days (an as-of join)."""
+    """assets with {ticker}_Yield by exact date; carry: the last yield known on that day, whatever day it is of (an as-of join)."""
     wide = bonds.groupBy(TIME).pivot(KEY, list(tickers)).agg(F.first("Yield", ignorenulls=True)).withColumnsRenamed({t: f"{t}_Yield" for t in tickers})
-    out = assets.join(wide, TIME, "left")
-    if carry:
-        w = Window.partitionBy(KEY).orderBy(TIME).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumns({f"{t}_Yield": F.last(f"{t}_Yield", ignorenulls=True).over(w) for t in tickers})
-    return out
+    return asof_join(assets, wide, [f"{t}_Yield" for t in tickers], by=()) if carry else assets.join(wide, TIME, "left")
 
 
 def covariance(r: DataFrame, method: str = "sample", shrinkage: float = 0.1) -> DataFrame:
@@ -36,7 +38,9 @@ def covariance(r: DataFrame, method: str = "sample", shrinkage: float = 0.1) ->
     if method == "ledoit_wolf":
         return _ledoit_wolf(r)
     x = r.where(F.col("Return").isNotNull())
-    sample = _mirrored(_pairs(x).groupBy("asset_i", "asset_j").agg(F.covar_samp("a", "b").alias("cov")))
+    centred = x.join(x.groupBy(KEY).agg(F.avg("Return").alias("m")), KEY).select(TIME, KEY, (F.col("Return") - F.col("m")).alias("Return"))
+    value = ratio(F.col("ab") - F.col("a") * F.col("b") / F.col("n"), F.col("n") - 1.0)
+    sample = _mirrored(products(centred).select("asset_i", "asset_j", value.alias("cov")))
     if method == "sample":
         return sample
     own = F.col("asset_i") == F.col("asset_j")
@@ -44,10 +48,40 @@ def covariance(r: DataFrame, method: str = "sample", shrinkage: float = 0.1) ->
     return sample.withColumn("cov", (1 - shrinkage) * F.col("cov") + F.when(own, shrinkage * F.lit(t).cast("double")).otherwise(0.0))
 
 
-def _pairs(x: DataFrame) -> DataFrame:
-    """asset_i, asset_j (not before asset_i), a, b of every day: an equi-join on the date."""
-    i = x.select(TIME, F.col(KEY).alias("asset_i"), F.col("Return").alias("a"))
-    return i.join(x.select(TIME, F.col(KEY).alias("asset_j"), F.col("Return").alias("b")), TIME).where("asset_i <= asset_j")
+def products(x: DataFrame, assets: int = ASSETS, days: int = DAYS) -> DataFrame:
+    """asset_i, asset_j (not before asset_i), n, a, b, ab: number and sums of both, and of their products, over common days.
+
+    Assets fall into blocks by hash, days into spans. Each pair of blocks meets once a span, as two dense matrices in one
+    task, whose products are four matrices there; no row stands for a pair on a day, and only one a span is summed. A task
+    has at most 2 * `assets` columns or so and `days` rows. x has one row (Date, Ticker, Return) a day and asset.
+    """
+    blocks_ = max(1, -(-x.select(KEY).distinct().count() // assets))
+    own = F.pmod(F.xxhash64(KEY), F.lit(blocks_)).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(blocks_ - 1)), lambda o: F.struct(F.least(own, o).alias("p"), F.greatest(own, o).alias("q")))
+    day = F.datediff(TIME, F.lit("1970-01-01"))
+    rows = x.select(F.floor(day / days).alias("span"), day.alias("day"), KEY, "Return", own.alias("own"), F.explode(pairs).alias("pair")).select("span", "day", KEY, "Return", "own", "pair.p", "pair.q")
+
+    def multiply(key: tuple, table: pa.Table) -> pa.Table:
+        name, name_at = np.unique(table[KEY].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        day_, day_at = np.unique(table["day"].to_numpy(), return_inverse=True)
+        value, there = np.zeros((2, len(day_), len(name)))
+        value[day_at, name_at], there[day_at, name_at] = table["Return"].to_numpy(), 1.0
+        block = np.zeros(len(name), np.int64)
+        block[name_at] = table["own"].to_numpy()
+        p, q = np.flatnonzero(block == key[0].as_py()), np.flatnonzero(block == key[1].as_py())
+        n, a, b, ab = there[:, p].T @ there[:, q], value[:, p].T @ there[:, q], there[:, p].T @ value[:, q], value[:, p].T @ value[:, q]
+        i, j = np.nonzero(n > 0)
+        first = name[p[i]] <= name[q[j]] if key[0] != key[1] else p[i] <= q[j]
+        turned = ~first if key[0] != key[1] else np.zeros(len(i), bool)
+        keep = first | turned
+        i, j, turned = i[keep], j[keep], turned[keep]
+        turn = lambda u, v: np.where(turned, v, u)
+        return pa.table({
+            "asset_i": pa.array(turn(name[p[i]], name[q[j]]), pa.string()), "asset_j": pa.array(turn(name[q[j]], name[p[i]]), pa.string()), "n": n[i, j], "a": turn(a[i, j], b[i, j]), "b": turn(b[i, j], a[i, j]), "ab": ab[i, j],
+        })
+
+    part = rows.groupBy("p", "q", "span").applyInArrow(multiply, "asset_i string, asset_j string, n double, a double, b double, ab double")
+    return part.groupBy("asset_i", "asset_j").agg(*(F.sum(c).alias(c) for c in ("n", "a", "b", "ab")))
 
 
 def _mirrored(cov: DataFrame) -> DataFrame:
@@ -66,7 +100,7 @@ def _ledoit_wolf(r: DataFrame) -> DataFrame:
     x = x.join(means, KEY).select(TIME, KEY, (F.col("Return") - F.col("m")).alias("Return"))
     squares = x.groupBy(TIME).agg(F.sum(F.col("Return") * F.col("Return")).alias("s")).agg(F.count("*").alias("n"), F.sum(F.col("s") * F.col("s")).alias("q")).first()
     n = squares.n
-    s = _mirrored(_pairs(x).groupBy("asset_i", "asset_j").agg((F.sum(F.col("a") * F.col("b")) / F.lit(max(n, 1))).alias("cov")))
+    s = _mirrored(products(x).select("asset_i", "asset_j", (F.col("ab") / F.lit(max(n, 1))).alias("cov")))
     own = F.col("asset_i") == F.col("asset_j")
     t = s.agg(F.sum(F.when(own, F.col("cov"))).alias("trace"), F.sum(F.col("cov") * F.col("cov")).alias("norm")).first()
     if not n:
@@ -177,28 +211,34 @@ def backtest(r: DataFrame, frequency: str = "monthly", least: float = 0.01, most
     """Date, Portfolio_Return, Cumulative_Return of walk-forward max-Sharpe weights.
 
     Equal weights at first; at every k-th day with more than 50 days behind it, means over the last 252 days before it
-    give new weights. A day's return is repeated once for each rebalance that looks back on it, which keeps this an
-    equi-aggregation (252 / k rows a day) summed map-side. cost: share of turnover taken on rebalance days, off by default.
+    give new weights. Returns are summed up to the days where a look back begins or ends, and each mean is the difference
+    of two such sums: a return goes into one sum, however many rebalances look back on it. cost: share of turnover taken
+    on rebalance days, off by default.
     """
     k = EVERY.get(frequency, EVERY["monthly"])
     x = r.where(F.col("Return").isNotNull()).select(TIME, KEY, "Return")
-    w, w_cum = _series()
-    days = x.select(TIME).distinct().withColumn("i", (F.row_number().over(w) - 1).cast("int"))
+    days = blocks.numbered_all(x.select(TIME).distinct()).withColumn("i", F.col("i").cast("int"))
     x = x.join(days, TIME)
     names = x.select(KEY).distinct()
-    n = names.count()
-    last = x.agg(F.max("i")).first()[0] or 0
+    n, last = names.count(), x.agg(F.max("i")).first()[0] or 0
+    # The first day after i on which a look back ends (a multiple of k) or begins (252 days before one).
+    multiple = lambda i: F.ceil((i + 1) / k) * k
+    place = F.least(multiple(F.col("i")), multiple(F.col("i") + LOOKBACK) - LOOKBACK).cast("int")
+    sums = x.groupBy(KEY, place.alias("place")).agg(F.sum("Return").alias("s"), F.count("*").alias("c"))
+    sums = blocks.running(sums, {"s": F.col("s"), "c": F.col("c")}, time="place")
     first = (LEAST // k + 1) * k
-    ahead = F.sequence((F.floor(F.col("i") / k) * k + k).cast("int"), (F.floor((F.col("i") + LOOKBACK) / k) * k).cast("int"), F.lit(k)) if k <= LOOKBACK else F.array().cast("array<int>")
-    seen = x.select(KEY, "Return", F.explode(ahead).alias("k")).where((F.col("k") > LEAST) & (F.col("k") <= last))
-    mu = seen.groupBy("k", KEY).agg(F.avg("Return").alias("mu"))
     # Assets that did not trade in a window stand last in it: each has a row for every rebalance.
-    at = names.select(KEY, F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(k)) if first <= last and k <= LOOKBACK else F.array().cast("array<int>")).alias("k")).select("k", KEY)
-    weights = max_sharpe_weights(at.join(mu, ["k", KEY], "left"), by=["k"], least=least, most=most).select("k", KEY, "weight")
+    at = names.select(KEY, F.explode(F.sequence(F.lit(first), F.lit(last), F.lit(k)) if first <= last else F.array().cast("array<int>")).alias("k")).select("k", KEY)
+    ends = at.select("k", KEY, F.explode(F.array(F.struct(F.col("k").alias("place"), F.lit(1).alias("sign")), F.struct((F.col("k") - LOOKBACK).alias("place"), F.lit(-1).alias("sign")))).alias("e")).select("k", KEY, "e.*")
+    both = asof_join(ends, sums, ["s", "c"], time="place")
+    total = lambda c: F.sum(F.col("sign") * F.coalesce(c, F.lit(0)))
+    mu = both.groupBy("k", KEY).agg(ratio(total("s"), total("c")).alias("mu"))
+    weights = max_sharpe_weights(mu, by=["k"], least=least, most=most).select("k", KEY, "weight")
     now = x.withColumn("k", (F.floor(F.col("i") / k) * k).cast("int")).join(weights, ["k", KEY], "left")
     out = now.groupBy(TIME, "i").agg(F.sum(F.col("Return") * F.coalesce("weight", F.lit(1.0 / max(n, 1)))).alias("Portfolio_Return"))
     if cost:
         out = out.join(_turnover(weights, at, k, n), F.col("i") == F.col("k"), "left").withColumn("Portfolio_Return", F.col("Portfolio_Return") - cost * F.coalesce("traded", F.lit(0.0)))
+    _, w_cum = _series()
     return out.withColumn("Cumulative_Return", F.product(1 + F.col("Portfolio_Return")).over(w_cum) - 1).select(TIME, "Portfolio_Return", "Cumulative_Return")
 
 
