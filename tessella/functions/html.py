@@ -63,14 +63,14 @@ class Element:
             yield here
             left.extend(c for c in reversed(here.children) if not isinstance(c, str))
 
-    def text(self) -> str:
-        """All text inside, white space as it is."""
+    def text(self, without: tuple[str, ...] = ()) -> str:
+        """All text inside, white space as it is, but for elements of some tags."""
         out, left = [], [self]
         while left:
             here = left.pop()
             if isinstance(here, str):
                 out.append(here)
-            else:
+            elif here.tag not in without:
                 left.extend(reversed(here.children))
         return "".join(out)
 

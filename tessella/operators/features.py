@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,5 +118,17 @@ def mutual_information(df: DataFrame, target: str, columns: Sequence[str], bins:
     return part.groupBy("feature").agg(F.sum("i").alias("importance"))
 
 
+def forest_importance(df: DataFrame, target: str, columns: Sequence[str], trees: int = 20, depth: int = 5, seed: int = 42) -> DataFrame:
+    """feature, importance: by how much each column's splits reduce the target's variance in a random forest; they sum to 1.
+
+    Rows that are not complete are left out. Trees are grown level by level by Spark over all rows, from binned columns,
+    so only bins' sums move. The same rows and seed give the same forest.
+    """
+    full = df.select(target, *columns).dropna().select(F.col(target).cast("double").alias("label"), *(F.col(c).cast("double").alias(c) for c in columns))
+    full = VectorAssembler(inputCols=list(columns), outputCol="features").transform(full).select("label", "features")
+    model = RandomForestRegressor(numTrees=trees, maxDepth=depth, seed=seed).fit(full)
+    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+
+
 def top_features(importance: DataFrame, k: int = 10) -> DataFrame:
     return importance.orderBy(F.desc("importance"), "feature").limit(k)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import blocks
-from tessella.functions.windows import lagged, last_rows, ratio, rolling, so_far
+from tessella.functions.windows import KEY, TIME, lagged, last_rows, ratio, rolling, so_far
 from tessella.operators.returns import price_of
+from tessella.sources.scratch import settled
 
 
 def ema(df: DataFrame, means: Mapping[str, tuple[str, int]], seeded: int | None = None, index: str = "_i") -> DataFrame:
@@ -40,21 +41,28 @@ def ema(df: DataFrame, means: Mapping[str, tuple[str, int]], seeded: int | None
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, seeded: bool = False) -> DataFrame:
-    """MACD, MACD_Signal, MACD_Histogram from exponential means of the price.
+    """MACD, MACD_Signal, MACD_Histogram from exponential means of the price; df has one row for a ticker and date.
 
     seeded: both means start from simple ones that end at the first row where the slow one is full, the signal likewise
     from the first `signal` differences; all three are null before the signal is there, and on rows without a price.
     """
     p = price_of(df)
-    x = blocks.numbered(df)
+    x = settled(blocks.numbered(df.select(KEY, TIME, p)), "prices")
     x = ema(x, {"_fast": (p, fast), "_slow": (p, slow)}, max(fast, slow) if seeded else None).withColumn("MACD", F.col("_fast") - F.col("_slow"))
     if seeded:
         x = x.withColumn("MACD", F.when(F.col(p).isNotNull(), F.col("MACD")))
-    x = ema(x, {"MACD_Signal": ("MACD", signal)}, signal if seeded else None)
+    x = ema(settled(x.select(KEY, TIME, "_i", "MACD"), "macd"), {"MACD_Signal": ("MACD", signal)}, signal if seeded else None)
     if seeded:
         there = F.col("MACD").isNotNull() & F.col("MACD_Signal").isNotNull()
         x = x.withColumns({c: F.when(there, F.col(c)) for c in ("MACD", "MACD_Signal")})
-    return x.withColumn("MACD_Histogram", F.col("MACD") - F.col("MACD_Signal")).drop("_i", "_fast", "_slow")
+    return _beside(df, x.select(KEY, TIME, "MACD", "MACD_Signal", (F.col("MACD") - F.col("MACD_Signal")).alias("MACD_Histogram")))
+
+
+def _beside(df: DataFrame, found: DataFrame) -> DataFrame:
+    """df with the columns of found (Ticker, Date, ...), one row for each of its rows."""
+    names = [c for c in found.columns if c not in (KEY, TIME)]
+    found = found.withColumnsRenamed({KEY: "_of_key", TIME: "_of_time"})
+    return df.drop(*names).join(found, F.col(KEY).eqNullSafe(F.col("_of_key")) & F.col(TIME).eqNullSafe(F.col("_of_time")), "left").drop("_of_key", "_of_time")
 
 
 def macd_sma(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -73,14 +81,14 @@ def rsi(df: DataFrame, n: int = 14, wilder: bool = False) -> DataFrame:
     """
     p = price_of(df)
     if wilder:
-        x = blocks.with_halo(df, 1, lambda d: d.withColumn("_change", F.col(p) - lagged(p)), number="_i")
-        x = blocks.running(x, {"_at": F.col("_change").isNotNull().cast("long")})
+        x = blocks.with_halo(df.select(KEY, TIME, p), 1, lambda d: d.withColumn("_change", F.col(p) - lagged(p)), number="_i")
+        x = settled(blocks.running(settled(x.drop(p), "changes"), {"_at": F.col("_change").isNotNull().cast("long")}), "numbered-changes")
         part = lambda v: (
             F.when(F.col("_change").isNull() | (F.col("_at") <= n), 1.0).otherwise(1 - 1 / n), F.coalesce(v, F.lit(0.0)) / n,
         )
         x = blocks.scan(x, {"_up": part(F.greatest("_change", F.lit(0.0))), "_down": part(F.greatest(-F.col("_change"), F.lit(0.0)))})
         value = F.coalesce(100 * ratio(F.col("_up"), F.col("_up") + F.col("_down")), F.lit(0.0))
-        return x.withColumn("RSI", F.when(F.col("_at") >= n, value)).drop("_i", "_at", "_change", "_up", "_down")
+        return _beside(df, x.select(KEY, TIME, F.when(F.col("_at") >= n, value).alias("RSI")))
     change = df.withColumn("_change", F.col(p) - lagged(p))
     gain = F.when(F.col("_change") > 0, F.col("_change")).otherwise(0.0)
     loss = F.when(F.col("_change") < 0, -F.col("_change")).otherwise(0.0)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.windows import YEAR, lagged, last_rows, ratio, rolling, so_far
+from tessella.functions.windows import YEAR, lagged, last_days, last_rows, ratio, rolling, so_far
 
 WINDOWS = (5, 10, 21, 63)
 
@@ -41,6 +41,11 @@ def rolling_returns(df: DataFrame, windows: Sequence[int] = WINDOWS) -> DataFram
     return df.withColumns(out)
 
 
+def calendar_means(df: DataFrame, columns: Sequence[str] = ("Return",), days: Sequence[int] = (30, 90)) -> DataFrame:
+    """{column}_Mean_{n}d: means over the last n days by the calendar, gaps or not; null without values."""
+    return df.withColumns({f"{c}_Mean_{n}d": F.avg(c).over(last_days(n)) for c in columns for n in days})
+
+
 def compounded() -> Column:
     """Product of 1 + Return up to here, less 1."""
     return F.product(1 + F.col("Return")).over(so_far()) - 1

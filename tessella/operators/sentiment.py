@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.html import Element, parse
 from tessella.functions.windows import KEY, TIME
 
 # The stock lexicon.
@@ -26,22 +27,40 @@ NEUTRAL = {"Sentiment_Positive": 0.5, "Sentiment_Negative": 0.5, "Sentiment_Neut
 SITES = {"yahoo": ("h3", "Mb(5px)"), "reuters": ("h3", "search-result-title"), "bloomberg": ("a", "headline")}
 
 
-def _tagged(tag: str, css_class: str | None) -> str:
-    attributes = r"(?:\s[^>]*)?" if css_class is None else rf"""\s[^>]*class=["'](?:[^"']*\s)?{re.escape(css_class)}(?:\s[^"']*)?["'][^>]*"""
-    return rf"(?s)<{tag}{attributes}>(.*?)</{tag}>"
+def elements(root: Element, tag: str, css_class: str | None = None) -> list[str]:
+    """Texts of a page's elements of a tag (and class, as one of several), in page order, nested ones each for itself.
+
+    Character references are decoded, scripts and styles say nothing, and the ends are stripped.
+    """
+    found = (e for e in root.walk() if e.tag == tag and (css_class is None or css_class in e.attributes.get("class", "").split()))
+    return [e.text(without=("script", "style")).strip() for e in found]
+
+
+def _headlines(sites: Mapping[str, tuple[str, str | None]], longer_than: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, site, page = (batch.column(c).to_pylist() for c in (KEY, "site", "page_id"))
+            rows = [
+                (keys[i], site[i], page[i], at, text)
+                for i, html in enumerate(batch.column("html").to_pylist()) if site[i] in sites
+                for at, text in enumerate(elements(parse(html), *sites[site[i]])) if len(text) > longer_than
+            ]
+            types = [pa.string(), pa.string(), batch.column("page_id").type, pa.int32(), pa.string()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [KEY, "site", "page_id", "at", "headline"])
+
+    return run
 
 
 def site_headlines(pages: DataFrame, key: Column, site: Column, sites: Mapping[str, tuple[str, str | None]] = SITES, longer_than: int = 10, limit: int = 10) -> DataFrame:
     """Ticker, headline of pages (page_id, html): texts of each site's own tag, stripped, `limit` per key and site in page order.
 
-    Pages of other sites have no headlines. All sites are read in one scan, and the limit is a group limit, which Spark
-    applies before it shuffles.
+    Pages of other sites have no headlines. Pages are read as trees, one at a time, and only headlines go on; the limit is a
+    group limit, which Spark applies before it shuffles.
     """
-    found = F.array().cast("array<string>")
-    for name, (tag, css_class) in sites.items():
-        found = F.when(F.col("site") == name, F.regexp_extract_all("html", F.lit(_tagged(tag, css_class)), F.lit(1))).otherwise(found)
-    rows = pages.select(key.alias(KEY), site.alias("site"), "page_id", "html").select(KEY, "site", "page_id", F.posexplode(found).alias("at", "raw"))
-    rows = rows.withColumn("headline", F.trim(F.regexp_replace("raw", "<[^>]+>", ""))).where(F.length("headline") > longer_than)
+    rows = pages.select(key.cast("string").alias(KEY), site.cast("string").alias("site"), "page_id", "html")
+    kind = rows.schema["page_id"].dataType.simpleString()
+    rows = rows.where(F.col("site").isin(*sites)).mapInArrow(_headlines(sites, longer_than), f"{KEY} string, site string, page_id {kind}, at int, headline string")
     rank = F.row_number().over(Window.partitionBy(KEY, "site").orderBy("page_id", "at"))
     return rows.withColumn("n", rank).where(F.col("n") <= limit).select(KEY, "headline")
 

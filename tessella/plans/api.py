@@ -65,6 +65,15 @@ def suggestions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, t) for k, ts in SUGGESTIONS.items() for t in ts], "kind string, ticker string")
 
 
+def mentions(listed: DataFrame, texts: DataFrame) -> DataFrame:
+    """kind, ticker, documents: how many texts hold each listed name, letters in either case; listed is a fixed, short table."""
+    names = [r.ticker for r in listed.select("ticker").distinct().collect()]
+    low = F.lower("text")
+    counts = texts.agg(*(F.count(F.when(F.contains(low, F.lit(n.lower())), 1)).alias(f"n{i}") for i, n in enumerate(names)))
+    rows = counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("ticker"), F.col(f"n{i}").alias("documents")) for i, n in enumerate(names)))).alias("x")).select("x.*")
+    return listed.join(rows, "ticker").select("kind", "ticker", "documents")
+
+
 def methods(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in METHODS.items()], "method string, name string, description string, best_for string")
 

@@ -18,7 +18,7 @@ DEFAULTS: dict[str, Any] = {
         "technical": {"macd": {"fast_period": 12, "slow_period": 26, "signal_period": 9}, "rsi": {"period": 14}, "bollinger_bands": {"period": 20, "std_dev": 2}},
         "rolling": {"windows": [5, 10, 21, 63], "metrics": ["mean", "std", "min", "max", "skew", "kurtosis"]},
     },
-    "models": {"baseline": {"optimization_method": "max_sharpe", "rebalance_frequency": "monthly", "transaction_costs": 0.001}},
+    "models": {"monte_carlo": {"confidence_levels": [0.05, 0.1, 0.9, 0.95]}, "baseline": {"optimization_method": "max_sharpe", "rebalance_frequency": "monthly", "transaction_costs": 0.001}},
     "evaluation": {"metrics": {"risk_free_rate": 0.02, "confidence_level": 0.95}},
 }
 #: Environment variable -> path and type.
@@ -44,7 +44,15 @@ class Config:
         return cls(json.loads(text))
 
     def save(self, path: str) -> None:
+        """As YAML by a name that ends so, where a YAML writer is installed; else as JSON."""
         Path(path).parent.mkdir(parents=True, exist_ok=True)
+        if path.endswith((".yaml", ".yml")):
+            try:
+                import yaml
+            except ImportError as e:
+                raise ValueError("no YAML writer is installed; use JSON") from e
+            Path(path).write_text(yaml.safe_dump(self.values, sort_keys=False))
+            return
         Path(path).write_text(json.dumps(self.values, indent=2))
 
     def get(self, path: str, default: Any = None) -> Any:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.windows import KEY, TIME
-from tessella.operators import adjust, clean, features, indicators, optimize, portfolio, returns, risk, sentiment
+from tessella.operators import adjust, clean, features, indicators, information, optimize, portfolio, returns, risk, sentiment
 from tessella.plans import api, pipeline
 from tessella.sources import io
 from tessella.sources.panel import BENCHMARK, BONDS, SPLIT_DAY, bonds, panel, read, with_adjusted_close, with_gaps
@@ -131,9 +131,12 @@ def scan_fallback(s, d):
     return keyed(io.first_of(s, [(f"{path}-cleaned", "parquet"), (path, "csv")], schema), "Open", "High", "Low", "Close", "Volume")
 
 
+_decoded = lambda x: f"regexp_replace(replace({x}, '&quot;', chr(34)), '&amp;?', '&', 'g')"
+
+
 @query(f"""WITH h AS (SELECT CAST(page_id % 5 AS VARCHAR) AS Ticker, page_id, unnest(regexp_extract_all(html, '(?s)<a(?:\\s[^>]*)?>(.*?)</a>', 1)) AS raw,
   unnest(range(0, len(regexp_extract_all(html, '(?s)<a(?:\\s[^>]*)?>(.*?)</a>', 1)))) AS nr FROM pages),
-t AS (SELECT Ticker, page_id, nr, trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS headline FROM h)
+t AS (SELECT Ticker, page_id, nr, trim({_decoded("regexp_replace(raw, '<[^>]+>', '', 'g')")}) AS headline FROM h)
 SELECT Ticker, headline FROM (SELECT *, row_number() OVER (PARTITION BY Ticker ORDER BY page_id, nr) AS n FROM t WHERE length(headline) > 10) WHERE n <= 10""")
 def headlines_extract(s, d):
     return sentiment.headlines(read(s, d, "pages"), (F.col("page_id") % 5).cast("string"), tag="a")
@@ -149,11 +152,18 @@ windowed("adjustment_factors", adjust.factors, {"Total_Adj_Factor": "k", "Split_
 windowed("apply_adjustments", adjust.apply, {**{f"{c}_Adj": f"{c} * k" for c in OHLC[:-1]}, "Close_Adj": "adj"}, adjusted, ADJ, "f")
 windowed("apply_adjustments_manual", lambda df: adjust.apply(df, False), {f"{c}_Adj": f"{c} * k" for c in OHLC}, adjusted, ADJ, "f")
 windowed("apply_adjustments_plain", adjust.apply, {f"{c}_Adj": c for c in OHLC}, prices, PANEL, "panel")
-windowed(
-    "feature_interactions", lambda df: features.interactions(risk.volatility(adjust.apply(df), [21])),
-    {"Price_Volume_Interaction": "Close * Volume", "Volume_Price_Ratio": "Volume / nullif(Close, 0)", "Volatility_Return_Interaction": "vol * ret", "Return_Volatility_Ratio": "ret / nullif(vol, 0)"},
-    ctes=RETURNS + f", x AS (SELECT *, {roll('stddev', 'ret', 21)} * sqrt(252) AS vol FROM r)", rel="x",
-)
+_trades = f"""{RETURNS}, x0 AS (SELECT *, {roll('stddev', 'ret', 21)} * sqrt(252) AS vol, CASE WHEN Close > prev THEN Close - prev ELSE 0 END AS gain, CASE WHEN Close < prev THEN prev - Close ELSE 0 END AS loss,
+  avg(Close) OVER ({W} ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) - avg(Close) OVER ({W} ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS m FROM r),
+x1 AS (SELECT *, {roll('avg', 'gain', 14)} AS up, {roll('avg', 'loss', 14)} AS down FROM x0),
+x2 AS (SELECT *, CASE WHEN down = 0 AND up > 0 THEN 100 ELSE 100 - 100 / nullif(1 + up / nullif(down, 0), 0) END AS rsi FROM x1)"""
+
+
+def _interacting(s: SparkSession, d: str) -> DataFrame:
+    """A panel with everything that interacts: adjusted prices, volatility, RSI, MACD by simple means, sentiment."""
+    x = indicators.rsi(indicators.macd_sma(risk.volatility(adjust.apply(log_returns(s, d)), [21])))
+    return features.interactions(sentiment.add_sentiment(x, _scores(s, d)))
+
+
 gappy = lambda s, d: with_gaps(prices(s, d))
 windowed("fill_zero", clean.fill_zero, {"Close": "coalesce(Close, 0)", "Volume": "coalesce(Volume, 0)"}, gappy, GAPS, "g")
 
@@ -183,8 +193,10 @@ def rebalance_dates(s, d):
 
 def _bond_sql(carry: bool) -> str:
     cols = [f'max(CASE WHEN y.Ticker = \'{t}\' THEN Yield END) AS "{t}_Yield"' for t in BONDS]
-    value = lambda t: f'last_value("{t}_Yield" IGNORE NULLS) OVER ({W} ROWS UNBOUNDED PRECEDING)' if carry else f'"{t}_Yield"'
-    return f"{YIELDS}, w AS (SELECT Date, {', '.join(cols)} FROM y GROUP BY Date), j AS (SELECT panel.Ticker AS Ticker, panel.Date AS Date, w.* EXCLUDE (Date) FROM panel LEFT JOIN w ON panel.Date = w.Date) SELECT Ticker, Date, {', '.join(rnd(value(t), t + '_Yield') for t in BONDS)} FROM j"
+    if carry:
+        each = [f"ASOF LEFT JOIN (SELECT Date AS d{i}, Yield AS y{i} FROM y WHERE Ticker = '{t}' AND Yield IS NOT NULL) ON Date >= d{i}" for i, t in enumerate(BONDS)]
+        return f"{YIELDS} SELECT Ticker, Date, {', '.join(rnd(f'y{i}', t + '_Yield') for i, t in enumerate(BONDS))} FROM panel {' '.join(each)}"
+    return f"{YIELDS}, w AS (SELECT Date, {', '.join(cols)} FROM y GROUP BY Date), j AS (SELECT panel.Ticker AS Ticker, panel.Date AS Date, w.* EXCLUDE (Date) FROM panel LEFT JOIN w ON panel.Date = w.Date) SELECT Ticker, Date, {', '.join(rnd(f'"{t}_Yield"', t + '_Yield') for t in BONDS)} FROM j"
 
 
 @query(_bond_sql(False))
@@ -245,6 +257,17 @@ def sentiment_join(s, d):
     return keyed(sentiment.add_sentiment(prices(s, d), _scores(s, d)), *sentiment.NEUTRAL)
 
 
+_products = {
+    "Price_Volume_Interaction": "Close * Volume", "Volume_Price_Ratio": "Volume / nullif(Close, 0)", "Volatility_Return_Interaction": "vol * ret", "Return_Volatility_Ratio": "ret / nullif(vol, 0)",
+    "RSI_MACD_Interaction": "rsi * m", "Sentiment_Return_Interaction": "(pos - neg) * ret",
+}
+
+
+@query(f"{SCORES}, {_trades.removeprefix(PANEL + ',')} SELECT x2.Ticker AS Ticker, Date, {', '.join(rnd(x, c) for c, x in _products.items())} FROM x2 JOIN sc ON x2.Ticker = sc.Ticker")
+def feature_interactions(s, d):
+    return keyed(_interacting(s, d), *_products)
+
+
 _by_day = "OVER (PARTITION BY Date)"
 
 
@@ -259,7 +282,7 @@ PAGE_SITES = {"0": ("a", None), "1": ("h1", None), "2": ("li", None)}
 _by_site = " ".join(f"WHEN page_id % 3 = {k} THEN regexp_extract_all(html, '(?s)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}>', 1)" for k, (tag, _) in PAGE_SITES.items())
 PAGE_NEWS = f"""WITH h0 AS (SELECT page_id, [{', '.join(f"'{t}'" for t in TICKERS)}][CAST(page_id % 4 AS INT) + 1] AS Ticker, page_id % 3 AS site, CASE {_by_site} END AS raws FROM pages),
 h1 AS (SELECT Ticker, site, page_id, unnest(raws) AS raw, unnest(range(0, len(raws))) AS nr FROM h0),
-h2 AS (SELECT *, trim(regexp_replace(raw, '<[^>]+>', '', 'g')) AS text FROM h1),
+h2 AS (SELECT *, trim({_decoded("regexp_replace(raw, '<[^>]+>', '', 'g')")}) AS text FROM h1),
 h3 AS (SELECT Ticker, text FROM (SELECT *, row_number() OVER (PARTITION BY Ticker, site ORDER BY page_id, nr) AS n FROM h2 WHERE length(text) > 10) WHERE n <= 10),
 n0 AS (SELECT Ticker, CAST({_found(LEXICON[0])} AS DOUBLE) AS p, CAST({_found(LEXICON[1])} AS DOUBLE) AS n FROM h3),
 n1 AS (SELECT Ticker, CASE WHEN p + n > 0 THEN p / (p + n) ELSE 0.5 END AS pos, CASE WHEN p + n > 0 THEN n / (p + n) ELSE 0.5 END AS neg,
@@ -432,7 +455,7 @@ windowed("return_lags", returns.lags, {f"Return_Lag{k}": f"lag(ret, {k}) OVER ({
 windowed("basic_features", returns.basic_features, {**{f"Return_Lag{k}": f"lag(ret, {k}) OVER ({W})" for k in range(1, 6)}, "Volatility": roll("stddev", "ret", 21), "Rolling_Mean_Return": roll("avg", "ret", 21), "Rolling_Sharpe": f"({roll('avg', 'ret', 21)}) / nullif({roll('stddev', 'ret', 21)}, 0)", "Cumulative_Return": over("product(1 + ret)") + " - 1"})
 windowed("lag_features", features.lag_features, {f"{c}_Lag_{k}": f"lag({x}, {k}) OVER ({W})" for c, x in (*((c, c) for c in ("Open", "High", "Low", "Close", "Volume")), ("Return", "ret")) for k in features.LAGS})
 _stat = {"Mean": "avg", "Std": "stddev", "Min": "min", "Max": "max", "Skew": "skewness", "Kurtosis": "kurtosis"}
-windowed("rolling_stats", lambda df: features.rolling_stats(df, ["Return", "Volume"]), {f"{c}_Rolling_{k}_{n}": roll(f, x, n) for c, x in (("Return", "ret"), ("Volume", "Volume")) for k, f in _stat.items() for n in returns.WINDOWS})
+windowed("rolling_stats", features.rolling_stats, {f"{c}_Rolling_{k}_{n}": roll(f, x, n) for c, x in (*((c, c) for c in _cells), ("Return", "ret")) for k, f in _stat.items() for n in returns.WINDOWS})
 windowed("volatility", risk.volatility, {f"Volatility_{n}": f"({roll('stddev', 'ret', n)}) * sqrt(252)" for n in returns.WINDOWS})
 windowed("vol_of_vol", risk.volatility, {f"Vol_Vol_{n}": roll("stddev", f"vol{n}", n) for n in returns.WINDOWS}, ctes=RETURNS + ", x AS (SELECT *, " + ", ".join(f"({roll('stddev', 'ret', n)}) * sqrt(252) AS vol{n}" for n in returns.WINDOWS) + " FROM r)", rel="x")
 windowed("rolling_std", risk.rolling_std, {f"Return_Std_{n}": roll("stddev", "ret", n) for n in returns.WINDOWS})
@@ -478,15 +501,52 @@ _change = RETURNS + ", x0 AS (SELECT *, CASE WHEN Close > prev THEN Close - prev
 windowed("rsi", indicators.rsi, {"RSI": "CASE WHEN down = 0 AND up > 0 THEN 100 ELSE 100 - 100 / nullif(1 + up / nullif(down, 0), 0) END"}, prices, _change, "x")
 
 
-@query(f"""{PANEL}, i AS (SELECT Ticker, Date, Close, row_number() OVER ({W}) AS i FROM panel),
-e AS (SELECT a.Ticker AS Ticker, a.Date AS Date, a.i AS i, sum(pow(1 - 2 / 13.0, a.i - b.i) * b.Close) / sum(pow(1 - 2 / 13.0, a.i - b.i)) - sum(pow(1 - 2 / 27.0, a.i - b.i) * b.Close) / sum(pow(1 - 2 / 27.0, a.i - b.i)) AS m
-  FROM i a JOIN i b ON a.Ticker = b.Ticker AND b.i <= a.i AND b.i > a.i - 540 GROUP BY a.Ticker, a.Date, a.i),
-g AS (SELECT a.Ticker AS Ticker, a.Date AS Date, any_value(a.m) AS m, sum(pow(1 - 2 / 10.0, a.i - b.i) * b.m) / sum(pow(1 - 2 / 10.0, a.i - b.i)) AS s FROM e a JOIN e b ON a.Ticker = b.Ticker AND b.i <= a.i AND b.i > a.i - 200 GROUP BY a.Ticker, a.Date)
-SELECT Ticker, Date, {rnd('m', 'MACD')}, {rnd('s', 'MACD_Signal')}, {rnd('m - s', 'MACD_Histogram')} FROM g""")
+def _recursive(ctes: str, states: dict[str, tuple[str, str]], rel: str) -> str:
+    """g: rel (Ticker, Date, i from 1, ...) with states name -> (first, next), over the whole history row by row; p is the row before."""
+    first, later = (", ".join(f"CAST({x[k]} AS DOUBLE) AS {c}" for c, x in states.items()) for k in range(2))
+    return f"{ctes.replace('WITH ', 'WITH RECURSIVE ', 1)}, g AS (SELECT x.*, {first} FROM {rel} x WHERE i = 1 UNION ALL SELECT x.*, {later} FROM g p JOIN {rel} x ON x.Ticker = p.Ticker AND x.i = p.i + 1)"
+
+
+_row = PANEL + f", n0 AS (SELECT Ticker, Date, Close, row_number() OVER ({W}) AS i FROM panel)"
+_keep = lambda n: f"(1 - 2 / CAST({n + 1} AS DOUBLE))"
+_fastslow = "(p.nf * {f} + x.Close) / (p.df * {f} + 1) - (p.ns * {s} + x.Close) / (p.ds * {s} + 1)".format(f=_keep(12), s=_keep(26))
+_ema = {
+    "nf": ("Close", f"p.nf * {_keep(12)} + x.Close"), "df": ("1", f"p.df * {_keep(12)} + 1"), "ns": ("Close", f"p.ns * {_keep(26)} + x.Close"), "ds": ("1", f"p.ds * {_keep(26)} + 1"),
+    "m": ("0", _fastslow), "ng": ("0", f"p.ng * {_keep(9)} + {_fastslow}"), "dg": ("1", f"p.dg * {_keep(9)} + 1"),
+}
+
+
+@query(f"{_recursive(_row, _ema, 'n0')} SELECT Ticker, Date, {rnd('m', 'MACD')}, {rnd('ng / dg', 'MACD_Signal')}, {rnd('m - ng / dg', 'MACD_Histogram')} FROM g")
 def macd(s, d):
     return keyed(indicators.macd(prices(s, d)), "MACD", "MACD_Signal", "MACD_Histogram")
 
 
+_mean = lambda n, c="Close": f"avg({c}) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+_seed = _row + f", n1 AS (SELECT *, {_mean(12)} AS f0, {_mean(26)} AS s0 FROM n0 ORDER BY Ticker, Date)"
+_move = lambda y, x, n: f"(p.{y} + 2 / CAST({n + 1} AS DOUBLE) * ({x} - p.{y}))"
+_seeded = {
+    "ef": ("0", f"CASE WHEN x.i <= 26 THEN x.f0 ELSE {_move('ef', 'x.Close', 12)} END"), "es": ("0", f"CASE WHEN x.i <= 26 THEN x.s0 ELSE {_move('es', 'x.Close', 26)} END"),
+    "sm": ("0", "CASE WHEN x.i = 26 THEN x.f0 - x.s0 WHEN x.i BETWEEN 27 AND 34 THEN p.sm + " + f"{_move('ef', 'x.Close', 12)} - {_move('es', 'x.Close', 26)} ELSE 0 END"),
+    "sg": ("0", f"CASE WHEN x.i < 34 THEN 0 WHEN x.i = 34 THEN (p.sm + {_move('ef', 'x.Close', 12)} - {_move('es', 'x.Close', 26)}) / 9 ELSE p.sg + 2 / CAST(10 AS DOUBLE) * ({_move('ef', 'x.Close', 12)} - {_move('es', 'x.Close', 26)} - p.sg) END"),
+}
+
+
+@query(f"{_recursive(_seed, _seeded, 'n1')} SELECT Ticker, Date, {rnd('CASE WHEN i >= 34 THEN ef - es END', 'MACD')}, {rnd('CASE WHEN i >= 34 THEN sg END', 'MACD_Signal')}, {rnd('CASE WHEN i >= 34 THEN ef - es - sg END', 'MACD_Histogram')} FROM g")
+def ema_seeded(s, d):
+    return keyed(indicators.macd(prices(s, d), seeded=True), "MACD", "MACD_Signal", "MACD_Histogram")
+
+
+_wilder = PANEL + f""", n0 AS (SELECT Ticker, Date, Close - lag(Close) OVER ({W}) AS d, row_number() OVER ({W}) AS i FROM panel),
+n1 AS (SELECT *, greatest(coalesce(d, 0), 0) AS u, greatest(coalesce(-d, 0), 0) AS w FROM n0)"""
+_up = lambda y, x: ("0", f"CASE WHEN x.i <= 15 THEN p.{y} + x.{x} / 14 ELSE (p.{y} * 13 + x.{x}) / 14 END")
+
+
+@query(f"{_recursive(_wilder, {'up': _up('up', 'u'), 'down': _up('down', 'w')}, 'n1')} SELECT Ticker, Date, {rnd('CASE WHEN i > 14 THEN coalesce(100 * up / nullif(up + down, 0), 0) END', 'RSI')} FROM g")
+def rsi_wilder(s, d):
+    return keyed(indicators.rsi(prices(s, d), wilder=True), "RSI")
+
+
+windowed("bollinger_population", lambda df: indicators.bollinger(df, population=True), {"BB_Upper": "mid + 2 * sd", "BB_Lower": "mid - 2 * sd"}, prices, PANEL + f", x AS (SELECT *, {roll('avg', 'Close', 20)} AS mid, {roll('stddev_pop', 'Close', 20)} AS sd FROM panel)", "x", digits=9)
 _sma = lambda x, n: f"avg({x}) OVER ({W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 windowed("macd_sma", indicators.macd_sma, {"EMA_Fast": "fast", "EMA_Slow": "slow", "MACD": "fast - slow", "MACD_Signal": _sma("fast - slow", 9), "MACD_Histogram": f"fast - slow - {_sma('fast - slow', 9)}"}, prices, PANEL + f", x AS (SELECT *, {_sma('Close', 12)} AS fast, {_sma('Close', 26)} AS slow FROM panel)", "x", digits=9)
 windowed("bollinger", indicators.bollinger, {"BB_Middle": "mid", "BB_Upper": "mid + 2 * sd", "BB_Lower": "mid - 2 * sd", "BB_Position": "(Close - (mid - 2 * sd)) / nullif(mid + 2 * sd - (mid - 2 * sd), 0)"}, prices, PANEL + f", x AS (SELECT *, {roll('avg', 'Close', 20)} AS mid, {roll('stddev', 'Close', 20)} AS sd FROM panel)", "x", digits=9)
@@ -524,7 +584,21 @@ def ml_ready_assets(s, d):
 
 @query()
 def feature_pipeline(s, d):
-    return pipeline.engineer(log_returns(s, d), columns=["Return"], benchmark=BENCHMARK)
+    return pipeline.engineer(log_returns(s, d), benchmark=BENCHMARK)
+
+
+windowed("calendar_mean", lambda df: returns.calendar_means(df, ("Close", "Return"), (21, 90)), {f"{c}_Mean_{n}d": f"avg({x}) OVER (PARTITION BY Ticker ORDER BY Date RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)" for c, x in (("Close", "Close"), ("Return", "ret")) for n in (21, 90)}, digits=9)
+
+
+@query(f"""{RETURNS}, m AS (SELECT Ticker, CAST(date_trunc('month', Date) AS DATE) AS Month, ret FROM r WHERE ret IS NOT NULL), k AS (SELECT DISTINCT Ticker AS kt, Month AS km FROM m)
+SELECT kt AS Ticker, km AS Month, count(*) AS n, {', '.join(rnd(f'quantile_disc(ret, {a})', f'VaR_{a}') for a in (0.05, 0.1))} FROM k JOIN m ON Ticker = kt AND Month <= km AND Month > km - INTERVAL 12 MONTHS GROUP BY kt, km""")
+def var_sketched(s, d):
+    return rounded(risk.var_sketched(log_returns(s, d), (0.05, 0.1)))
+
+
+@query()
+def feature_importance_forest(s, d):
+    return features.forest_importance(log_returns(s, d), "Return", _cells)
 
 
 # Order, limits, unions
@@ -548,15 +622,16 @@ def union_panels(s, d):
 
 # Features
 
-_scaled = ("Open", "Close", "Volume")
+_scaled = _cells
 windowed("scale_standard", lambda df: features.scale_standard(df, _scaled), {f"{c}_Scaled": f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER ()" for c in _scaled}, prices, PANEL, "panel")
 
 
-@query(f"{PANEL} SELECT Ticker, Date, {rnd('Close / stddev_samp(Close) OVER ()', 'scaled')} FROM panel")
+@query(f"{PANEL} SELECT Ticker, Date, {', '.join(rnd(f'{c} / stddev_samp({c}) OVER ()', f'{c}_Scaled') for c in _cells)} FROM panel")
 def scale_vector(s, d):
     from pyspark.ml.functions import vector_to_array
 
-    return keyed(features.scale_vector(prices(s, d), ["Close", "Volume"]).withColumn("scaled", vector_to_array("scaled_features")[0]), "scaled")
+    x = features.scale_vector(prices(s, d), _cells)
+    return keyed(x.withColumns({f"{c}_Scaled": vector_to_array("scaled_features")[i] for i, c in enumerate(_cells)}), *(f"{c}_Scaled" for c in _cells))
 
 
 @query(f"{PANEL}, c AS (" + " UNION ALL ".join(f"SELECT '{b}' AS col, corr({a}, {b}) AS x FROM panel" for a, b in _pairs) + ') SELECT DISTINCT col AS "column" FROM c WHERE abs(x) > 0.5')
@@ -582,6 +657,19 @@ def feature_importance_topk(s, d):
     return rounded(features.top_features(features.mutual_information(log_returns(s, d), "Return", ["Close", "Volume"]), 1))
 
 
+_knn = f"""{RETURNS}, f AS (SELECT row_number() OVER (ORDER BY Ticker, Date) AS id, ret AS y, {', '.join(_cells)} FROM r WHERE ret IS NOT NULL),
+u AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, id, {c} AS x, y, (SELECT 1 / stddev_pop({c}) FROM f) AS cx, (SELECT 1 / stddev_pop(y) FROM f) AS cy FROM f" for c in _cells)}),
+d AS (SELECT a.feature AS feature, a.id AS id, any_value(a.x) AS x, any_value(a.y) AS y, any_value(a.cx) AS cx, any_value(a.cy) AS cy, list_max(min(greatest(abs(b.x - a.x) * a.cx, abs(b.y - a.y) * a.cy), 3)) AS r
+  FROM u a JOIN u b ON a.feature = b.feature AND a.id <> b.id GROUP BY a.feature, a.id),
+c AS (SELECT a.feature AS feature, a.id AS id, count(*) FILTER (abs(b.x - a.x) * a.cx < r OR b.x = a.x) AS nx, count(*) FILTER (abs(b.y - a.y) * a.cy < r OR b.y = a.y) AS ny FROM d a JOIN u b ON a.feature = b.feature GROUP BY a.feature, a.id),
+psi AS (SELECT n, CAST(-0.5772156649015329 AS DOUBLE) + coalesce(sum(1 / CAST(n AS DOUBLE)) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p FROM (SELECT unnest(range(1, (SELECT count(*) + 2 FROM f))) AS n))"""
+
+
+@query(f"{_knn} SELECT feature, {rnd('greatest(0, (SELECT p FROM psi WHERE n = (SELECT count(*) FROM f)) + (SELECT p FROM psi WHERE n = 3) - avg(a.p + b.p))', 'importance')} FROM c JOIN psi a ON nx = a.n JOIN psi b ON ny = b.n GROUP BY feature")
+def feature_importance_knn(s, d):
+    return rounded(information.knn_information(log_returns(s, d), "Return", _cells))
+
+
 # Allocation and backtests
 
 _alloc = lambda mu, by="": f"CAST(0.01 AS DOUBLE) + greatest(0, least(CAST(0.49 AS DOUBLE), 1 - count(*) OVER ({by}) * CAST(0.01 AS DOUBLE) - (row_number() OVER ({by} ORDER BY {mu} DESC NULLS LAST, Ticker) - 1) * CAST(0.49 AS DOUBLE)))"
@@ -629,12 +717,22 @@ SELECT Date, {rnd('x', 'Portfolio_Return')}, {rnd('product(1 + x) OVER (ORDER BY
 for _name, _k in portfolio.EVERY.items():
     QUERIES[f"backtest_{_name}"] = lambda s, d, f=_name: rounded(portfolio.backtest(long(s, d), f))
     ORACLES[f"backtest_{_name}"] = _backtest_sql(_k)
-_target = {t: w for t, w in zip(TICKERS, (0.5, 0.2, 0.1, 0.1, 0.1), strict=True)}
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS Ticker, {rnd(f'{w} - 0.2', 'change')}, {rnd(w, 'new_weight')}, {rnd('0.0006', 'transaction_costs')}, {rnd('0.3', 'turnover')}" for t, w in _target.items()))
+def _weights_of(s: SparkSession, d: str, start: str, end: str) -> DataFrame:
+    """Best weights by the returns of a span of days."""
+    return portfolio.max_sharpe_weights(portfolio.expected_returns(clean.between(long(s, d), start, end))).select(KEY, "weight")
+
+
+_half = lambda name, start, end: f"{name}0 AS (SELECT Ticker, avg(ret) AS mu FROM r WHERE Date >= DATE '{start}' AND Date < DATE '{end}' GROUP BY Ticker), {name} AS (SELECT Ticker, {_alloc('mu')} AS weight FROM {name}0)"
+_halves = ("1995-01-01", "1998-01-01", "2002-01-01")
+
+
+@query(f"""{RETURNS}, {_half('had', *_halves[:2])}, {_half('next', *_halves[1:])}, x AS (SELECT coalesce(had.Ticker, next.Ticker) AS Ticker, next.weight - had.weight AS change, next.weight AS new_weight FROM had FULL JOIN next ON had.Ticker = next.Ticker)
+SELECT Ticker, {rnd('change', 'change')}, {rnd('new_weight', 'new_weight')}, {rnd('0.001 * (SELECT sum(abs(change)) FROM x)', 'transaction_costs')}, {rnd('0.5 * (SELECT sum(abs(change)) FROM x)', 'turnover')} FROM x""")
 def rebalance(s, d):
-    trades, sums = portfolio.rebalance(_equal(s), s.createDataFrame(list(_target.items()), "Ticker string, weight double"))
+    """From the best weights of one span to those of the next."""
+    trades, sums = portfolio.rebalance(_weights_of(s, d, *_halves[:2]), _weights_of(s, d, *_halves[1:]))
     x = sums.first()
     return rounded(trades.withColumns({"transaction_costs": F.lit(x.transaction_costs), "turnover": F.lit(x.turnover)}))
 
@@ -655,14 +753,21 @@ def api_optimize(s, d):
     return rounded(api.optimise(prices(s, d), DAYS | {"tickers": list(TICKERS)})[0])
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, '{t}' AS ticker" for k, ts in api.SUGGESTIONS.items() for t in ts))
+_listed = " UNION ALL ".join(f"SELECT '{k}' AS kind, {i} AS nr, '{t}' AS ticker" for k, ts in api.SUGGESTIONS.items() for i, t in enumerate(ts))
+
+
+@query(f"WITH s AS ({_listed}), c AS (SELECT kind, nr, ticker, count(doc_id) AS n FROM s LEFT JOIN documents ON contains(lower(text), lower(ticker)) GROUP BY kind, nr, ticker) SELECT kind, ticker, CAST(n AS BIGINT) AS documents FROM c")
 def api_suggestions(s, d):
-    return api.suggestions(s)
+    """What the service suggests, with the number of documents that name it."""
+    return api.mentions(api.suggestions(s), read(s, d, "documents").select("text"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{k}' AS method, '{v[0]}' AS name, '{v[1]}' AS description, '{v[2]}' AS best_for" for k, v in api.METHODS.items()))
+@query(f"{RETURNS}, m AS (SELECT Ticker, 252 * avg(ret) AS mu FROM r GROUP BY Ticker), w AS (SELECT {_alloc('mu')} AS weight, mu FROM m) " + " UNION ALL ".join(f"SELECT '{k}' AS method, '{v[0]}' AS name, '{v[1]}' AS description, '{v[2]}' AS best_for, {rnd('(SELECT sum(weight * mu) FROM w)', 'expected_return') if k == 'max_sharpe' else rnd('NULL', 'expected_return')}" for k, v in api.METHODS.items()))
 def api_methods(s, d):
-    return api.methods(s)
+    """The methods of the service; the default one with what it promises for the panel."""
+    mu, _ = portfolio.annualized(long(s, d))
+    best = portfolio.max_sharpe_weights(mu).agg(F.sum(F.col("weight") * F.col("mu")).alias("expected_return")).withColumn("method", F.lit("max_sharpe"))
+    return rounded(api.methods(s).join(best, "method", "left"))
 
 
 @query("""SELECT event_type AS Ticker, CAST(ts AS DATE) AS Date, round(min_by(value, ts), 6) AS "Open", round(max(value), 6) AS "High", round(min(value), 6) AS "Low", round(max_by(value, ts), 6) AS "Close", CAST(count(*) AS DOUBLE) AS "Volume" FROM events GROUP BY event_type, CAST(ts AS DATE)""")
