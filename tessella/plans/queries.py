@@ -689,6 +689,12 @@ def _optimized(method: str):
 
 
 QUERIES["opt_min_variance"] = _optimized("min_variance")
+# Where no bound is met, as here, the weights are the rows' sums of the inverse, by elimination one asset at a time, scaled to 1.
+ORACLES["opt_min_variance"] = f"""{RETURNS.replace('WITH ', 'WITH RECURSIVE ', 1)}, {COV},
+a AS (SELECT asset_i, list_append(list(cov ORDER BY asset_j), CAST(1 AS DOUBLE)) AS line FROM c GROUP BY asset_i), m0 AS (SELECT list(line ORDER BY asset_i) AS m, list(asset_i ORDER BY asset_i) AS names FROM a),
+e AS (SELECT 0 AS k, m, names FROM m0 UNION ALL SELECT k + 1, list_transform(m, lambda l, i: list_transform(l, lambda v, j: CASE WHEN i = k + 1 THEN v / m[k + 1][k + 1] ELSE v - l[k + 1] * m[k + 1][j] / m[k + 1][k + 1] END)), names FROM e WHERE k < len(names)),
+z AS (SELECT unnest(names) AS Ticker, unnest(list_transform(m, lambda l: l[len(l)])) AS z FROM e WHERE k = len(names))
+SELECT Ticker, {rnd('z / sum(z) OVER ()', 'weight', 4)} FROM z"""
 QUERIES["opt_max_return"] = _optimized("max_return")
 ORACLES["opt_max_return"] = f"{RETURNS}, m AS (SELECT Ticker, row_number() OVER (ORDER BY avg(ret) DESC, Ticker) AS k FROM r GROUP BY Ticker) SELECT Ticker, {rnd('CASE WHEN k <= 2 THEN 0.4 WHEN k = 3 THEN 0.2 ELSE 0 END', 'weight', 4)} FROM m"
 
