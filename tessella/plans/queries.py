@@ -455,7 +455,11 @@ windowed("return_lags", returns.lags, {f"Return_Lag{k}": f"lag(ret, {k}) OVER ({
 windowed("basic_features", returns.basic_features, {**{f"Return_Lag{k}": f"lag(ret, {k}) OVER ({W})" for k in range(1, 6)}, "Volatility": roll("stddev", "ret", 21), "Rolling_Mean_Return": roll("avg", "ret", 21), "Rolling_Sharpe": f"({roll('avg', 'ret', 21)}) / nullif({roll('stddev', 'ret', 21)}, 0)", "Cumulative_Return": over("product(1 + ret)") + " - 1"})
 windowed("lag_features", features.lag_features, {f"{c}_Lag_{k}": f"lag({x}, {k}) OVER ({W})" for c, x in (*((c, c) for c in ("Open", "High", "Low", "Close", "Volume")), ("Return", "ret")) for k in features.LAGS})
 _stat = {"Mean": "avg", "Std": "stddev", "Min": "min", "Max": "max", "Skew": "skewness", "Kurtosis": "kurtosis"}
-windowed("rolling_stats", features.rolling_stats, {f"{c}_Rolling_{k}_{n}": roll(f, x, n) for c, x in (*((c, c) for c in _cells), ("Return", "ret")) for k, f in _stat.items() for n in returns.WINDOWS})
+# Prices less 100: moments of what varies, not of what is alike, which would cost four digits; at 8 decimals means end in no halves.
+windowed(
+    "rolling_stats", features.rolling_stats, {f"{c}_Rolling_{k}_{n}": roll(f, x, n) for c, x in (*((c, f"({c} - 100)") for c in OHLC), ("Volume", "Volume"), ("Return", "ret")) for k, f in _stat.items() for n in returns.WINDOWS},
+    lambda s, d: log_returns(s, d).withColumns({c: F.col(c) - 100 for c in OHLC}), digits=8,
+)
 windowed("volatility", risk.volatility, {f"Volatility_{n}": f"({roll('stddev', 'ret', n)}) * sqrt(252)" for n in returns.WINDOWS})
 windowed("vol_of_vol", risk.volatility, {f"Vol_Vol_{n}": roll("stddev", f"vol{n}", n) for n in returns.WINDOWS}, ctes=RETURNS + ", x AS (SELECT *, " + ", ".join(f"({roll('stddev', 'ret', n)}) * sqrt(252) AS vol{n}" for n in returns.WINDOWS) + " FROM r)", rel="x")
 windowed("rolling_std", risk.rolling_std, {f"Return_Std_{n}": roll("stddev", "ret", n) for n in returns.WINDOWS})
