@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -64,6 +66,14 @@ def lagged(c: str, k: int = 1) -> Column:
     return F.lag(c, k).over(ordered())
 
 
+def by_key(df: DataFrame) -> DataFrame:
+    """df with each ticker's rows in one of as many partitions as shuffles have.
+
+    Spark joins partitions that are small in bytes, which leaves one task with the windows of all tickers.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *_parts.get())
+
+
 def numeric_columns(df: DataFrame, besides: Iterable[str] = ()) -> list[str]:
     skip = {KEY, TIME, *besides}
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
@@ -75,13 +85,23 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.col(f"`{c}`"), F.lit(None).cast("double")) for c in floats}) if floats else df
 
 
-def skewness(value: Column, w: WindowSpec) -> Column:
-    """Bias-corrected, as sample skewness; null below three values or without spread."""
-    n = F.count(value).over(w).cast("double")
-    return F.when((n >= 3) & (F.var_pop(value).over(w) > 0), F.skewness(value).over(w) * F.sqrt(n * (n - 1)) / (n - 2))
+def _standard_moment(values: Column, mean: Column, std: Column, n: int, k: int) -> Column:
+    """Mean of the k-th powers of the values' distances from their mean, in population deviations."""
+    power = lambda d: reduce(mul, [d] * k)
+    total = F.aggregate(values, F.lit(0.0), lambda s, x: s + power(x - mean))
+    return ratio(total, power(std)) * (((n / (n - 1)) ** (k / 2)) / n)
+
+
+def skewness(values: Column, mean: Column, std: Column, n: int) -> Column:
+    """Of n values in an array, with their mean and sample deviation. Bias-corrected, as sample skewness; null below three values or without spread."""
+    if n < 3:
+        return F.lit(None).cast("double")
+    return F.when(std > 0, _standard_moment(values, mean, std, n, 3) * ((n * (n - 1)) ** 0.5 / (n - 2)))
 
 
-def kurtosis(value: Column, w: WindowSpec) -> Column:
-    """Bias-corrected excess kurtosis; null below four values or without spread."""
-    n = F.count(value).over(w).cast("double")
-    return F.when((n >= 4) & (F.var_pop(value).over(w) > 0), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.kurtosis(value).over(w) + 6))
+def kurtosis(values: Column, mean: Column, std: Column, n: int) -> Column:
+    """As skewness(): bias-corrected excess kurtosis; null below four values or without spread."""
+    if n < 4:
+        return F.lit(None).cast("double")
+    excess = _standard_moment(values, mean, std, n, 4) - 3
+    return F.when(std > 0, ((n + 1) * excess + 6) * ((n - 1) / ((n - 2) * (n - 3))))

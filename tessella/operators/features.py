@@ -10,7 +10,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.windows import kurtosis, lagged, last_rows, numeric_columns, ratio, rolling, skewness
+from tessella.functions.windows import kurtosis, lagged, last_rows, numeric_columns, ratio, skewness
 from tessella.operators.returns import WINDOWS
 
 METRICS = ("mean", "std", "min", "max", "skew", "kurtosis")
@@ -18,17 +18,25 @@ LAGS = (1, 2, 3, 5, 10, 21)
 
 
 def rolling_stats(df: DataFrame, columns: Sequence[str] | None = None, windows: Sequence[int] = WINDOWS, metrics: Sequence[str] = METRICS) -> DataFrame:
-    """{column}_Rolling_{Metric}_{n}, all in one projection. Name the columns: their number multiplies."""
-    out = {}
-    for c in columns or numeric_columns(df):
+    """{column}_Rolling_{Metric}_{n}; null until n values are there. Name the columns: their number multiplies.
+
+    Each frame is aggregated once for all metrics. Skewness and kurtosis are sums over its values as an array: as
+    aggregates they update all moments for every value of every frame, which took most of the time.
+    """
+    value = {
+        "count": F.count, "mean": F.avg, "std": F.stddev, "min": F.min, "max": F.max, "values": lambda x: F.collect_list(x.cast("double")),
+    }
+    shape = {"skew": skewness, "kurtosis": kurtosis}
+    needed = {"count", *(m for m in metrics if m not in shape), *(("mean", "std", "values") if set(metrics) & set(shape) else ())}
+    frames, out = {}, {}
+    for i, c in enumerate(columns or numeric_columns(df)):
         for n in windows:
-            full = F.count(F.col(c)).over(last_rows(n)) >= n
-            value = {
-                "mean": lambda x, n: rolling(F.avg, x, n), "std": lambda x, n: rolling(F.stddev, x, n), "min": lambda x, n: rolling(F.min, x, n), "max": lambda x, n: rolling(F.max, x, n),
-                "skew": lambda x, n, full=full: F.when(full, skewness(x, last_rows(n))), "kurtosis": lambda x, n, full=full: F.when(full, kurtosis(x, last_rows(n))),
-            }
-            out |= {f"{c}_Rolling_{m.capitalize()}_{n}": value[m](F.col(c), n) for m in metrics}
-    return df.withColumns(out)
+            name = {k: f"_rolling_{k}_{i}_{n}" for k in needed}
+            frames |= {name[k]: value[k](F.col(c)).over(last_rows(n)) for k in value if k in needed}
+            for m in metrics:
+                x = shape[m](F.col(name["values"]), F.col(name["mean"]).cast("double"), F.col(name["std"]), n) if m in shape else F.col(name[m])
+                out[f"{c}_Rolling_{m.capitalize()}_{n}"] = F.when(F.col(name["count"]) >= n, x)
+    return df.withColumns(frames).withColumns(out).drop(*frames)
 
 
 def lag_features(df: DataFrame, columns: Sequence[str] | None = None, ks: Sequence[int] = LAGS) -> DataFrame:

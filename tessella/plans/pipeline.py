@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from tessella.functions.windows import nan_to_null, numeric_columns
+from tessella.functions.windows import by_key, nan_to_null, numeric_columns
 from tessella.operators import adjust, clean, features, indicators, optimize, portfolio, returns, risk, sentiment
 from tessella.plans.config import Config
 from tessella.sources import io
+from tessella.sources.scratch import settled
 
 
 def process_assets(df: DataFrame, config: Config | None = None) -> DataFrame:
@@ -39,7 +40,7 @@ def all_indicators(df: DataFrame, config: Config) -> DataFrame:
     """The technical indicators by their configured periods."""
     t = lambda path, default: config.get(f"features.technical.{path}", default)
     out = indicators.macd(df, t("macd.fast_period", 12), t("macd.slow_period", 26), t("macd.signal_period", 9), t("macd.seeded", False))
-    out = indicators.rsi(out, t("rsi.period", 14), t("rsi.wilder", False))
+    out = indicators.rsi(by_key(out), t("rsi.period", 14), t("rsi.wilder", False))
     out = indicators.bollinger(out, t("bollinger_bands.period", 20), t("bollinger_bands.std_dev", 2.0), t("bollinger_bands.population", False))
     return indicators.volume(indicators.moving_averages(out))
 
@@ -58,11 +59,13 @@ def engineer(df: DataFrame, columns: Sequence[str] | None = None, news: DataFram
     columns: all numeric ones of df by default, not those that the steps before add, of which a thousand would grow tenfold.
     Every layer is windows over (Ticker, Date), so the whole chain keeps one partitioning. scale: every numeric column
     becomes (x - mean) / deviation in place, which runs the chain once more for the moments; store it first, or leave it out.
+    df is stored first, as benchmark, means and windows would each compute it anew from its sources.
     """
     c = config or Config()
     columns = list(columns or numeric_columns(df))
     windows = c.get("features.rolling.windows", list(returns.WINDOWS))
-    out = risk.with_benchmark(df, benchmark) if benchmark else df
+    out = settled(df, "panel")
+    out = risk.with_benchmark(out, benchmark) if benchmark else out
     out = all_risk(all_indicators(out, c), c)
     out = features.rolling_stats(out, columns, windows, c.get("features.rolling.metrics", list(features.METRICS)))
     out = features.lag_features(out, columns)

@@ -215,3 +215,35 @@ def test_all_numeric_columns_are_rolled_and_lagged(spark):
     for c in ("Open", "High", "Low", "Close", "Volume", "Return", "Return_Abs", "Return_Squared"):
         assert f"{c}_Rolling_Kurtosis_63" in names and f"{c}_Lag_21" in names
     assert indicators.bollinger(df, population=True).columns == indicators.bollinger(df).columns
+
+
+def test_features_compute_their_panel_once_and_tickers_in_several_tasks(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def mark(x):
+        seen.add(1)
+        return x
+
+    df = returns.returns(panel(spark, 30, "ABCDEF").repartition(2).withColumn("Close", F.udf(mark, "double").asNondeterministic()("Close")))
+    out = pipeline.engineer(df.drop("Return_Abs", "Return_Squared"), ["Return"], benchmark="A").withColumn("task", F.spark_partition_id())
+    rows = out.select("Ticker", "task", "MACD", "Beta_5", "Return_Rolling_Kurtosis_5").collect()
+    assert len(rows) == 180 and seen.value == 180, (len(rows), seen.value)
+    assert len({r.task for r in rows}) > 1 and all(len({r.task for r in rows if r.Ticker == t}) == 1 for t in "ABCDEF")
+
+
+def test_rolling_shapes_of_gaps_constants_and_short_windows(spark):
+    values = [1, 4, 2, 8, 5, 7, None, 3, 3, 3, 3, 3, 10**9, 10**9 + 1, 10**9 + 3, 10**9 + 4, 10**9 + 9]
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), v, None if v is None else v / 7) for i, v in enumerate(values)]
+    got = features.rolling_stats(spark.createDataFrame(rows, "Ticker string, Date date, N long, X double"), windows=(2, 3, 4, 5)).orderBy("Date").toPandas()
+    assert list(got.columns[:4]) == ["Ticker", "Date", "N", "X"] and len(got.columns) == 4 + 2 * 4 * 6
+    assert got["N_Rolling_Skew_2"].isna().all() and got["N_Rolling_Kurtosis_3"].isna().all() and got["N_Rolling_Min_5"][4] == 1
+    for c in "NX":
+        for n in (3, 4, 5):
+            for i in range(len(values)):
+                x = got[c].iloc[max(i - n + 1, 0) : i + 1].astype(float)
+                for name, want in (("Skew", x.skew()), ("Kurtosis", x.kurt())):
+                    v = got[f"{c}_Rolling_{name}_{n}"][i]
+                    if len(x) < n or x.isna().any() or x.nunique() == 1 or name == "Kurtosis" and n < 4:
+                        assert pd.isna(v), (c, n, i, name, v)
+                    else:
+                        assert v == pytest.approx(want, rel=1e-6, abs=1e-6), (c, n, i, name)
